@@ -4,23 +4,129 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import byte_bpe, chat, language_id, line_dedup, ngram_join, phrase_index, pitman_yor, quality_rules, rule_ensemble, unigram_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Vocabulary files, from the folder of public tokenizers.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fold(parts: int) -> Column:
+    """The remainder that deals documents out to folds; a null id is dealt as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, boilerplate lines removed, and the text that is left."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+OP1_SQL = r"""
+WITH docs AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, source, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM docs),
+keyed AS (SELECT doc_id, source, pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM lines
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+')),
+common AS (SELECT k, min(struct_pack(d := doc_id, p := pos)) AS f FROM keyed GROUP BY k HAVING count(DISTINCT source) >= 3),
+cut AS (SELECT doc_id, list(pos) AS cut FROM keyed JOIN common USING (k) WHERE NOT (doc_id = f.d AND pos = f.p) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(ls) AS n, coalesce(len(cut), 0) AS r,
+         CASE WHEN cut IS NULL THEN text ELSE array_to_string([ls[i + 1] FOR i IN range(len(ls)) IF NOT list_contains(cut, i)], chr(10)) END AS t
+         FROM docs LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(r AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS kept_chars, sha256(t) AS kept_sha256 FROM kept
+"""
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed rules, then robust outliers per language and source."""
+    return quality_rules.judge(_table(spark, sf_dir).select("doc_id", "lang", "source", "text")).drop("distance")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of benchmark items."""
+    return phrase_index.contamination(_table(spark, sf_dir).select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+OP3_SQL = r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+docs AS (SELECT doc_id, coalesce([x FOR x IN string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''], []) AS w FROM low),
+ilow AS (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+items AS (SELECT item_id, coalesce([x FOR x IN string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''], []) AS w FROM ilow),
+short AS (SELECT DISTINCT least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+iwin AS (SELECT item_id, least(len(w), 10) AS n, unnest([array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') FOR i IN range(len(w) - least(len(w), 10) + 1)]) AS g FROM items WHERE len(w) > 0),
+starts AS (SELECT doc_id, n, w, unnest(range(len(w) - n + 1)) AS s FROM docs, short WHERE len(w) >= n),
+hits AS (SELECT doc_id, s, n, item_id FROM (SELECT doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') AS g FROM starts) JOIN iwin USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and what they decode to, as digests."""
+    ids = byte_bpe.encode(_table(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, offsets=False).select("doc_id", "token_ids")
+    return byte_bpe.digests(byte_bpe.decode(ids, RANKS, text=False))
+
+
+def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings, read back from the formatted examples."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.prefix_targets(turns.unionByName(own)))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusloom.llm.ngram_join import near_duplicate_components
+    """Each document's component of near duplicates."""
+    return ngram_join.near_duplicate_components(_table(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each document under a unigram vocabulary."""
+    return unigram_count.with_counts(_table(spark, sf_dir).select("doc_id", "text"), PIECES)
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document, learned from those of four folds in five."""
+    docs = _table(spark, sf_dir).select("doc_id", (fold(5) == 1).alias("held_out"), "text")
+    return pitman_yor.Model(docs.where("not held_out")).score(docs)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores, learned from the labels of four folds in five."""
+    docs = _table(spark, sf_dir).select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(fold(5) != 0)
+    out = rule_ensemble.score(docs, rule_ensemble.train(docs, labels))
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
 
-    return near_duplicate_components(_documents(spark, sf_dir).select("doc_id", "text"))
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages, learned from two folds in three."""
+    docs = _table(spark, sf_dir)
+    model = language_id.train(docs.where(fold(3) != 1).select("text", "lang"))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 QUERIES: dict[str, Query] = {
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-}
+    q.__name__: q
+    for q in (
+        op1_line_dedup, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_chat_prefix_targets,
+        op6_ngram_jaccard_join, op7_token_counts, op8_lm_scoring, op9_quality_classifier, op10_language_id,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontamination": OP3_SQL}
