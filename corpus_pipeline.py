@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import scratch
+from corpusloom.llm import byte_bpe, language_id, line_dedup, ngram_join, phrase_index, queries, scratch
 
+#: Documents whose language gets a smaller share than this are rejected.
+LEAST_SHARE = 0.5
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language stay; those without letters or with an unclear language go."""
+    out = language_id.predict(docs, language_id.train(docs.select("text", "lang")))
+    return out.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go but for their first place; a document of such lines alone goes too. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).where("_n_removed < _n_lines or _n_lines = 0")
+    return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
-    from corpusloom.llm.ngram_join import keep_one_of_each
+    return ngram_join.keep_one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    found = phrase_index.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("_dirty"))
+    return docs.join(dirty, F.col("doc_id") == F.col("_dirty"), "left_anti").select(*docs.columns)
+
 
-    return keep_one_of_each(docs)
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, with digests of the ids and of the bytes they decode to."""
+    ids = byte_bpe.encode(docs.select("doc_id", "text"), queries.RANKS, public_tokenizers.PATTERN, offsets=False).select("doc_id", "token_ids")
+    return byte_bpe.digests(byte_bpe.decode(ids, queries.RANKS, text=False))
 
 
-STAGES = [("ngram_jaccard_join", jaccard_join)]
+STAGES = [("language_id", identify_language), ("line_dedup", cut_lines), ("ngram_jaccard_join", drop_near_duplicates), ("decontamination", decontaminate), ("byte_bpe", tokenize)]
 
-#: The stages sample, learn and tokenize beyond what SQL expresses; tests hold them against brute force.
+#: The stages learn, join by similarity and tokenize beyond what SQL expresses; tests hold them against brute force.
 ORACLE_SQL = None
 
 
