@@ -4,7 +4,8 @@ An Aho-Corasick automaton over the vocabulary gives, at each end, every piece th
 per end, the best score of a way to it and that way's number of pieces. The rules are those of the tokenizers library's
 unigram model: a candidate replaces the best so far only if its score is greater, and candidates come by start, earliest
 first; where no piece covers just the next character, that character is unknown at the least score less 10; runs of unknown characters are
-written as byte pieces, one per UTF-8 byte, or, without byte pieces, as one unknown piece.
+written as byte pieces, one per UTF-8 byte, or, without byte pieces, as one unknown piece; the unknown piece's own name counts
+among them.
 
 A text is cut before runs of the space mark, and around characters that no piece contains, where that can't change the best way:
 no piece reaches over such a cut. Each distinct part is worked out once per task (held up to CACHE parts) and a text's
@@ -64,7 +65,9 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         if best:
             self.automaton.make_automaton()
+        self.pieces = set(best)
         self.single = {p for p in best if len(p) == 1}
+        self.unknown = vocab.pieces[vocab.unknown][0] if vocab.pieces else None
         self.unknown_score = min((s for _, s in vocab.pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes = vocab.byte_fallback
         inside = {c for p in best for c in p}
@@ -77,7 +80,8 @@ class Counter:
     def part(self, text: str) -> int:
         """Pieces of one part, by the best way."""
         n = len(text)
-        score, count, fused = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        # By end: the best score, the pieces written so far, and where the run of unknowns that is still open began (-1: none is).
+        score, count, opened = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for end, (size, value) in self.automaton.iter(text):
             ends[end + 1].append((end + 1 - size, value))
@@ -91,14 +95,18 @@ class Counter:
                 if best is None or total > best:
                     best, came, raw = total, start, value is None
             score[end] = best
-            fused[end] = raw
-            if not raw:
-                count[end] = count[came] + 1
-            elif self.bytes:
-                count[end] = count[came] + len(text[end - 1].encode("utf-8"))
+            if raw or text[came:end] == self.unknown:
+                count[end], opened[end] = count[came], came if opened[came] < 0 else opened[came]
             else:
-                count[end] = count[came] + (0 if came and fused[came] else 1)
-        return count[n]
+                count[end] = count[came] + self.written(text, opened[came], came) + 1
+        return count[n] + self.written(text, opened[n], n)
+
+    def written(self, text: str, start: int, end: int) -> int:
+        """Pieces of a run of unknowns: one if it is a piece as it stands or bytes don't stand in, else its bytes."""
+        if start < 0:
+            return 0
+        run = text[start:end]
+        return 1 if run in self.pieces or not self.bytes else len(run.encode("utf-8"))
 
     def parts(self, text: str) -> list[str]:
         """The text with its space marks, cut where no piece reaches over."""
@@ -113,7 +121,7 @@ class Counter:
         """Pieces of a text."""
         if not text:
             return 0
-        if "\0" in text:
+        if "\0" in text or (self.unknown and self.unknown in text):
             return self.part(MARK + text.replace(" ", MARK))
         # The common case: words between single spaces and line ends.
         words = text.replace("\n", " \n ").split(" ")
