@@ -50,7 +50,7 @@ def test_rates(spark, tmp_path):
 
 def test_cache(spark, tmp_path):
     rows = spark.createDataFrame([("k", e, t, p) for e, t, p in ((0, 0, 0), (1, 100, 0), (2, 3600, 1), (3, 3601, 1), (4, 7300, 2))], "key string, event_id long, t long, part int")
-    rows = rows.select("key", "event_id", F.timestamp_seconds("t").alias("ts"), "part")
+    rows = rows.select("key", "event_id", F.timestamp_seconds(F.col("t") + 1_000_000_000).alias("ts"), "part")
     got = drain(service.cached_answers(stream(spark, rows, tmp_path / "c")))
     assert [r["hit"] for r in got.orderBy("event_id").collect()] == [False, True, True, False, False]
 
