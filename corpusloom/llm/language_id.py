@@ -38,7 +38,7 @@ _GAP[65:91] = _GAP[97:123] = False
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 #: A task compacts its counts when it holds so many entries.
-_COMPACT = 4_000_000
+_COMPACT = 1_000_000
 
 
 @dataclass
@@ -117,12 +117,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     word, gram = _grams(points, begins, length)
                     held.setdefault((length, names[c]), []).append(_sum_up([(gram, n[word])]))
                     size += len(held[length, names[c]][-1][0])
-        if size > _COMPACT:
-            for k, parts in held.items():
-                held[k] = [_sum_up(parts)]
-            if (size := sum(len(p[0][0]) for p in held.values())) > _COMPACT // 2:
-                yield from out()
-                size = 0
+            if size > _COMPACT:
+                for k, parts in held.items():
+                    held[k] = [_sum_up(parts)]
+                if (size := sum(len(p[0][0]) for p in held.values())) > _COMPACT // 2:
+                    yield from out()
+                    size = 0
     yield from out()
 
 
