@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go but for their first place; a document of such lines alone goes too. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where("_n_removed < _n_lines or _n_lines = 0")
+    """Boilerplate lines go but for their first place; a document that had nothing else goes too. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).where((F.col("_n_removed") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != ""))
     return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
