@@ -262,3 +262,25 @@ def test_sources_and_index(spark, tmp_path):
     assert "# T\n" in spark.createDataFrame([("<h1>T</h1><p>a &amp; b</p>",)], "h string").select(html.markdown(F.col("h")).alias("x")).first()["x"]
     stream = [(1, 0, 'data: {"choices":[{"delta":{"content":"a"}}]}'), (1, 1, "data: {bad"), (1, 2, "data: [DONE]"), (1, 3, 'data: {"choices":[{"delta":{"content":"b"}}]}')]
     assert [r["content"] for r in files.chat_deltas(spark.createDataFrame(stream, "request_id long, seq long, line string")).collect()] == ["a"]
+
+
+def test_strategy_grid(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i} {k} about topic{i * 100 + k} and more words here" for k in range(30))) for i in range(4)], "doc_id long, text string")
+    passages = docs.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("passage_id"), "doc_id", F.split("text", "\n")[9].alias("passage"))
+    asked = passages.select("query_id", F.col("passage").alias("text"))
+    cuts = {k: v for k, v in chunking.strategies("line").items() if k in ("full_doc", "merge_400_o20")}
+    got = {(r["strategy"], r["k"]): r for r in index.evaluate(docs, passages, asked, cuts).collect()}
+    assert len(got) == 6 and got["full_doc", 1]["hit"] == 1.0 and got["merge_400_o20", 5]["recall"] == 1.0 and got["merge_400_o20", 1]["hit"] == 1.0
+
+
+def test_variants_messages_and_sets(spark):
+    raw = '{"strategies":["decompose","direct"],"sub_queries":["a"," a ","b",""],"rewritten_query":"c"}'
+    df = spark.createDataFrame([(1, "q", raw)], "query_id long, question string, raw string").withColumn("intent", intent.normalize_intent(F.col("raw")))
+    assert [(r["text"], r["origin"]) for r in intent.variants(df).orderBy("variant").collect()] == [("a", "decompose"), ("b", "decompose"), ("c", "direct")]
+    assert df.select(intent.questions_back(F.col("intent")).alias("x")).first()["x"] is None
+    m = spark.range(1).select(memory.messages("s", F.lit("c"), F.lit("q"), F.lit(None).cast("string"), F.lit("r")).alias("m")).first()["m"]
+    assert [x["role"] for x in m] == ["system", "user"] and "摘要" not in m[1]["content"] and m[1]["content"].endswith("q")
+    made = spark.createDataFrame([(1, "u", "r", ["p"]), (100, "u", "r", ["p"])], "seq int, user_input string, reference string, reference_contexts array<string>")
+    assert [r["id"] for r in files.test_set(made).orderBy("id").collect()] == ["q01", "q100"]
+    rows = spark.createDataFrame([("a", "0.5"), ("b", None), ("c", "x"), ("d", "0.1")], "id string, m string")
+    assert [r["id"] for r in evaluation.worst(rows, "m", n=3).collect()] == ["d", "a", "b"]
