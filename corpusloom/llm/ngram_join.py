@@ -213,7 +213,6 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     several = posting.groupBy("token").agg(F.min("set_lo").alias("least"), F.max("set_lo").alias("most")).where("least <> most").select("token")
     posting = posting.join(several, "token").distinct().join(classes.select("set_lo", "n", "id", "l"), ["set_lo", "n"]).select("token", "id", "n", "l")
     posting = scratch.save(posting, "postings")
-    scratch.drop("prefixes-unused")
 
     base = f"(n - cast((n * {PERCENT} + 99) div 100 as long))"
     component, links = None, None
