@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from corpusloom.llm import textkit
 
 #: A worker holds the ids of up to so many parts.
-CACHE = 600_000
+CACHE = 250_000
+#: Rows that are decoded at a time.
+ROWS = 512
 _RUN = re.compile(r"\s[ \n]|^\n")
 
 
@@ -80,22 +82,24 @@ class Encoder:
         self.encoder = tokenizer(path, pattern)
         self.held: dict[str, bytes] = {}
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.held) + len(parts) > CACHE:
-            self.held.clear()
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of all parts: held ones, and, once CACHE parts are held, others for this call alone."""
         new = [p for p in parts if p not in self.held]
         texts = [p if p[:1] == "\n" else f" {p}" for p in new]
-        for p, e in zip(new, self.encoder.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.held[p] = np.array(e.ids, "<i4").tobytes()
+        found = {p: np.array(e.ids, "<i4").tobytes() for p, e in zip(new, self.encoder.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+        if len(self.held) + len(found) <= CACHE:
+            self.held |= found
+            return self.held
+        return found | {p: self.held[p] for p in parts if p in self.held}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         cut = [None if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        self._learn({p for parts in cut if parts for p in parts[1:]} - self.held.keys())
+        ids = self._learn({p for parts in cut if parts for p in parts[1:]})
         # What has runs of white space is encoded whole, and so is the start of a text, which no space precedes.
         plain = [t if parts is None else parts[0] for t, parts in zip(texts, cut, strict=True)]
         first = [np.array(e.ids, "<i4").tobytes() for e in self.encoder.encode_batch_fast(plain, add_special_tokens=False)]
-        return [a if parts is None else a + b"".join(map(self.held.__getitem__, parts[1:])) for a, parts in zip(first, cut, strict=True)]
+        return [a if parts is None else a + b"".join(map(ids.__getitem__, parts[1:])) for a, parts in zip(first, cut, strict=True)]
 
 
 @cache
@@ -139,21 +143,21 @@ def decode(ids: DataFrame, path: str, ids_col: str = "token_ids", text: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, begins = _pieces(path)
         flat = np.frombuffer(flat, np.uint8)
-        for batch in batches:
-            column = batch.column(at)
-            out: list[bytes] = []
-            for i in range(len(column)):
-                value = column[i].values
-                row = np.zeros(0, np.int64) if value is None else value.to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(row) and (row.min() < 0 or row.max() >= len(begins) - 1):
-                    raise ValueError("an id is not in the vocabulary")
-                size = begins[row + 1] - begins[row]
-                take = np.repeat(begins[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                out.append(flat[take].tobytes())
-            columns = {"decoded_bytes": pa.array(out, pa.binary())}
-            if text:
-                columns["decoded_text"] = pa.array([b.decode("utf-8", "replace") for b in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                out: list[bytes] = []
+                for value in batch.column(at):
+                    row = np.zeros(0, np.int64) if value.values is None else value.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    if len(row) and (row.min() < 0 or row.max() >= len(begins) - 1):
+                        raise ValueError("an id is not in the vocabulary")
+                    size = begins[row + 1] - begins[row]
+                    take = np.repeat(begins[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    out.append(flat[take].tobytes())
+                columns = {"decoded_bytes": pa.array(out, pa.binary())}
+                if text:
+                    columns["decoded_text"] = pa.array([b.decode("utf-8", "replace") for b in out], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
     schema = T.StructType([*ids.schema.fields, T.StructField("decoded_bytes", T.BinaryType())])
     if text:
@@ -167,11 +171,11 @@ def digests(decoded: DataFrame, ids_col: str = "token_ids") -> DataFrame:
     keep = [f for f in decoded.schema.fields if f.name not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4") if x.is_valid else np.zeros(0, "<u4") for x in batch.column(at[ids_col])]
+            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else b"" for x in batch.column(at[ids_col])]
             columns = {
-                "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in batch.column(at["decoded_bytes"])], pa.string()),
             }
             yield pa.RecordBatch.from_arrays([*(batch.column(at[f.name]) for f in keep), *columns.values()], [*(f.name for f in keep), *columns])
