@@ -473,7 +473,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("passage_id"), "doc_id", F.col("line").alias("passage"))
 
 
-SPANS = GOLD + ", spans AS (SELECT query_id, doc_id, CAST(i - 1 AS BIGINT) AS gs, CAST(i - 1 + length(passage) AS BIGINT) AS ge FROM (SELECT query_id, g.doc_id, text, passage, unnest(range(1, length(text) - length(passage) + 2)) AS i FROM gold g JOIN documents d ON d.doc_id = g.doc_id) WHERE substring(text, i, length(passage)) = passage)"
+SPANS = GOLD + ", found AS (SELECT query_id, g.doc_id, length(passage) AS m, [i FOR i IN range(1, length(text) - length(passage) + 2) IF substring(text, i, length(passage)) = passage] AS places FROM gold g JOIN documents d ON d.doc_id = g.doc_id), spans AS (SELECT query_id, doc_id, CAST(i - 1 AS BIGINT) AS gs, CAST(i - 1 + m AS BIGINT) AS ge FROM (SELECT query_id, doc_id, m, unnest(places) AS i FROM found))"
 
 
 @query(f"WITH {SPANS} SELECT * FROM spans")
@@ -497,9 +497,9 @@ def relevance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {RELEVANT}, ranked AS (SELECT g.query_id, a.doc_id, CAST(a.a - 1 AS BIGINT) AS chunk, row_number() OVER (PARTITION BY g.query_id ORDER BY a.e - a.s DESC, a.a) AS rank FROM gold g JOIN atoms a USING (doc_id)),
-found AS (SELECT r.query_id, r.rank FROM ranked r SEMI JOIN relevant v ON v.query_id = r.query_id AND v.doc_id = r.doc_id AND v.chunk = r.chunk),
+hit AS (SELECT r.query_id, r.rank FROM ranked r SEMI JOIN relevant v ON v.query_id = r.query_id AND v.doc_id = r.doc_id AND v.chunk = r.chunk),
 total AS (SELECT query_id, count(*) AS total FROM relevant GROUP BY 1),
-per AS (SELECT g.query_id, k, count(f.rank) FILTER (f.rank <= k) AS hits, min(f.rank) FILTER (f.rank <= k) AS first FROM gold g CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) LEFT JOIN found f ON f.query_id = g.query_id GROUP BY ALL)
+per AS (SELECT g.query_id, k, count(f.rank) FILTER (f.rank <= k) AS hits, min(f.rank) FILTER (f.rank <= k) AS first FROM gold g CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) LEFT JOIN hit f ON f.query_id = g.query_id GROUP BY ALL)
 SELECT CAST(k AS BIGINT) AS k, round(avg(CAST(hits > 0 AS DOUBLE)), 6) AS hit, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(hits / k), 6) AS precision, round(avg(hits / total), 6) AS recall, count(*) AS queries FROM per LEFT JOIN total USING (query_id) GROUP BY k""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, chunks = _gold(spark, sf_dir), _line_chunks(spark, sf_dir)
