@@ -136,48 +136,45 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", off
     return docs.mapInArrow(run, schema)
 
 
-def decode(ids: DataFrame, path: str, ids_col: str = "token_ids", text: bool = True) -> DataFrame:
-    """``ids`` plus ``decoded_bytes`` and, if asked for, ``decoded_text`` of the lists in ``ids_col``."""
+def _decoded(column: pa.Array, path: str) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Each list of ids with the bytes that it stands for."""
+    flat, begins = _pieces(path)
+    flat = np.frombuffer(flat, np.uint8)
+    for value in column:
+        row = np.zeros(0, np.int64) if value.values is None else value.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(row) and (row.min() < 0 or row.max() >= len(begins) - 1):
+            raise ValueError("an id is not in the vocabulary")
+        size = begins[row + 1] - begins[row]
+        take = np.repeat(begins[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        yield row, flat[take].tobytes()
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS))
+
+
+def decode(ids: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
+    """``ids`` plus ``decoded_bytes`` and ``decoded_text`` of the lists in ``ids_col``."""
     at = ids.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, begins = _pieces(path)
-        flat = np.frombuffer(flat, np.uint8)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                out: list[bytes] = []
-                for value in batch.column(at):
-                    row = np.zeros(0, np.int64) if value.values is None else value.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    if len(row) and (row.min() < 0 or row.max() >= len(begins) - 1):
-                        raise ValueError("an id is not in the vocabulary")
-                    size = begins[row + 1] - begins[row]
-                    take = np.repeat(begins[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    out.append(flat[take].tobytes())
-                columns = {"decoded_bytes": pa.array(out, pa.binary())}
-                if text:
-                    columns["decoded_text"] = pa.array([b.decode("utf-8", "replace") for b in out], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
-
-    schema = T.StructType([*ids.schema.fields, T.StructField("decoded_bytes", T.BinaryType())])
-    if text:
-        schema = schema.add("decoded_text", T.StringType())
-    return ids.mapInArrow(run, schema)
-
-
-def digests(decoded: DataFrame, ids_col: str = "token_ids") -> DataFrame:
-    """The other columns of ``decoded`` plus ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
-    drop = {ids_col, "token_offsets", "decoded_bytes", "decoded_text"}
-    keep = [f for f in decoded.schema.fields if f.name not in drop]
+        for batch in _slices(batches):
+            out = [b for _, b in _decoded(batch.column(at), path)]
+            columns = [pa.array(out, pa.binary()), pa.array([b.decode("utf-8", "replace") for b in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "decoded_bytes", "decoded_text"])
+
+    return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField("decoded_bytes", T.BinaryType()), T.StructField("decoded_text", T.StringType())]))
+
+
+def digests(ids: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
+    """``ids`` with, in place of the ids, ``n_tokens`` and the digests of the ids and of the bytes that they decode to."""
+    at = ids.columns.index(ids_col)
+    keep = [f for f in ids.schema.fields if f.name != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else b"" for x in batch.column(at[ids_col])]
-            columns = {
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in batch.column(at["decoded_bytes"])], pa.string()),
-            }
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[f.name]) for f in keep), *columns.values()], [*(f.name for f in keep), *columns])
-
-    return decoded.mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+        for batch in _slices(batches):
+            found = [(len(row), hashlib.sha256(row.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(out).hexdigest()) for row, out in _decoded(batch.column(at), path)]
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), *columns], [*(f.name for f in keep), "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return ids.mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
