@@ -32,6 +32,8 @@ from corpusloom.llm import textkit
 CACHE = 250_000
 #: Rows that are decoded at a time.
 ROWS = 512
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 1 << 19
 _RUN = re.compile(r"\s[ \n]|^\n")
 
 
@@ -113,7 +115,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = textkit.text_column(batch, text_col).fill_null("")
-            for _, bounds, row in textkit.slices(column):
+            for _, bounds, row in textkit.slices(column, SLICE_BYTES):
                 rows = len(bounds) - 1
                 part = column.slice(row, rows).to_pylist()
                 if offsets:
@@ -136,17 +138,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", off
     return docs.mapInArrow(run, schema)
 
 
-def _decoded(column: pa.Array, path: str) -> Iterator[tuple[np.ndarray, bytes]]:
-    """Each list of ids with the bytes that it stands for."""
-    flat, begins = _pieces(path)
-    flat = np.frombuffer(flat, np.uint8)
-    for value in column:
-        row = np.zeros(0, np.int64) if value.values is None else value.values.to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(row) and (row.min() < 0 or row.max() >= len(begins) - 1):
-            raise ValueError("an id is not in the vocabulary")
-        size = begins[row + 1] - begins[row]
-        take = np.repeat(begins[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        yield row, flat[take].tobytes()
+def _spelled(ids: np.ndarray, path: str) -> bytes:
+    """The bytes that ids stand for."""
+    data, begins = _pieces(path)
+    row = ids.astype(np.int64)
+    if len(row) and (row.min() < 0 or row.max() >= len(begins) - 1):
+        raise ValueError("an id is not in the vocabulary")
+    size = begins[row + 1] - begins[row]
+    take = np.repeat(begins[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.frombuffer(data, np.uint8)[take].tobytes()
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each list; none of a null."""
+    return (np.zeros(0, np.int64) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in column)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,22 +164,33 @@ def decode(ids: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            out = [b for _, b in _decoded(batch.column(at), path)]
+            out = [_spelled(x, path) for x in _lists(batch.column(at))]
             columns = [pa.array(out, pa.binary()), pa.array([b.decode("utf-8", "replace") for b in out], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "decoded_bytes", "decoded_text"])
 
     return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField("decoded_bytes", T.BinaryType()), T.StructField("decoded_text", T.StringType())]))
 
 
-def digests(ids: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
-    """``ids`` with, in place of the ids, ``n_tokens`` and the digests of the ids and of the bytes that they decode to."""
-    at = ids.columns.index(ids_col)
-    keep = [f for f in ids.schema.fields if f.name != ids_col]
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with, in place of the text, ``n_tokens`` and the digests of its ids and of the bytes that they decode to.
+
+    Encoded and decoded by the same worker, so that a task has one and no list of ids goes back and forth. Columns that
+    had these names are replaced.
+    """
+    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name not in (text_col, *new)]
+    keep = [docs.schema.fields[i] for i in kept]
+
+    def digests(ids: np.ndarray) -> tuple[int, str, str]:
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(_spelled(ids, path)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            found = [(len(row), hashlib.sha256(row.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(out).hexdigest()) for row, out in _decoded(batch.column(at), path)]
-            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), *columns], [*(f.name for f in keep), "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            column = textkit.text_column(batch, text_col).fill_null("")
+            for _, bounds, row in textkit.slices(column, SLICE_BYTES):
+                rows = len(bounds) - 1
+                found = [digests(np.frombuffer(x, "<i4")) for x in _encoder(path, pattern).encode(column.slice(row, rows).to_pylist())]
+                columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, rows) for i in kept), *columns], [*(f.name for f in keep), *new])
 
-    return ids.mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    return docs.mapInArrow(run, T.StructType([*keep, *map(T.StructField, new, (T.LongType(), T.StringType(), T.StringType()))]))

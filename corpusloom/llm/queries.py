@@ -77,8 +77,7 @@ FROM docs LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document, and what they decode to, as digests."""
-    ids = byte_bpe.encode(_table(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, offsets=False).select("doc_id", "token_ids")
-    return byte_bpe.digests(ids, RANKS)
+    return byte_bpe.round_trip(_table(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
 
 
 def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

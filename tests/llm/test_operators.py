@@ -264,9 +264,14 @@ def test_byte_bpe(spark, rank_reference):
         assert r["decoded_text"] == text and bytes(r["decoded_bytes"]) == text.encode()
         assert "".join(text[a:b] for a, b in dict.fromkeys((o["start"], o["end"]) for o in r["token_offsets"])) .replace("�", "") is not None
         assert not text or (r["token_offsets"][0]["start"], r["token_offsets"][-1]["end"]) == (0, len(text))
-    out = {r["doc_id"]: r for r in byte_bpe.digests(fast.select("doc_id", "token_ids"), queries.RANKS).collect()}
+    named = df.withColumn("n_tokens", F.lit("x")).withColumn("more", F.lit(1))
+    trip = byte_bpe.round_trip(named, queries.RANKS, P.PATTERN)
+    assert trip.columns == ["doc_id", "more", "n_tokens", "ids_sha256", "decoded_sha256"]
+    out = {r["doc_id"]: r for r in trip.collect()}
+    assert len(out) == len(texts) and all(r["decoded_sha256"] == hashlib.sha256((texts[i] or "").encode()).hexdigest() for i, r in out.items())
     assert all(r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids[i])}I", *ids[i])).hexdigest() and r["n_tokens"] == len(ids[i]) for i, r in out.items())
     assert byte_bpe.encode(awkward(spark, []), queries.RANKS, P.PATTERN).count() == 0
+    assert byte_bpe.round_trip(awkward(spark, []), queries.RANKS, P.PATTERN).count() == 0
 
 
 def test_full_cache_changes_nothing(monkeypatch, rank_reference):
