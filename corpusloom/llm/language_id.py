@@ -39,6 +39,8 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 #: A task compacts its counts when it holds so many entries.
 _COMPACT = 1_000_000
+#: Bytes of text that are read at a time.
+_SLICE_BYTES = 1 << 19
 
 
 @dataclass
@@ -50,7 +52,7 @@ class Model:
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[textkit.Texts]:
-    for data, offsets, first in textkit.slices(textkit.text_column(batch)):
+    for data, offsets, first in textkit.slices(textkit.text_column(batch), _SLICE_BYTES):
         yield textkit.Texts(data, offsets, first, _GAP)
 
 

@@ -30,7 +30,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(n: int, of: np.uint64, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        step = np.full(max(n, SLICE_BYTES + 1), of, np.uint64)
+        step = np.full(1 << (n - 1).bit_length(), of, np.uint64)
         step[0] = 1
         _powers[name] = have = np.cumprod(step, dtype=np.uint64)
     return have
@@ -80,14 +80,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(bytes, offsets, first row) of runs of whole texts of about SLICE_BYTES."""
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, first row) of runs of whole texts of about ``most`` bytes."""
     if not len(column):
         return
     data, offsets = raw(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        to = max(row + 1, min(int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1, row + 60_000, rows))
+        to = max(row + 1, min(int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1, row + 60_000, rows))
         yield data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row], row
         row = to
 
