@@ -38,8 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, with digests of the ids and of the bytes they decode to."""
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), queries.RANKS, public_tokenizers.PATTERN, offsets=False).select("doc_id", "token_ids")
-    return byte_bpe.digests(ids, queries.RANKS)
+    return byte_bpe.round_trip(docs.select("doc_id", "text"), queries.RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", cut_lines), ("ngram_jaccard_join", drop_near_duplicates), ("decontamination", decontaminate), ("byte_bpe", tokenize)]
