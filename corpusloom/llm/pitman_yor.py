@@ -5,44 +5,44 @@ The root restaurant serves words; each context restaurant, one per frequent prec
 A context's customers are the tokens after it. Each table there sends one customer to the root, whose base is uniform
 over the known words and one unknown word.
 
-Restaurants and dishes by share, not by number: a token opens a restaurant if it makes up ``1 / CONTEXTS`` of all training tokens,
-and seats a dish there if word and context together make up ``1 / ENTRIES``. So at most CONTEXTS restaurants and ENTRIES
-dishes exist whatever is read, which bounds what is broadcast. A rarer customer has a table to itself: all of its mass goes to the root,
-and the probabilities of a context still sum to 1.
+Every context and every dish seen is kept, as rows of stored tables. Only what is looked up in the task is bounded: the HEAD most frequent
+words (also as contexts) and dishes. All others are joined by a shuffle, so the model is the same whatever the size of its heads.
 
 A sweep seats each dish anew, given the other restaurants' tables from the last sweep: dishes then don't depend on each
 other, so they are sampled where they lie. Seating goes customer by customer up to SINGLES, then in blocks of a sixteenth of those
-seated. A word's count in the root follows from its tables. Predictive probabilities are averaged over the last two sweeps.
+seated. A dish of one customer always has one table, so only its number takes part. A word's count in the root follows from its tables. Predictive probabilities are averaged over the last two sweeps.
 
-Counts cover every training token. Frequent words are looked up in the task; the others are joined by a shuffle, so nothing
-that grows with the vocabulary is broadcast. A null or empty text is its end alone. A null id counts as the empty id. Repeated
+Counts cover every training token, and nothing that grows with the vocabulary is broadcast. A null or empty text is its end alone. A null id counts as the empty id. Repeated
 rows count each time. Without training rows each token has the probability of the unknown word, 1. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkit
 from corpusloom.llm.phrase_index import bounded
 from corpusloom.llm.scratch import Scratch
 
-CONTEXTS = 1 << 10
-ENTRIES = 1 << 20
+#: Words and dishes looked up in the task; the others are joined.
+HEAD = 1 << 19
 SWEEPS = 3
 SINGLES = 16
 STRENGTH = 1.0
 SEED = 20240229
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-_COMPACT = 4_000_000
+_COMPACT = 3_000_000
+#: Counts beyond are told apart no further when heads are cut.
+_MOST = 1 << 20
 
 
 def tokens(part: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -65,39 +65,34 @@ def before(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(group: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n by (group, hash); groups are below 65,536."""
-    order = np.argsort(h)
-    order = order[np.argsort(group[order].astype(np.uint16), kind="stable")]
-    group, h, n = group[order], h[order], n[order]
-    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (group[1:] != group[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return group[first], h[first], np.add.reduceat(n, first) if len(h) else n
+def _summed(u: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n by (u, h)."""
+    key = dish_key(u, h)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(h) else np.zeros(0, np.int64)
+    return u[order][first], h[order][first], np.add.reduceat(n[order], first) if len(h) else n
 
 
-def _counter(contexts):
-    """Rows (u, h, n) of what a task reads: words (u = -1), or, with contexts, words by context."""
+def _counter(by_context: bool):
+    """Rows (u, h, n) of what a task reads: words (u = 0), or words by the token before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        known = contexts.value if contexts else None
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                group, h, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held[:] = [(group, h, n)]
+                u, h, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held[:] = [(u, h, n)]
                 if len(h) > _COMPACT // 2 or last:
                     held.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32) - (0 if contexts else 1)), pa.array(h.astype(np.int64)), pa.array(n)], ["u", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(h.view(np.int64)), pa.array(n)], ["u", "h", "n"])
 
         size, last = 0, False
         for batch in batches:
             for part in textkit.texts(textkit.text_column(batch)):
                 row, h = tokens(part)
-                group = np.zeros(len(h), np.int64)
-                if contexts:
-                    group = find(known, before(row, h))
-                    h, group = h[group >= 0], group[group >= 0]
-                held.append(_summed(group, h, np.ones(len(h), np.int64)))
+                held.append(_summed(before(row, h) if by_context else np.zeros(len(h), np.uint64), h, np.ones(len(h), np.int64)))
                 size += len(held[-1][1])
             if size > _COMPACT:
                 yield from out()
@@ -157,9 +152,28 @@ def _rng(sweep: int, level: int) -> np.random.Generator:
     return np.random.default_rng([SEED, sweep, level, TaskContext.get().partitionId()])
 
 
-def _discount(counts: DataFrame) -> float:
-    n1, n2 = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+def _shape(counts: DataFrame) -> tuple[int, float]:
+    """The least count that at most HEAD rows reach, and the discount."""
+    rows = counts.groupBy(F.least("c", F.lit(_MOST)).alias("c")).agg(F.count("*").alias("n")).collect()
+    n = {r["c"]: r["n"] for r in rows}
+    least, held = _MOST + 1, 0
+    for c in sorted(n, reverse=True):
+        held += n[c]
+        if held > HEAD:
+            break
+        least = c
+    n1, n2 = n.get(1, 0), n.get(2, 0)
+    return least, min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+
+def _root_column(seated: str, tables: str, totals: tuple[float, float], types: int, discount: float) -> Column:
+    """As _root; a word without a row has no customers."""
+    own = F.greatest(F.coalesce(F.col(seated) - F.lit(discount) * F.col(tables), F.lit(0.0)), F.lit(0.0))
+    return (own + (STRENGTH + discount * totals[1]) / (types + 1)) / (STRENGTH + totals[0])
+
+
+def _unsigned(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy().astype(np.int64).view(np.uint64)
 
 
 def _root(customers: np.ndarray, tables: np.ndarray, totals: tuple[float, float], types: int, discount: float) -> np.ndarray:
@@ -169,83 +183,104 @@ def _root(customers: np.ndarray, tables: np.ndarray, totals: tuple[float, float]
 
 
 class Model:
-    """Seatings of the last two sweeps: a table of words, and the bounded heads."""
+    """Seatings of the last two sweeps: tables of words and of dishes, and the bounded heads."""
 
     def __init__(self, train: DataFrame) -> None:
         spark = train.sparkSession
         self.scratch = scratch = Scratch(spark)
-        broadcast = spark.sparkContext.broadcast
         texts = train.select(F.col("text").cast("string"))
-        schema = "u int, h long, n long"
-        words = scratch.save(texts.mapInArrow(_counter(None), schema).groupBy("h").agg(F.sum("n").alias("c")), "words")
+        schema = "u long, h long, n long"
+        words = scratch.save(texts.mapInArrow(_counter(False), schema).groupBy("h").agg(F.sum("n").alias("c")), "words")
         total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.total, self.types = total, types
-        head = words.where(F.col("c") * ENTRIES >= total).toArrow()
-        h, c = head.column("h").to_numpy().astype(np.int64).view(np.uint64), head.column("c").to_numpy().astype(np.int64)
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        contexts, seated = h[c * CONTEXTS >= total], c[c * CONTEXTS >= total]
-        shared = broadcast(contexts)
-        pairs = texts.mapInArrow(_counter(shared), schema).groupBy("u", "h").agg(F.sum("n").alias("c"))
-        pairs = scratch.save(pairs, "pairs")
-        self.d0, self.d1 = d0, d1 = _discount(words), _discount(pairs)
-        dishes = scratch.save(pairs.where(F.col("c") * ENTRIES >= total).withColumns({"t": F.lit(1).cast("long"), "tp": F.lit(1).cast("long")}), "dishes-0")
-        scratch.drop("pairs")
-        # At first every customer of the root sits with its like, and each dish has one table.
-        state = words.select("h", "c", F.col("c").alias("seated"), F.lit(1).cast("long").alias("tables"), F.col("c").alias("seated_p"), F.lit(1).cast("long").alias("tables_p"))
+        pairs = scratch.save(texts.mapInArrow(_counter(True), schema).groupBy("u", "h").agg(F.sum("n").alias("c")), "pairs")
+        (self.least, d0), (least_dish, d1) = _shape(words), _shape(pairs)
+        self.d0, self.d1 = d0, d1
+        one = F.lit(1).cast("long")
+        dishes = pairs.where("c > 1").withColumns({"t": one, "tp": one})
+        # At first every customer of the root sits with its like, and each dish has one table. A text's end stands before
+        # its first word, so each token has as many customers after it as it has occurrences.
+        held = pairs.groupBy(F.col("u").alias("h")).agg(F.count_if(F.col("c") == 1).alias("ones"), F.count("*").alias("of"))
+        state = words.join(held, "h", "left").select(
+            "h", "c", F.coalesce("ones", F.lit(0)).alias("ones"), F.coalesce("of", F.lit(0)).alias("of"), F.coalesce("of", F.lit(0)).alias("of_p"),
+            F.col("c").alias("seated"), one.alias("tables"), F.col("c").alias("seated_p"), one.alias("tables_p"),
+        )
+        state = scratch.save(state, "state-0")
+        scratch.drop("words")
         totals = [(float(total), float(types))] * 2
-        of_context = np.ones((2, len(contexts)))
-        root = _root(c, np.ones(len(c)), totals[0], types, d0)
         for sweep in range(1, SWEEPS + 1):
-            at = broadcast((h, root, of_context[1]))
+            p = _root_column("seated", "tables", totals[1], types, d0)
+            at = dishes.join(bounded(state.select("h", p.alias("p"))), "h").join(bounded(state.select(F.col("h").alias("u"), "of")), "u")
 
-            def seat_dishes(batches: Iterator[pa.RecordBatch], sweep: int = sweep, at=at) -> Iterator[pa.RecordBatch]:
-                (keys, p, tables), rng = at.value, _rng(sweep, 1)
+            def seat_dishes(batches: Iterator[pa.RecordBatch], sweep: int = sweep) -> Iterator[pa.RecordBatch]:
+                rng = _rng(sweep, 1)
                 for b in batches:
-                    u, w, n, t, _ = (b.column(i).to_numpy() for i in range(5))
+                    n, t, p, of = (b.column(i).to_numpy() for i in range(2, 6))
                     # The dish's own tables are taken off before it is seated anew.
-                    others = np.maximum(tables[u] - t, 0)
-                    new = seat(n.astype(np.int64), (STRENGTH + d1 * others) * p[find(keys, w.astype(np.int64).view(np.uint64))], d1, rng)
+                    new = seat(n.astype(np.int64), (STRENGTH + d1 * np.maximum(of - t, 0)) * p, d1, rng)
                     yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new.astype(np.int64)), b.column(3)], ["u", "h", "c", "t", "tp"])
 
-            dishes = scratch.save(dishes.mapInArrow(seat_dishes, "u int, h long, c long, t long, tp long"), f"dishes-{sweep}")
-            sums = np.zeros(len(contexts))
-            for r in dishes.groupBy("u").agg(F.sum("t").alias("t")).collect():
-                sums[r["u"]] = r["t"]
-            of_context = np.stack([of_context[1], sums])
+            dishes = scratch.save(at.select("u", "h", "c", "t", "p", "of").mapInArrow(seat_dishes, "u long, h long, c long, t long, tp long"), f"dishes-{sweep}")
             fewer = dishes.groupBy("h").agg(F.sum(F.col("c") - F.col("t")).alias("fewer"))
-            given = state.join(bounded(fewer), "h", "left").select("h", "c", F.col("seated"), F.col("tables"), (F.col("c") - F.coalesce("fewer", F.lit(0))).alias("now"))
+            more = dishes.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("more"))
+            given = state.join(fewer, "h", "left").join(more, "h", "left").select(
+                "h", "c", "ones", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("now_of"), "of", "seated", "tables", (F.col("c") - F.coalesce("fewer", F.lit(0))).alias("now"),
+            )
             all_t = totals[1][1]
 
             def seat_words(batches: Iterator[pa.RecordBatch], sweep: int = sweep, all_t: float = all_t) -> Iterator[pa.RecordBatch]:
                 rng = _rng(sweep, 0)
                 for b in batches:
-                    now, tables = b.column(4).to_numpy(), b.column(3).to_numpy()
+                    now, tables = b.column(7).to_numpy(), b.column(6).to_numpy()
                     weight = (STRENGTH + d0 * np.maximum(all_t - tables, 0)) / (types + 1)
-                    new = seat(now.astype(np.int64), weight, d0, rng)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(new.astype(np.int64)), b.column(2), b.column(3)], ["h", "c", "seated", "tables", "seated_p", "tables_p"])
+                    new = pa.array(seat(now.astype(np.int64), weight, d0, rng).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column(7), new, b.column(5), b.column(6)], state_names)
 
-            state = scratch.save(given.mapInArrow(seat_words, "h long, c long, seated long, tables long, seated_p long, tables_p long"), f"state-{sweep}")
+            state_names = ["h", "c", "ones", "of", "of_p", "seated", "tables", "seated_p", "tables_p"]
+            state = scratch.save(given.mapInArrow(seat_words, ", ".join(f"{n} long" for n in state_names)), f"state-{sweep}")
             both = state.agg(F.sum("seated"), F.sum("tables")).first()
             totals = [totals[1], (float(both[0] or 0), float(both[1] or 0))]
-            found = state.where(F.col("c") * ENTRIES >= total).toArrow()
-            fh = found.column("h").to_numpy().astype(np.int64).view(np.uint64)
-            order = np.argsort(fh)
-            figures = {n: found.column(n).to_numpy()[order] for n in ("seated", "tables", "seated_p", "tables_p")}
-            root = _root(figures["seated"], figures["tables"], totals[1], types, d0)
+            scratch.drop(f"state-{sweep - 1}")
             if sweep > 1:
                 scratch.drop(f"dishes-{sweep - 1}")
-                scratch.drop(f"state-{sweep - 1}")
+            del at, fewer, more, given
+            self._release()
         self.state, self.totals = state, totals
-        rows = dishes.toArrow()
-        u, w, n, t, tp = (rows.column(i).to_numpy() for i in range(5))
-        kept = np.bincount(u, n, len(contexts)) if len(u) else np.zeros(len(contexts))
-        back = np.stack([(STRENGTH + d1 * s + seated - kept) / (STRENGTH + seated) for s in of_context], 1) if len(contexts) else np.zeros((0, 2))
-        key = dish_key(u, w.astype(np.int64).view(np.uint64))
+        # A dish's mass is (c - d1 tables) / (STRENGTH + customers of its context), here without the divisor.
+        dishes = dishes.unionByName(pairs.where("c = 1").withColumns({"t": one, "tp": one}))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, h, n, t, tp = (b.column(i).to_numpy().astype(np.int64) for i in range(5))
+                key = dish_key(u, h.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((n - d1 * (t + tp) / 2).astype(np.float32))], ["k", "m"])
+
+        self.dishes = scratch.save(dishes.mapInArrow(keyed, "k long, m float"), "dishes")
+        found = state.where(F.col("c") >= self.least).toArrow()
+        h = _unsigned(found, "h")
+        order = np.argsort(h)
+        h = h[order]
+        f = {n: found.column(n).to_numpy()[order].astype(np.int64) for n in found.column_names if n != "h"}
+        roots = np.stack([_root(f["seated_p"], f["tables_p"], totals[0], types, d0), _root(f["seated"], f["tables"], totals[1], types, d0)], 1)
+        back = np.stack([(STRENGTH + d1 * f[n]) / (STRENGTH + f["c"]) for n in ("of_p", "of")], 1)
+        rows = dishes.where(F.col("c") >= least_dish).toArrow()
+        u, w = find(h, _unsigned(rows, "u")), _unsigned(rows, "h")
+        here = (u >= 0) & (find(h, w) >= 0)
+        n, t, tp = (rows.column(i).to_numpy()[here].astype(np.int64) for i in range(2, 5))
+        u, w = u[here], w[here]
+        key = dish_key(u, w)
         order = np.argsort(key)
-        mass = (np.stack([n - d1 * tp, n - d1 * t], 1) / (STRENGTH + seated[u])[:, None])[order] if len(u) else np.zeros((0, 2))
-        pair_root = np.stack([_root(figures["seated_p"], figures["tables_p"], totals[0], types, d0), root], 1)
-        self.heads = Heads(h, c, pair_root, contexts, back, key[order], np.maximum(mass, 0), total, types)
+        mass = (np.stack([n - d1 * tp, n - d1 * t], 1) / (STRENGTH + f["c"][u])[:, None])[order] if len(u) else np.zeros((0, 2))
+        self.heads = Heads(h, f["c"], roots, h, back, key[order], mass, total, types)
+        del found, rows
+        for name in ("pairs", f"dishes-{SWEEPS}"):
+            scratch.drop(name)
+        self._release()
+
+    def _release(self) -> None:
+        """Let Spark delete the shuffles of tables that are written: it does so once their plans are collected."""
+        gc.collect()
+        self.scratch.spark._jvm.System.gc()
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs(doc_id, held_out, text)`` without text, plus n_tokens, n_known, train_tokens, base_score and score."""
@@ -255,57 +290,70 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             log_all = np.log10(m.total + 0.5 * (m.types + 1))
+            of_end = find(m.words, np.array([END]))
             for batch in batches:
                 for part in textkit.texts(batch.column(2)):
                     row, h = tokens(part)
-                    key, back = np.unique(h, return_inverse=True)
-                    word = find(m.words, key)[back]
-                    context = find(m.contexts, key)
-                    u = context[np.append(np.searchsorted(key, [END]), back[:-1])]
-                    here = word >= 0
-                    w, v = word[here], u[here]
-                    p = m.root[w]
-                    if len(m.contexts):
-                        p = p * np.where(v >= 0, 1, 0)[:, None] * m.back[np.maximum(v, 0)] + p * np.where(v >= 0, 0, 1)[:, None]
-                    dish = np.where(v >= 0, find(m.dishes, dish_key(np.maximum(v, 0), h[here])), -1)
-                    if len(m.dishes):
-                        p = p + np.where(dish >= 0, 1, 0)[:, None] * m.mass[np.maximum(dish, 0)]
-                    score = np.bincount(row[here], np.log10(p.mean(1)), part.rows).astype(np.float64)  # integers, if nothing is here
-                    base = np.bincount(row[here], np.log10(m.counts[w] + 0.5) - log_all, part.rows).astype(np.float64)
-                    # The rest by text, context and word.
-                    r, g, x = row[~here], u[~here], h[~here]
-                    order = np.lexsort((x, g, r))
-                    r, g, x = r[order], g[order], x[order]
-                    first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (g[1:] != g[:-1]) | (r[1:] != r[:-1]))) if len(x) else np.zeros(0, np.int64)
-                    group, rest, ctx, n = r[first], x[first], g[first], np.diff(np.append(first, len(x)))
-                    lengths = np.bincount(group, minlength=part.rows)
-                    item = pa.StructArray.from_arrays([pa.array(rest.astype(np.int64)), pa.array(ctx.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "u", "n"])
-                    tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), item)
+                    key, inverse = np.unique(h, return_inverse=True)
+                    w = find(m.words, key)[inverse]
+                    v = np.append(of_end, w[:-1])
+                    base = np.bincount(row[w >= 0], np.log10(m.counts[w[w >= 0]] + 0.5) - log_all, part.rows).astype(np.float64)  # integers, if nothing is here
+                    both = np.flatnonzero((w >= 0) & (v >= 0))
+                    dish = find(m.dishes, dish_key(v[both], h[both]))
+                    here, dish = both[dish >= 0], dish[dish >= 0]
+                    p = m.root[w[here]] * m.back[v[here]] + m.mass[dish] if len(here) else np.zeros((0, 2))
+                    score = np.bincount(row[here], np.log10(p.mean(1)), part.rows).astype(np.float64)
+                    # The rest by text, context and word: those of which the head knows word and context, and the others.
+                    left = np.ones(len(h), bool)
+                    left[here] = False
+                    u = before(row, h)
+                    r, u, x, w, v = row[left], u[left], h[left], w[left], v[left]
+                    k = dish_key(u, x)
+                    order = np.lexsort((k, r))
+                    k, r, u, x, w, v = k[order], r[order], u[order], x[order], w[order], v[order]
+                    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))) if len(k) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(first, len(k))).astype(np.int32)
+                    k, r, u, x, w, v = k[first], r[first], u[first], x[first], w[first], v[first]
+                    near = (w >= 0) & (v >= 0)
+                    a = (m.root[w[near]] * m.back[v[near]]).mean(1) if near.any() else np.zeros(0)
+
+                    def lists(group: np.ndarray, columns: list, names: list[str], rows: int = part.rows) -> pa.Array:
+                        ends = np.append(0, np.cumsum(np.bincount(group, minlength=rows))).astype(np.int32)
+                        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in columns], names))
+
+                    tail = lists(r[near], [k[near].view(np.int64), n[near], m.counts[v[near]].astype(np.int64), a.astype(np.float32)], ["k", "n", "of", "a"])
+                    rare = lists(r[~near], [k[~near].view(np.int64), n[~near], u[~near].view(np.int64), x[~near].view(np.int64)], ["k", "n", "u", "h"])
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).slice(part.first, part.rows), batch.column(1).slice(part.first, part.rows), pa.array(np.bincount(row, minlength=part.rows)),
-                        pa.array(np.bincount(row[here], minlength=part.rows)), pa.array(base), pa.array(score), tail,
-                    ], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
+                        pa.array(np.bincount(row[find(m.words, key)[inverse] >= 0], minlength=part.rows)), pa.array(base), pa.array(score), tail, rare,
+                    ], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "rare"])
 
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<h:long,u:int,n:int>>"
+        schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<k:long,n:int,of:long,a:float>>, rare array<struct<k:long,n:int,u:long,h:long>>"
         slim = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         first = self.scratch.save(slim.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "heads-scored")
-        rest = first.select("row", F.explode("tail").alias("x")).select("row", "x.h", "x.u", "x.n")
-        back = spark.createDataFrame([(-1, 1.0, 1.0), *((i, float(a), float(b)) for i, (a, b) in enumerate(heads.back))], "u int, back_p double, back double")
-        known = self.state.select("h", "c", "seated", "tables", "seated_p", "tables_p").where(F.col("c") * ENTRIES < total)
-        joined = rest.join(known, "h", "left").join(F.broadcast(back), "u")
+        near = first.select("row", F.explode("tail").alias("x")).select("row", "x.k", "x.n", "x.of", "x.a")
         (cp, tp), (cn, tn) = self.totals
-        d0 = self.d0
-
-        def root(seated: str, tables: str, all_c: float, all_t: float):
-            own = F.greatest(F.coalesce(F.col(seated) - F.lit(d0) * F.col(tables), F.lit(0.0)), F.lit(0.0))
-            return (own + (STRENGTH + d0 * all_t) / (types + 1)) / (STRENGTH + all_c)
-
-        p = (F.col("back_p") * root("seated_p", "tables_p", cp, tp) + F.col("back") * root("seated", "tables", cn, tn)) / 2
+        d0, d1 = self.d0, self.d1
+        roots = [_root_column("seated_p", "tables_p", (cp, tp), types, d0), _root_column("seated", "tables", (cn, tn), types, d0)]
+        of_word = self.state.select("h", "c", "seated", "tables", "seated_p", "tables_p")
+        of_context = self.state.select(F.col("h").alias("u"), F.col("c").alias("of"), *((F.lit(STRENGTH) + F.lit(d1) * F.col(n)).alias(f"back_{n}") for n in ("of_p", "of")))
+        rest = first.select("row", F.explode("rare").alias("x")).select("row", "x.k", "x.n", "x.u", "x.h")
+        rest = rest.join(bounded(of_word), "h", "left").join(bounded(of_context), "u", "left")
+        backs = [F.coalesce(F.col(f"back_{n}") / (F.lit(STRENGTH) + F.col("of")), F.lit(1.0)) for n in ("of_p", "of")]
         c = F.coalesce("c", F.lit(0))
-        base = F.log10((c + 0.5) / (total + 0.5 * (types + 1)))
-        sums = joined.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * base).alias("base2"), F.sum(F.col("n") * F.log10(p)).alias("score2"))
-        out = first.drop("tail").join(sums, "row", "left")
+        # Words of the head had their base score in the task.
+        unmet = c < self.least
+        base = F.when(unmet, F.log10((c + 0.5) / (total + 0.5 * (types + 1)))).otherwise(0.0)
+        rest = self.scratch.save(rest.select(
+            "row", "k", "n", F.coalesce("of", F.lit(0)).cast("long").alias("of"), ((backs[0] * roots[0] + backs[1] * roots[1]) / 2).cast("float").alias("a"),
+            F.when(unmet & (c > 0), F.col("n")).otherwise(0).alias("more"), (F.col("n") * base).alias("base2"),
+        ), "rare")
+        joined = near.unionByName(rest.select("row", "k", "n", "of", "a")).join(self.dishes, "k", "left")
+        p = F.coalesce("m", F.lit(0.0)) / (F.col("of") + STRENGTH) + F.col("a")
+        sums = joined.groupBy("row").agg(F.sum(F.col("n") * F.log10(p)).alias("score2"))
+        bases = rest.groupBy("row").agg(F.sum("more").alias("more"), F.sum("base2").alias("base2"))
+        out = first.drop("tail", "rare").join(sums, "row", "left").join(bases, "row", "left")
         return out.select(
             "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),

@@ -378,6 +378,25 @@ def test_model_sums_to_one(spark):
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in empty)
 
 
+def test_every_context_counts(spark, monkeypatch):
+    """A pair seen twice among many words counts, and heads of any size give the same probabilities but for the seating's chance."""
+    rng = random.Random(3)
+    texts = ["rare pair"] * 2 + [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(200)]
+    df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    asked = spark.createDataFrame([(0, True, "zz rare pair"), (1, True, "zz pair rare"), (2, True, "rare zz"), (3, True, "zz pair w1 w2 w3")], df.schema)
+    whole = {r["doc_id"]: r for r in pitman_yor.Model(df).score(asked).collect()}
+    assert whole[0]["score"] > whole[1]["score"] + 1
+    assert pitman_yor.Model(df).dishes.count() == len({(a, b) for t in texts for a, b in zip(["", *t.split()], [*t.split(), ""], strict=True)})
+    for head in (0, 30):
+        monkeypatch.setattr(pitman_yor, "HEAD", head)
+        model = pitman_yor.Model(df)
+        assert len(model.heads.words) <= head and len(model.heads.dishes) <= head
+        got = {r["doc_id"]: r for r in model.score(asked).collect()}
+        for i, r in whole.items():
+            assert (got[i]["n_tokens"], got[i]["n_known"]) == (r["n_tokens"], r["n_known"])
+            assert got[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-9) and got[i]["score"] == pytest.approx(r["score"], rel=0.02)
+
+
 def test_seating():
     """The mean number of tables is that of customers seated one by one."""
     rng, c, weight, d = np.random.default_rng(0), 12, 1.5, 0.4
