@@ -4,10 +4,11 @@ Of each text that the fixed rules keep, a vector of transformed statistics is ta
 a group of their own) a minimum covariance determinant estimate is fitted: from medians and median deviations, each step
 keeps the share SUPPORT of the group's rows with the smallest distances and takes mean and covariance of these, which never
 raises the determinant. All rows take part; the steps are grouped sums and quantile sketches, so a hot group is summed
-where it lies. The covariance is scaled so that the median distance fits a chi-square law, and has a least variance
-per axis. A text whose squared distance exceeds the cutoff is rejected.
+where it lies. The covariance is widened where the median distance exceeds that of a chi-square law. Axes whose statistic is zero
+for most texts have a least variance; on the others it only keeps a matrix invertible, and the estimate decides. A text whose
+squared distance exceeds the cutoff is rejected.
 
-Groups of under MIN_GROUP rows take the estimate of all groups together. An empty table stays empty; a null or
+Groups of under MIN_GROUP rows take the estimate of their language, and languages of under MIN_GROUP rows that of all rows. An empty table stays empty; a null or
 empty text fails the fixed rules. Ties at the quantile are all kept. Other columns are ignored.
 """
 
@@ -31,8 +32,9 @@ STEPS = 4
 MIN_GROUP = 200
 #: Squared distances are held against the chi-square quantile at so many standard normal deviations.
 CUTOFF_DEVIATIONS = 5.0
-#: The least standard deviation along each axis of AXES; statistics that are zero nearly always need one.
-LEAST_DEVIATION = (0.08, 0.12, 0.12, 0.12, 0.06, 0.06, 0.06)
+#: The least standard deviation along each axis of AXES. Symbols, repeats and digits are zero nearly always and need one; the
+#: others spread by 0.01 to 0.03, so theirs is far below that.
+LEAST_DEVIATION = (0.005, 0.12, 0.12, 0.12, 0.003, 0.06, 0.003)
 
 AXES = ["word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punct"]
 
@@ -96,21 +98,32 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         cross = F.array(*(F.avg(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i, p)))
         now = scratch.save(near.groupBy("key").agg(mean.alias("mean"), cross.alias("cross")).mapInPandas(invert, "key string, centre array<double>, inverse array<double>"), f"step-{step}")
     middle = rows.join(bounded(now), "key").groupBy("key").agg(F.percentile_approx(_distance(p), 0.5).alias("middle"))
-    # Never below 1: where most rows agree on every axis the least deviations alone set the scale.
+    # Never below 1: axes that are zero for most rows add nothing to the median distance, so narrowing by it would reject clean rows.
     scale = F.greatest(F.lit(1.0), F.col("middle") / chi_square(0.0, p))
     return scratch.save(now.join(bounded(middle), "key").select("key", "centre", "inverse", scale.alias("scale")), "estimates")
 
 
+def uses(good: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per key of ``good(key, lang)``: whose estimate it takes, and whether that of its language is asked for."""
+    sizes = good.groupBy("key", "lang").agg(F.count("*").alias("n"))
+    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
+    asked = (F.col("all") >= MIN_GROUP) & (F.col("least") < MIN_GROUP)
+    use = F.when(F.col("n") >= MIN_GROUP, F.col("key")).when(asked, F.col("lang")).otherwise(F.lit(""))
+    return scratch.save(sizes.join(bounded(by_lang), "lang").select("key", use.alias("use"), asked.alias("asked")), "sizes")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)`` per row."""
     scratch = Scratch(docs.sparkSession)
-    slim = docs.select("doc_id", F.to_json(F.struct("lang", "source")).alias("key"), F.col("text").cast("string").alias("text"))
+    slim = docs.select("doc_id", F.to_json(F.struct("lang", "source")).alias("key"), F.concat(F.lit("lang "), F.to_json(F.struct("lang"))).alias("lang"), F.col("text").cast("string").alias("text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = scratch.save(with_statistics(slim).select(*base, "key", failed.alias("base_failed"), F.array(*vector()).alias("x")), "rows")
-    good = rows.where("not base_failed").select("key", "x")
-    sizes = scratch.save(good.groupBy("key").agg(F.count("*").alias("n")).select("key", F.when(F.col("n") >= MIN_GROUP, F.col("key")).otherwise(F.lit("")).alias("use")), "sizes")
-    fitted = estimates(good.unionByName(good.withColumn("key", F.lit(""))), scratch)
+    rows = scratch.save(with_statistics(slim).select(*base, "key", "lang", failed.alias("base_failed"), F.array(*vector()).alias("x")), "rows")
+    good = rows.where("not base_failed").select("key", "lang", "x")
+    sizes = uses(good, scratch)
+    # A row takes part in the estimates of its group, of its language and of all, as far as these are asked for.
+    keys = F.array_compact(F.array(F.when(F.col("use") == F.col("key"), F.col("key")), F.when(F.col("asked"), F.col("lang")), F.lit("")))
+    fitted = estimates(good.join(bounded(sizes), "key").select(F.explode(keys).alias("key"), "x"), scratch)
     found = rows.join(bounded(sizes), "key", "left").withColumn("use", F.coalesce("use", F.lit("")))
     found = found.join(bounded(fitted.withColumnRenamed("key", "use")), "use", "left")
     distance = _distance(len(AXES)) / F.col("scale")

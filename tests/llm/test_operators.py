@@ -213,6 +213,36 @@ def test_minimum_covariance_resists_outliers(spark):
     assert np.mean(np.array(d[:200]) <= limit) > 0.98 and min(d[200:]) > limit
 
 
+def test_quality_labels(spark):
+    """Low quality that the fixed rules let pass is for the estimate to find."""
+    got = queries.op2_quality_rules(spark, "/root/testdata/sf0.01").toPandas()
+    got = got[~got.base_failed].merge(duckdb.sql("SELECT * FROM '/root/testdata/sf0.01/labels.parquet'").df(), on="doc_id")
+    assert (~got[got.quality == 0].kept).mean() > 0.95 and got[got.quality == 1].kept.mean() > 0.97
+
+
+def test_narrow_axes_decide(spark):
+    """A text ten deviations off on a narrow axis is an outlier."""
+    rng = np.random.default_rng(5)
+    p, deviation = len(quality_rules.AXES), np.array([0.025, 0, 0, 0, 0.012, 0.01, 0.012])
+    rows = 0.3 + rng.normal(0, 1, (600, p)) * deviation
+    r = quality_rules.estimates(spark.createDataFrame([("g", x.tolist()) for x in rows], "key string, x array<double>"), scratch.Scratch(spark)).first()
+    limit = quality_rules.chi_square(quality_rules.CUTOFF_DEVIATIONS, p)
+
+    def distance(x):
+        return float((x - r["centre"]) @ np.reshape(r["inverse"], (p, p)) @ (x - r["centre"])) / r["scale"]
+
+    assert np.mean([distance(x) <= limit for x in rows]) > 0.97
+    for axis in (0, 4, 6):
+        assert distance(np.full(p, 0.3) + 10 * deviation * (np.arange(p) == axis)) > limit
+
+
+def test_small_groups_take_their_language(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MIN_GROUP", 5)
+    rows = [(k, lang) for k, lang, n in (("en a", "en", 6), ("en b", "en", 2), ("de a", "de", 5), ("fr a", "fr", 3), ("fr b", "fr", 1)) for _ in range(n)]
+    got = {r["key"]: (r["use"], r["asked"]) for r in quality_rules.uses(spark.createDataFrame(rows, "key string, lang string"), scratch.Scratch(spark)).collect()}
+    assert got == {"en a": ("en a", True), "en b": ("en", True), "de a": ("de a", False), "fr a": ("", False), "fr b": ("", False)}
+
+
 def test_rule_ensemble(spark):
     rng = np.random.default_rng(3)
     x = rng.random((600, 3))
