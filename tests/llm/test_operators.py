@@ -93,6 +93,55 @@ def test_join_of_dense_group(spark):
     assert got == linked(texts)
 
 
+def test_join_of_a_large_group_makes_no_square(spark, monkeypatch):
+    """1,500 near copies of one text, half of them too far from it to link; half share a second passage. The rows that meet stay few."""
+    rng, base = np.random.default_rng(3), [f"b{i}" for i in range(150)]
+    texts = {}
+    for i in range(1500):
+        w = base + ([f"v{j}" for j in range(12)] if i % 2 else [f"u{rng.integers(10**9)}" for _ in range(12)])
+        for _ in range(rng.choice([0, 1, 5, 6])):
+            at = int(rng.integers(140))
+            w[at : at + int(rng.integers(1, 3))] = [f"e{rng.integers(10**9)}"]
+        texts[i] = " ".join(w)
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts.values()]
+    number: dict = {}
+    at = [(i, number.setdefault(x, len(number))) for i, s in enumerate(sets) for x in s]
+    dense = np.zeros((len(sets), len(number)), np.float32)
+    dense[tuple(np.array(at).T)] = 1
+    size, both = dense.sum(1), dense @ dense.T
+    link = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    component = np.arange(len(sets))
+    while (new := np.where(link, component[None], len(sets)).min(1)).tolist() != component.tolist():
+        component = new
+    assert 50 < len(set(component.tolist())) < 1450
+    met = []
+
+    def counted(pairs, asked, own=ngram_join._counted):
+        met.append(pairs.count())
+        return own(pairs, asked)
+
+    monkeypatch.setattr(ngram_join, "_counted", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_components(df).collect()}
+    assert got == dict(enumerate(component.tolist()))
+    assert max(met) < 1500 * 1500 / 20, met
+
+
+def test_join_tells_rows_apart_by_text(spark):
+    """Repeated and null ids: each text has its own links, and exact copies without an id are one group."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, x), (1, y), (2, y), (3, z), (3, z), (None, x), (None, z), (None, "p q r s t u"), (None, "p q r s t u"), (4, ""), (4, ""), (None, None)]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, _key string, key int")
+    got = ngram_join.near_duplicate_components(df).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(
+        [(1, 36, 1), (1, 36, 1), (2, 36, 1), (3, 36, 3), (3, 36, 3), (None, 36, 1), (None, 36, 3), (None, 2, None), (None, 2, None), (4, 0, 4), (4, 0, 4), (None, 0, None)], key=str,
+    )
+    kept = ngram_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    texts = [r["text"] for r in kept.collect()]
+    assert sorted(t or "" for t in texts) == sorted([x, y, z, "p q r s t u", "", "", ""])
+
+
 def test_join_of_awkward_rows(spark):
     rows = ngram_join.near_duplicate_components(awkward(spark)).collect()
     assert len(rows) == 14
@@ -100,6 +149,7 @@ def test_join_of_awkward_rows(spark):
     assert by[0]["n_shingles"] == by[1]["n_shingles"] == by[2]["n_shingles"] == 0 and by[1]["component_id"] == 1
     assert by[6]["component_id"] == 5 and by[10]["component_id"] == 9
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [9]
+    assert sorted(r["component_id"] for r in rows if r["doc_id"] == 3) == [3, 3]
     assert ngram_join.keep_one_of_each(awkward(spark)).columns == awkward(spark).columns
     assert ngram_join.near_duplicate_components(awkward(spark, [])).count() == 0
 
