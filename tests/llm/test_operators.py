@@ -250,17 +250,68 @@ def test_quality_rules(spark):
     assert quality_rules.judge(awkward(spark, [])).count() == 0
 
 
+def fitted(spark, rows):
+    """(centre, covariance with least deviations, distance function) of one group."""
+    p = len(quality_rules.AXES)
+    r = quality_rules.estimates(spark.createDataFrame([("g", x.tolist()) for x in rows], "key string, x array<double>"), scratch.Scratch(spark)).first()
+    cov = np.zeros((p, p))
+    cov[np.triu_indices(p)] = r["cov"]
+    cov = cov + np.triu(cov, 1).T
+    inverse = np.linalg.inv(cov + np.diag(np.square(quality_rules.LEAST_DEVIATION)))
+    return np.array(r["centre"]), cov, lambda x: float((x - r["centre"]) @ inverse @ (x - r["centre"]))
+
+
+def concentrated(rows, centre, cov, steps=60):
+    """Plain concentration steps to the end from a given start."""
+    least, h = np.diag(np.square(quality_rules.LEAST_DEVIATION)), math.ceil(quality_rules.SUPPORT * len(rows))
+    for _ in range(steps):
+        d = np.einsum("ij,jk,ik->i", rows - centre, np.linalg.inv(cov + least), rows - centre)
+        near = rows[np.argsort(d, kind="stable")[:h]]
+        centre, cov = near.mean(0), np.cov(near.T, bias=True)
+    return np.linalg.slogdet(cov + least)[1], centre, cov
+
+
+def correlated(rng, n):
+    """Rows whose first five axes move together within narrow limits, and outliers that leave only the pattern, not the range of any axis."""
+    p = len(quality_rules.AXES)
+    side = rng.normal(0, 1.0, (n, 1))
+    good = 2.0 + side * np.ones(p) + rng.normal(0, 0.15, (n, p))
+    bad = 2.0 + rng.normal(0, 1.0, (n // 5, 1)) * np.where(np.arange(p) % 2, 1, -1) + rng.normal(0, 0.15, (n // 5, p))
+    return good, bad
+
+
+def test_minimum_covariance_equals_plain_steps(spark):
+    """On correlated groups the estimate is that of plain steps from many random starts; a diagonal distance fails there."""
+    rng = np.random.default_rng(4)
+    good, bad = correlated(rng, 600)
+    rows = np.vstack([good, bad])
+    centre, cov, distance = fitted(spark, rows)
+    best = min((concentrated(rows, rows[pick].mean(0), np.cov(rows[pick].T, bias=True)) for pick in (rng.choice(len(rows), 8, False) for _ in range(40))), key=lambda x: x[0])
+    assert np.allclose(centre, best[1], atol=0.02) and np.allclose(cov, best[2] * quality_rules.consistency(quality_rules.SUPPORT, 7), rtol=0.05, atol=0.02)
+    limit = quality_rules.chi_square(quality_rules.CUTOFF_DEVIATIONS, 7)
+    far = np.abs(bad - 2.0).max(1) > 1.0
+    assert np.mean([distance(x) <= limit for x in good]) > 0.98 and min(distance(x) for x in bad[far]) > limit
+    middle = np.median(rows, 0)
+    plain = np.square((bad[far] - middle) / (1.4826 * np.median(np.abs(rows - middle), 0))).sum(1)
+    assert np.mean(plain <= limit) > 0.9
+
+
 def test_minimum_covariance_resists_outliers(spark):
     """A fifth of wild rows must not move the estimate of the others."""
     rng = np.random.default_rng(4)
     p = len(quality_rules.AXES)
     good, bad = rng.normal(2.0, 0.5, (800, p)), rng.normal(30.0, 1.0, (200, p))
-    df = spark.createDataFrame([("g", r.tolist()) for r in np.vstack([good, bad])], "key string, x array<double>")
-    r = quality_rules.estimates(df, scratch.Scratch(spark)).first()
-    assert np.allclose(r["centre"], 2.0, atol=0.15)
-    d = [float((x - r["centre"]) @ np.reshape(r["inverse"], (p, p)) @ (x - r["centre"])) / r["scale"] for x in (*good[:200], *bad)]
+    centre, cov, distance = fitted(spark, np.vstack([good, bad]))
+    assert np.allclose(centre, 2.0, atol=0.15) and np.allclose(np.diag(cov), 0.25, rtol=0.3)
     limit = quality_rules.chi_square(quality_rules.CUTOFF_DEVIATIONS, p)
-    assert np.mean(np.array(d[:200]) <= limit) > 0.98 and min(d[200:]) > limit
+    assert np.mean([distance(x) <= limit for x in good[:200]]) > 0.98 and min(distance(x) for x in bad) > limit
+
+
+def test_consistency():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (200_000, 7))
+    d = np.square(x).sum(1)
+    assert math.isclose(quality_rules.consistency(0.75, 7) * x[d <= np.quantile(d, 0.75)].var(0).mean(), 1.0, rel_tol=0.02)
 
 
 def test_quality_labels(spark):
@@ -275,22 +326,24 @@ def test_narrow_axes_decide(spark):
     rng = np.random.default_rng(5)
     p, deviation = len(quality_rules.AXES), np.array([0.025, 0, 0, 0, 0.012, 0.01, 0.012])
     rows = 0.3 + rng.normal(0, 1, (600, p)) * deviation
-    r = quality_rules.estimates(spark.createDataFrame([("g", x.tolist()) for x in rows], "key string, x array<double>"), scratch.Scratch(spark)).first()
-    limit = quality_rules.chi_square(quality_rules.CUTOFF_DEVIATIONS, p)
-
-    def distance(x):
-        return float((x - r["centre"]) @ np.reshape(r["inverse"], (p, p)) @ (x - r["centre"])) / r["scale"]
-
+    limit, (_, _, distance) = quality_rules.chi_square(quality_rules.CUTOFF_DEVIATIONS, p), fitted(spark, rows)
     assert np.mean([distance(x) <= limit for x in rows]) > 0.97
     for axis in (0, 4, 6):
         assert distance(np.full(p, 0.3) + 10 * deviation * (np.arange(p) == axis)) > limit
 
 
-def test_small_groups_take_their_language(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "MIN_GROUP", 5)
-    rows = [(k, lang) for k, lang, n in (("en a", "en", 6), ("en b", "en", 2), ("de a", "de", 5), ("fr a", "fr", 3), ("fr b", "fr", 1)) for _ in range(n)]
-    got = {r["key"]: (r["use"], r["asked"]) for r in quality_rules.uses(spark.createDataFrame(rows, "key string, lang string"), scratch.Scratch(spark)).collect()}
-    assert got == {"en a": ("en a", True), "en b": ("en", True), "de a": ("de a", False), "fr a": ("", False), "fr b": ("", False)}
+def test_small_groups_follow_their_language(spark):
+    """One row more never makes a jump: the weight of a group's own estimate is n / (n + SHRINK)."""
+    p, cells = len(quality_rules.AXES), len(quality_rules.AXES) * (len(quality_rules.AXES) + 1) // 2
+    flat = [float(i == j) for i in range(p) for j in range(i, p)]
+    rows = [("en", 10**9, [0.0] * p, flat)] + [(f"g{n}", n, [1.0] * p, [3 * v for v in flat]) for n in (1, 49, 50, 51, 10**9)]
+    made = spark.createDataFrame(rows, "key string, n long, centre array<double>, cov array<double>")
+    groups = spark.createDataFrame([(r[0], "en") for r in rows[1:]], "key string, lang string")
+    got = {r["key"]: r for r in quality_rules.shrunk(made, groups, scratch.Scratch(spark)).collect()}
+    for n in (1, 49, 50, 51, 10**9):
+        w, r = n / (n + quality_rules.SHRINK), got[f"g{n}"]
+        assert np.allclose(r["centre"], w, atol=1e-6) and len(r["inverse"]) == cells
+        assert np.isclose(r["inverse"][0], 1 / (1 + 2 * w + quality_rules.LEAST_DEVIATION[0] ** 2), rtol=1e-5)
 
 
 def test_rule_ensemble(spark):
