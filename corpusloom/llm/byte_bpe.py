@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -51,10 +52,18 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@cache
+def vocabulary(path: str) -> dict[str, int]:
+    """The tokens of a rank file as the library spells them, a character for each byte, and their ids."""
+    table = byte_characters()
+    return {"".join(table[x] for x in b): i for b, i in ranks(path).items()}
+
+
 @cache
 def _pieces(path: str) -> tuple[bytes, np.ndarray]:
-    """All tokens' bytes in a row by id, and where each begins."""
-    known = {i: b for b, i in ranks(path).items()}
+    """All tokens' bytes, by the reversed byte table, in a row by id, and where each begins."""
+    byte = {c: b for b, c in enumerate(byte_characters())}
+    known = {i: bytes(map(byte.__getitem__, characters)) for characters, i in vocabulary(path).items()}
     each = [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
     return b"".join(each), np.concatenate([[0], np.cumsum([len(b) for b in each], dtype=np.int64)])
 
@@ -68,7 +77,7 @@ def tokenizer(path: str, pattern: str):
     table, known = byte_characters(), ranks(path)
     shown = {b: "".join(table[x] for x in b) for b in known}
     merges = [(shown[b[:k]], shown[b[k:]]) for b in sorted(known, key=known.get) for k in range(1, len(b)) if b[:k] in known and b[k:] in known]
-    out = Tokenizer(models.BPE({shown[b]: i for b, i in known.items()}, merges, ignore_merges=True))
+    out = Tokenizer(models.BPE(vocabulary(path), merges, ignore_merges=True))
     out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return out
 
@@ -76,12 +85,13 @@ def tokenizer(path: str, pattern: str):
 class Encoder:
     """Ids of whole texts, with the ids of the parts between white space held for the next time.
 
-    No match of the pattern reaches from another character to white space, and none looks back. So a text can be cut
-    before each space or line end that follows no white space, and the ids of its parts are the ids of the text.
+    No match of public_tokenizers.PATTERN reaches from another character to white space, and none looks back. So a text can be
+    cut before each space or line end that follows no white space, and the ids of its parts are the ids of the text. With
+    any other pattern texts are encoded whole.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.encoder = tokenizer(path, pattern)
+        self.encoder, self.parts = tokenizer(path, pattern), pattern == public_tokenizers.PATTERN
         self.held: dict[str, bytes] = {}
 
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
@@ -96,7 +106,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [None if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        cut = [None if not self.parts or _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         ids = self._learn({p for parts in cut if parts for p in parts[1:]})
         # What has runs of white space is encoded whole, and so is the start of a text, which no space precedes.
         plain = [t if parts is None else parts[0] for t, parts in zip(texts, cut, strict=True)]
@@ -110,7 +120,8 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """``docs`` plus ``token_ids`` and, if asked for, ``token_offsets`` (start, end of each id)."""
+    """``docs`` plus ``token_ids`` and, if asked for, ``token_offsets`` (start, end of each id), which replace columns of these names."""
+    docs = docs.drop("token_ids", "token_offsets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +170,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode(ids: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
-    """``ids`` plus ``decoded_bytes`` and ``decoded_text`` of the lists in ``ids_col``."""
+    """``ids`` plus ``decoded_bytes`` and ``decoded_text`` of the lists in ``ids_col``, which replace columns of these names."""
+    ids = ids.drop("decoded_bytes", "decoded_text")
     at = ids.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

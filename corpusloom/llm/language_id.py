@@ -1,8 +1,9 @@
 """Language of a text: known words by their frequency per language, unseen words by ever shorter character n-grams.
 
 Words are runs of ASCII letters and of characters beyond ASCII, A-Z lower-cased. Training counts words, and the n-grams
-of each word with its ends marked, over all labelled texts. A table keeps every entry whose share of all its counts is
-``1 / entries`` or more, so it has at most ``entries`` rows however much text is read; that bounds what is broadcast.
+of each word with its ends marked, over all labelled texts. A table keeps every entry whose share of the counts of any one
+language is ``languages / entries`` or more, so it has at most ``entries`` rows however much text is read, and a rare language
+has as many as a common one; that bounds what is broadcast.
 A word in the word table adds its smoothed log frequency in each language. Any other word adds the mean log frequency of
 its n-grams of the longest length at which one is known.
 
@@ -26,8 +27,8 @@ from corpusloom.llm import textkit
 from corpusloom.llm.scratch import Scratch
 
 UNKNOWN = "und"
-WORD_ENTRIES = 1 << 17
-GRAM_ENTRIES = 1 << 16
+WORD_ENTRIES = 1 << 19
+GRAM_ENTRIES = 1 << 18
 #: Character n-gram lengths, longest first.
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
@@ -132,7 +133,7 @@ def train(docs: DataFrame) -> Model:
     """Counts over all of ``docs(text, lang)``; the driver gets the bounded tables only."""
     counts = docs.where("lang is not null and text is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counts = counts.mapInArrow(_count, "kind int, lang string, hash long, n long").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("kind", "hash").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    by_key = counts.groupBy("kind", "hash").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     by_key = Scratch(docs.sparkSession).save(by_key, "language-counts")
     sizes = by_key.select("kind", F.explode("by_lang").alias("lang", "n")).groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     langs = sorted({r["lang"] for r in sizes})
@@ -141,9 +142,9 @@ def train(docs: DataFrame) -> Model:
         own = {r["lang"]: r for r in sizes if r["kind"] == kind}
         if not own:
             continue
-        entries = GRAM_ENTRIES if kind else WORD_ENTRIES
-        least = sum(r["n"] for r in own.values()) / entries
-        head = by_key.where((F.col("kind") == kind) & (F.col("total") >= least))
+        entries = (GRAM_ENTRIES if kind else WORD_ENTRIES) / len(own)
+        frequent = F.exists(F.map_entries("by_lang"), lambda e: e["value"] * entries >= F.element_at(F.create_map(*(F.lit(x) for k, r in own.items() for x in (k, r["n"]))), e["key"]))
+        head = by_key.where((F.col("kind") == kind) & frequent)
         head = head.select("hash", F.array(*(F.coalesce(F.element_at("by_lang", F.lit(x)), F.lit(0)) for x in langs)).alias("n")).toArrow()
         h = head.column("hash").to_numpy().astype(np.int64).view(np.uint64)
         n = np.asarray(head.column("n").combine_chunks().flatten() if head.num_rows else [], np.float64).reshape(-1, len(langs))
@@ -192,7 +193,8 @@ def score_slice(model: Model, part: textkit.Texts) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred`` and ``lang_score``, by its column text."""
+    """All columns of ``docs`` plus ``lang_pred`` and ``lang_score``, by its column text. Columns that had these names are replaced."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     text_at = names.index("text")

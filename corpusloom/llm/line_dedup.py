@@ -66,17 +66,22 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: in
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated boilerplate lines cut from the text, plus ``_n_lines`` and ``_n_removed``."""
+    """``docs`` with repeated boilerplate lines cut from the text, plus ``_n_lines`` and ``_n_removed``, which replace columns of these names."""
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(site_col).cast("string").alias("_site"))
     found = boilerplate_lines(slim, min_sites, min_words)
     places = _lines(slim, min_words).join(bounded(found), ["h", "g"]).where("not (id <=> first.id and row = first.row and pos = first.pos)")
-    cut = places.groupBy("row").agg(F.collect_set("pos").alias("_cut"))
-    row = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    out = docs.withColumn("_row", row).join(cut.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_cut", i))
+    free = "_"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    # Texts are told apart by id and hash.
+    cut = places.groupBy(F.col("id").alias(f"{free}id"), F.col("row").alias(f"{free}row")).agg(F.collect_set("pos").alias(f"{free}cut"))
+    own = F.col(id_col).eqNullSafe(F.col(f"{free}id")) & (F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == F.col(f"{free}row"))
+    out = docs.join(cut, own, "left").drop(f"{free}id", f"{free}row")
+    lines = F.coalesce(F.split(F.col(text_col).cast("string"), "\n"), F.array().cast("array<string>"))
+    taken = F.coalesce(F.col(f"{free}cut"), F.array().cast("array<int>"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(taken, i))
     return out.withColumns({
-        "_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-        "_n_removed": F.coalesce(F.size("_cut"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)),
-    }).drop("_cut")
+        "_n_lines": F.size(lines).cast("long"),
+        "_n_removed": F.size(taken).cast("long"),
+        text_col: F.when(F.col(f"{free}cut").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)),
+    }).drop(f"{free}cut")

@@ -14,8 +14,8 @@ How the work is kept linear in the input, while no link between different sets i
    then share more of them; the sketch's document frequencies price both.
 4. Postings with a shingle of one class only are dropped. Then each list is joined with its centre alone, the class
    with the largest shared part: as many pairs as postings. Classes so linked fall into components.
-5. Lists that hold one component only are dropped. A class in a long list that is left gets a pivot, one centre of its
-   lists, and its overlap with the pivot is taken from the whole sets. Two classes with the same pivot share at most
+5. Lists that hold one component only are dropped. A class in long lists that are left gets a pivot, one centre of its
+   lists that covers half of it, and its overlap with the pivot is taken from the whole sets. Two classes with the same pivot share at most
    the smaller of both overlaps within it. Where that is less than they need to link, they must share shingles that the
    pivot lacks, so they only meet in lists keyed by pivot and such a shingle. Near copies of one text have few of these
    in common, so a long list gives no square of pairs.
@@ -205,21 +205,27 @@ def _verify(words: int):
 
 
 def _measure(sketch, words: int):
-    """Rows (a, b, n, overlap, linked, extra) for pairs (a, pivot b, text_a, text_b); extra: what b lacks, in the global order."""
+    """Rows (a, b, n, overlap, linked, extra) for pairs (a, pivot b, text_a, text_b); extra: what b lacks, in the global order.
+
+    Classes of which the pivot covers less than half go without.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = sketch.value
         for batch in batches:
-            n, overlap, linked, parts = [], [], [], []
+            n, overlap, linked, parts, keep = [], [], [], [], []
             for _, mine, other, shared in _compared(batch, words):
                 both, extra = int(shared.sum()), mine[~shared]
+                keep.append(2 * both >= len(mine))
+                if not keep[-1]:  # too far from its pivot to gain by it
+                    extra = extra[:0]
                 parts.append(extra[np.argsort((rarity[_cell(extra)].astype(np.uint64) << np.uint64(60)) | extra)])
                 n.append(len(mine)), overlap.append(both), linked.append(_links(mine, other, both))
             flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(overlap, pa.int64()), pa.array(linked, pa.bool_()), textkit.list_array(flat, np.array([len(x) for x in parts], np.int64))],
                 ["a", "b", "n", "overlap", "linked", "extra"],
-            )
+            ).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -301,10 +307,12 @@ def _star_pairs(now: DataFrame) -> DataFrame:
 
 
 def _pivots(now: DataFrame) -> DataFrame:
-    """``(a, b)``: each class of a long list with its pivot, the best centre of its long lists."""
+    """``(a, b)``: classes with their pivot, the best centre of their long lists, where it is that of a quarter of their lists."""
     long = now.where(F.col("members") >= LONG_LIST)
     centre = _centres(long).select("token", F.col("c.id").alias("pivot"), F.expr("struct((c.m + c.rest) / c.n, -c.id)").alias("rank"))
-    return long.join(centre, "token").groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", "rank").alias("b"))
+    met = long.join(centre, "token").groupBy("id", "pivot").agg(F.count("*").alias("c"), F.max("m").alias("m"), F.max("rank").alias("rank"))
+    best = met.groupBy("id").agg(F.max_by(F.struct("pivot", "c", "m"), "rank").alias("p"))
+    return best.where("4 * p.c >= p.m").select(F.col("id").alias("a"), F.col("p.pivot").alias("b"))
 
 
 def _pairs_by_token(now: DataFrame, beyond: DataFrame) -> DataFrame:

@@ -16,14 +16,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.scratch import Scratch
 
 WIDTH = 10
 #: Rare words that a window is looked up by.
 ANCHORS = 2
-#: Up to so many rows (terms or row numbers) are broadcast; beyond, the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Larger tables are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = "".join(chr(c) for c in range(128) if not (chr(c).isalnum()))
@@ -40,8 +41,10 @@ def words_of(text: Column) -> Column:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the counted rows are within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A broadcast hint, if all rows of ``df``, a stored table or little above one, take BROADCAST_BYTES at most."""
+    fixed = all(isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in df.schema.fields)
+    size = F.count("*") * 16 * len(df.columns) if fixed else F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def token_table(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,15 +85,15 @@ def phrase_matches(tokens: DataFrame, items: DataFrame, scratch: Scratch) -> Dat
     ``starts`` of one alignment of text and item stay together in an array, no longer than the item.
     """
     items = scratch.save(items, "items")
-    terms = items.select(F.explode("words").alias("term")).distinct()
+    terms = scratch.save(items.select(F.explode("words").alias("term")).distinct(), "terms")
     items = scratch.save(_anchored(items, occurrences(tokens, terms)), "anchored")
     anchors = items.select("item_id", "words", F.explode(F.array_distinct(F.flatten("windows"))).alias("place"))
     anchors = scratch.save(anchors.select("item_id", "place", F.expr("words[place]").alias("term")), "anchors")
-    index = postings(tokens, anchors.select("term").distinct(), scratch)
+    index = postings(tokens, scratch.save(anchors.select("term").distinct(), "anchor-terms"), scratch)
     aligned = index.join(bounded(anchors), "term").groupBy("row", "item_id", (F.col("pos") - F.col("place")).alias("offset")).agg(F.collect_set("place").alias("places"))
     aligned = aligned.join(bounded(items), "item_id").where("exists(windows, w -> size(array_except(w, places)) = 0)").select("row", "item_id", "offset")
     aligned = scratch.save(aligned, "aligned")
-    rows = aligned.select("row").distinct()
+    rows = scratch.save(aligned.select("row").distinct(), "aligned-rows")
     texts = tokens.select("row", F.col("words").alias("text_words")).join(bounded(rows), "row", "left_semi")
     both = aligned.join(texts, "row").join(bounded(items.select("item_id", "words", "width")), "item_id")
     equal = both.withColumn("equal", F.expr("transform(words, (w, i) -> coalesce(get(text_words, offset + i) = w, false))"))
@@ -104,7 +107,7 @@ def proximity_matches(tokens: DataFrame, queries: DataFrame, within: int, scratc
     ``queries(query_id, terms)`` has arrays of terms; the rarest, ties by spelling, leads.
     """
     wanted = scratch.save(queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), "near-terms")
-    terms = wanted.select("term").distinct()
+    terms = scratch.save(wanted.select("term").distinct(), "near-distinct")
     counts = occurrences(tokens, terms)
     lead = wanted.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("lead"), F.count("*").alias("asked"))
     index = postings(tokens, terms, scratch)
@@ -130,3 +133,16 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(none).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", none), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` whose text has no window of an item. Rows with null or repeated ids are told apart by their texts."""
+    found = contamination(docs.select(F.struct("doc_id", _text_key("text").alias("key")).alias("doc_id"), "text"), items, width)
+    dirty = found.where("contaminated").select(F.col("doc_id.doc_id").alias("_dirty_id"), F.col("doc_id.key").alias("_dirty_key")).distinct()
+    dirty = Scratch(docs.sparkSession).save(dirty, "dirty")
+    return docs.join(bounded(dirty), docs["doc_id"].eqNullSafe(F.col("_dirty_id")) & (_text_key(docs["text"]) == F.col("_dirty_key")), "left_anti")
+
+
+def _text_key(text: Column | str) -> Column:
+    text = F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))
+    return F.concat_ws(" ", F.xxhash64(text), F.octet_length(text))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.statistics import with_statistics
+from corpusloom.llm.statistics import NAMES, with_statistics
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAF = 30, 3, 32, 0.3, 10
@@ -133,9 +133,9 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Ensemble:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with the columns of FEATURES."""
+    """``docs`` without text, with the columns of FEATURES. Columns that had these names, or those of statistics, are replaced."""
     counted = with_statistics(docs)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", *FEATURES, *NAMES)]
     return counted.select(*keep, *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
 
 

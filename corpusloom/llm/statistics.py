@@ -98,14 +98,13 @@ def measure(part: textkit.Texts) -> dict[str, np.ndarray]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` without its column text, plus NAMES as longs. A null or empty text has zeros."""
-    at = docs.columns.index("text")
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+    """``docs`` without its column text, plus NAMES as longs. A null or empty text has zeros. Columns that had these names are replaced."""
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name not in ("text", *NAMES)]
+    keep = [docs.schema.fields[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for i, n in enumerate(batch.schema.names) if i != at]
+            rest, names = [batch.column(i) for i in kept], [batch.schema.names[i] for i in kept]
             for part in textkit.texts(textkit.text_column(batch)):
                 found = measure(part)
                 yield pa.RecordBatch.from_arrays([*(c.slice(part.first, part.rows) for c in rest), *(pa.array(v) for v in found.values())], [*names, *found])

@@ -159,14 +159,14 @@ def counter(path: str) -> Counter:
 
 
 def with_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text column, plus ``n_tokens``."""
-    keep = [f for f in docs.schema.fields if f.name != text_col]
+    """``docs`` without its text column, plus ``n_tokens``, which replaces a column of that name."""
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name not in (text_col, "n_tokens")]
+    keep = [docs.schema.fields[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(path)
         for batch in batches:
             n = np.array([known.count(x.as_py()) if x.is_valid else 0 for x in textkit.text_column(batch, text_col)], np.int64)
-            rest = [(k, c) for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != text_col]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(n)], [*(k for k, _ in rest), "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(n)], [*(f.name for f in keep), "n_tokens"])
 
     return docs.mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType())]))
