@@ -11,6 +11,8 @@ from corpusloom.operators import chunking, evaluation, fusion, lexical, vectors
 from corpusloom.sources.files import fingerprint
 
 TABLES = ("chunks", "postings", "lengths", "vectors")
+#: Steps of the scores in which rankings are worked out.
+WORD_STEP, SENSE_STEP = 0.25, 0.01
 
 
 def chunk_table(docs: DataFrame, cut: Callable, ident: str = "doc_id") -> DataFrame:
@@ -44,12 +46,12 @@ def _stored(spark: SparkSession, path: str) -> str | None:
     return spark.read.parquet(f"{path}/fingerprint").first()["fingerprint"]
 
 
-def retrieve(spark: SparkSession, path: str, questions: DataFrame, k: int = 6, candidates: int = 200) -> DataFrame:
-    """``(query_id, rank, idx, rrf, bm25, vec_sim, doc_id, text)``: both rankings fused, for all ``questions(query_id, text)`` in one job."""
+def retrieve(spark: SparkSession, path: str, questions: DataFrame, k: int = 6) -> DataFrame:
+    """``(query_id, rank, idx, rrf, bm25, vec_sim, doc_id, text)``: both whole rankings fused, for all ``questions(query_id, text)`` in one job."""
     read = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
-    by_words = lexical.top(lexical.bm25(questions, read["postings"], read["lengths"]), candidates).withColumnRenamed("doc_id", "idx")
+    by_words = lexical.full_ranks(lexical.bm25(questions, read["postings"], read["lengths"]), WORD_STEP).withColumnRenamed("doc_id", "idx")
     asked = vectors.dense(vectors.hash_embed(questions.select(F.col("query_id").alias("doc_id"), "text"))).withColumnRenamed("id", "query_id")
-    by_sense = vectors.cosine_top(asked, read["vectors"], candidates).select("query_id", F.col("id").alias("idx"), "rank", F.col("sim").alias("score"))
+    by_sense = lexical.full_ranks(vectors.cosine_scores(asked, read["vectors"]), SENSE_STEP, "sim", "id").select("query_id", F.col("id").alias("idx"), "rank", F.col("sim").alias("score"))
     fused = fusion.reciprocal_rank(by_words.select("query_id", "idx", "rank", "score"), by_sense)
     best = fusion.ranked(fused, "rrf").where(F.col("rank") <= k)
     return best.join(read["chunks"].select("idx", "doc_id", "text"), "idx").select("query_id", "rank", "idx", "rrf", F.col("left_score").alias("bm25"), F.col("right_score").alias("vec_sim"), "doc_id", "text")

@@ -121,7 +121,9 @@ def dedup_sentences(lines: DataFrame, marks: str = "。！？；", least: int =
     """
     plain = ~X.is_special(F.col("line"), heading)
     parts = F.when(plain, X.split_sentences(F.col("line"), marks)).otherwise(F.array("line"))
-    units = lines.select("doc_id", "pos", plain.alias("plain"), F.posexplode(parts).alias("seg", "unit"))
+    # Cut before the exchange that the window asks for anyway: else Spark works out the sentences again for each use of a piece.
+    cut = lines.select("doc_id", "pos", plain.alias("plain"), parts.alias("parts")).repartition("doc_id")
+    units = cut.select("doc_id", "pos", "plain", F.posexplode("parts").alias("seg", "unit"))
     counted = F.col("plain") & (F.char_length("unit") >= least)
     turn = F.row_number().over(W.partitionBy("doc_id", "counted", "unit").orderBy("pos", "seg"))
     ranked = units.withColumn("counted", counted).withColumn("keep", ~F.col("counted") | (turn == 1))
@@ -134,7 +136,8 @@ def units(lines: DataFrame, marks: str = "。！？；", heading: str = X.HEADIN
     item = X.is_list_item(F.col("line"))
     kept = lines.where(item | ~X.is_special(F.col("line"), heading))
     content = F.array(X.strip(F.regexp_replace(X.strip(F.col("line")), "^- ", "")))
-    return kept.select("doc_id", "pos", F.posexplode(F.when(item, content).otherwise(X.split_sentences(F.col("line"), marks))).alias("seg", "unit"))
+    cut = kept.select("doc_id", "pos", F.when(item, content).otherwise(X.split_sentences(F.col("line"), marks)).alias("parts")).repartition("doc_id")
+    return cut.select("doc_id", "pos", F.posexplode("parts").alias("seg", "unit"))
 
 
 def dedup_units(rows: DataFrame, least: int = 6) -> DataFrame:

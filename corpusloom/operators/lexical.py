@@ -19,9 +19,9 @@ def word_tokens(text: Column) -> Column:
 def char_tokens(text: Column) -> Column:
     """All characters but white space, then all pairs of neighbours: for scripts without word marks."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
-    one = F.filter(F.split(bare, ""), lambda c: c != "")
-    two = F.when(F.char_length(bare) > 1, F.transform(F.sequence(F.lit(1), F.char_length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(one, two)
+    one = F.regexp_extract_all(bare, F.lit("(?s)."), F.lit(0))
+    pairs = F.greatest(F.size(one) - 1, F.lit(0))
+    return F.concat(one, F.zip_with(F.slice(one, 1, pairs), F.slice(one, 2, pairs), lambda a, b: F.concat(a, b)))
 
 
 def postings(docs: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
@@ -41,7 +41,11 @@ def corpus_stats(lens: DataFrame) -> DataFrame:
 
 def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
     """``(term, df, idf)``. A negative idf becomes EPSILON times the mean idf of the vocabulary, taken before."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    return inverse_frequencies(posts.groupBy("term").agg(F.count("*").alias("df")), corpus)
+
+
+def inverse_frequencies(df: DataFrame, corpus: DataFrame) -> DataFrame:
+    """term_stats from document frequencies ``(term, df)`` of the whole vocabulary."""
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -52,7 +56,22 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, tokens: Callable
     corpus = corpus_stats(lens)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     weighed = asked.join(term_stats(posts, corpus), "term")
-    met = posts.join(weighed, "term").join(lens, "doc_id").crossJoin(F.broadcast(corpus))
+    return _scored(posts.join(weighed, "term").join(lens, "doc_id"), corpus)
+
+
+def bm25_of(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+    """bm25 over ``docs(doc_id, text)`` without an index: only words that are asked for are grouped by document."""
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
+    corpus = corpus_stats(cut.select("doc_id", F.size("tokens").cast("long").alias("dl")))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    df = cut.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weighed = asked.join(inverse_frequencies(df, corpus), "term")
+    said = cut.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return _scored(said.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).join(weighed, "term"), corpus)
+
+
+def _scored(met: DataFrame, corpus: DataFrame) -> DataFrame:
+    met = met.crossJoin(F.broadcast(corpus))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -61,3 +80,16 @@ def top(scored: DataFrame, k: int, by: str = "score", ident: str = "doc_id") ->
     """The k best rows of each query with their rank, ties by id."""
     order = W.partitionBy("query_id").orderBy(F.col(by).desc(), F.col(ident))
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def full_ranks(scored: DataFrame, width: float, by: str = "score", ident: str = "doc_id") -> DataFrame:
+    """Every row of each query with its rank, ties by id: as ``top`` without a limit, but no task has to sort all rows of a query.
+
+    Rows are ranked within steps of ``width`` of the score; the counts of better steps are added. The width steers cost only.
+    """
+    stepped = scored.withColumn("_step", F.floor(-F.col(by) / width))
+    counts = stepped.groupBy("query_id", "_step").agg(F.count("*").alias("_n"))
+    better = F.sum("_n").over(W.partitionBy("query_id").orderBy("_step").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("query_id", "_step", F.coalesce(better, F.lit(0)).alias("_better"))
+    within = F.row_number().over(W.partitionBy("query_id", "_step").orderBy(F.col(by).desc(), F.col(ident)))
+    return stepped.withColumn("_within", within).join(offsets, ["query_id", "_step"]).withColumn("rank", F.col("_better") + F.col("_within")).drop("_step", "_better", "_within")

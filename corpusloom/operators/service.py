@@ -25,10 +25,12 @@ def stage_latency(samples: DataFrame, by: str = "stage") -> DataFrame:
 
 def sliding_rate(events: DataFrame, by: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """``events`` plus in_window and rate: how many events of ``by`` fell in the seconds up to each, ends included."""
-    at = (F.unix_micros(F.col("ts").cast("timestamp"))).alias("at")
-    timed = events.withColumn("_at", at)
-    window = W.partitionBy(by).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    return timed.withColumn("in_window", F.count("*").over(window)).withColumn("rate", F.round(F.col("in_window") / seconds, 3)).drop("_at")
+    at, width = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    # An event counts in its own stretch of time and in the next; so a task holds two stretches of a key, not all of it.
+    timed = events.withColumn("_at", at).withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_stretch", F.floor(F.col("_at") / width) + F.col("_ahead"))
+    window = W.partitionBy(by, "_stretch").orderBy("_at").rangeBetween(-width, 0)
+    counted = timed.withColumn("in_window", F.count("*").over(window)).where("_ahead = 0")
+    return counted.withColumn("rate", F.round(F.col("in_window") / seconds, 3)).drop("_at", "_ahead", "_stretch")
 
 
 def overall_rate(events: DataFrame, by: str) -> DataFrame:
@@ -55,20 +57,23 @@ def sessions(events: DataFrame, key: str = "user_id", ttl: int = SESSION_TTL) ->
 def replay_cache(requests: DataFrame, key: str = "key", ttl: int = ANSWER_TTL) -> DataFrame:
     """``requests`` plus hit: whether an answer stored by an earlier miss was at most ``ttl`` seconds old. Hits renew nothing.
 
-    Each entry's life hangs on the miss that stored it, so the times of one key are folded in order. The state is the last store and the
+    Each entry's life hangs on the miss that stored it, so times are folded in order. After a pause of more than ``ttl`` no entry is
+    left, so what is folded is one run of requests without such a pause, not all of a key. The state is the last store and the
     misses so far, which lie more than ``ttl`` apart; equal times are ordered by event_id.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gathered = requests.withColumn("_at", at).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col("event_id").cast("long").alias("event_id")))).alias("l"))
+    at, order = F.unix_micros(F.col("ts").cast("timestamp")), W.partitionBy(key).orderBy("_at", "event_id")
+    paused = F.coalesce(F.col("_at") - F.lag("_at").over(order) > ttl * 1_000_000, F.lit(True))
+    runs = requests.withColumn("_at", at).withColumn("_paused", paused).withColumn("_run", F.sum(F.col("_paused").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    gathered = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col("event_id").cast("long").alias("event_id")))).alias("l"))
     start = F.struct(F.lit(None).cast("long").alias("stored"), F.array().cast("array<bigint>").alias("misses"))
 
     def step(state: Column, x: Column) -> Column:
         hit = F.coalesce(x["_at"] - state["stored"] <= ttl * 1_000_000, F.lit(False))
         return F.when(hit, state).otherwise(F.struct(x["_at"].alias("stored"), F.concat(state["misses"], F.array(x["event_id"])).alias("misses")))
 
-    folded = gathered.withColumn("misses", F.aggregate("l", start, step, lambda s: s["misses"]))
-    rows = folded.select(key, "misses", F.explode("l.event_id").alias("event_id"))
-    return rows.select(key, "event_id", (~F.array_contains("misses", F.col("event_id"))).alias("hit"))
+    misses = gathered.select(F.col(key).alias("_key"), F.explode(F.aggregate("l", start, step, lambda s: s["misses"])).alias("_missed"))
+    rows = requests.select(key, F.col("event_id").cast("long").alias("event_id"))
+    return rows.join(misses, F.col(key).eqNullSafe(F.col("_key")) & (F.col("event_id") == F.col("_missed")), "left").select(key, "event_id", F.col("_missed").isNull().alias("hit"))
 
 
 def check_request(body: Column) -> Column:

@@ -63,7 +63,12 @@ def _blocks(vectors: DataFrame, ident: str, name: str) -> DataFrame:
 
 
 def cosine_top(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """``(query_id, id, sim, rank)``: for ``queries(query_id, vector)`` the k nearest of ``base(id, vector)``, exactly.
+    """``(query_id, id, sim, rank)``: for ``queries(query_id, vector)`` the k nearest of ``base(id, vector)``, exactly."""
+    return top(cosine_scores(queries, base, k), k, "sim", "id")
+
+
+def cosine_scores(queries: DataFrame, base: DataFrame, k: int | None = None) -> DataFrame:
+    """``(query_id, id, sim)`` of all pairs of a query and a vector, or of the k best of each block.
 
     Blocks of queries meet blocks of vectors; each product keeps its k best, so rows out are k per query and block.
     """
@@ -81,7 +86,7 @@ def cosine_top(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
                     yield pd.DataFrame({"query_id": query, "id": ids[order], "sim": s[order]})
 
     pairs = _blocks(queries, "query_id", "q").crossJoin(_blocks(base, "id", "b")).repartition("q_block", "b_block")
-    return top(pairs.mapInPandas(best, "query_id long, id long, sim double"), k, "sim", "id")
+    return pairs.mapInPandas(best, "query_id long, id long, sim double")
 
 
 def greedy_unique(units: DataFrame, drop: float = 0.90, review: float = 0.85) -> DataFrame:

@@ -180,7 +180,7 @@ def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENS = r"[x FOR x IN string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
 POSTS = f"toks AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), posts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)"
-STATS = "corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks), rawidf AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM posts, corpus GROUP BY term), terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM rawidf) ELSE r END AS idf FROM rawidf)"
+STATS = "corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks), rawidf AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM posts, corpus GROUP BY term), terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM rawidf CROSS JOIN (SELECT avg(r) AS mean FROM rawidf))"
 SCORED = f"q AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL), scored AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN posts USING (term) JOIN toks USING (doc_id), corpus GROUP BY ALL)"
 
 
@@ -198,7 +198,7 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.bm25(asked, lexical.postings(docs), lexical.lengths(docs)).withColumn("score", F.round("score", 6))
+    return lexical.bm25_of(asked, docs).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {POSTS}, {STATS}, {SCORED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
@@ -206,9 +206,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top(_bm25(spark, sf_dir), 10)
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), n AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM c),
+p AS (SELECT doc_id, substring(t, i, 1) AS term FROM n UNION ALL SELECT doc_id, substring(t, i, 2) FROM n WHERE i < length(t))
+SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL""")
 def char_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), lexical.char_tokens)
+    return lexical.postings(table(spark, sf_dir, "documents"), lexical.char_tokens)
 
 
 @query()
@@ -245,14 +248,15 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fusion
 
-FUSED = f"WITH {POSTS}, {STATS}, {SCORED}, lx AS (SELECT query_id, doc_id AS idx, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), vs AS ({COSINE.format('a.vec_id IN (SELECT item_id FROM benchmark)')}), vx AS (SELECT query_id, id AS idx, sim AS score, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM vs), fused AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.idx, v.idx) AS idx, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0), 9) AS rrf, l.score AS left_score, v.score AS right_score FROM (SELECT * FROM lx WHERE rank <= 50) l FULL JOIN (SELECT * FROM vx WHERE rank <= 50) v ON l.query_id = v.query_id AND l.idx = v.idx), hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, idx) AS rank FROM fused) WHERE rank <= 20)"
+FUSED = f"WITH {POSTS}, {STATS}, {SCORED}, lx AS (SELECT query_id, doc_id AS idx, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), vs AS ({COSINE.format('a.vec_id IN (SELECT item_id FROM benchmark)')}), vx AS (SELECT query_id, id AS idx, sim AS score, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM vs), fused AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.idx, v.idx) AS idx, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0), 9) AS rrf, l.score AS left_score, v.score AS right_score FROM lx l FULL JOIN vx v ON l.query_id = v.query_id AND l.idx = v.idx), hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, idx) AS rank FROM fused) WHERE rank <= 20)"
 
 
 def _fused(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    left = lexical.top(_bm25(spark, sf_dir), 50).select("query_id", F.col("doc_id").alias("idx"), "rank", "score")
+    left = lexical.full_ranks(_bm25(spark, sf_dir), 0.25).select("query_id", F.col("doc_id").alias("idx"), "rank", "score")
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = base.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id").withColumnRenamed("id", "query_id")
-    right = vectors.cosine_top(asked, base, 50).select("query_id", F.col("id").alias("idx"), "rank", F.round("sim", 6).alias("score"))
+    sims = vectors.cosine_scores(asked, base).withColumn("sim", F.round("sim", 6))
+    right = lexical.full_ranks(sims, 0.01, "sim", "id").select("query_id", F.col("id").alias("idx"), "rank", F.col("sim").alias("score"))
     rows = fusion.reciprocal_rank(left, right).withColumn("rrf", F.round("rrf", 9))
     return fusion.ranked(rows, "rrf").where(F.col("rank") <= k)
 
@@ -289,13 +293,13 @@ def slot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(WEIGHED + f""", p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY slot_score DESC, idx) AS first_rank FROM weighed),
-s AS (SELECT *, CASE WHEN first_rank <= 14 THEN round(CAST(len(list_intersect(list_distinct({TOKENS.format('query')}), {TOKENS.format('text')})) AS DOUBLE) / greatest(len(list_distinct({TOKENS.format('query')})), 1), 9) END AS rerank_score FROM p)
-SELECT query_id, idx, first_rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY first_rank <= 14 DESC, rerank_score DESC NULLS LAST, first_rank) AS final_rank FROM s""")
+s AS (SELECT *, CASE WHEN first_rank <= 18 THEN round(CAST(len(list_intersect(list_distinct({TOKENS.format('query')}), {TOKENS.format('text')})) AS DOUBLE) / greatest(len(list_distinct({TOKENS.format('query')})), 1), 9) END AS rerank_score FROM p)
+SELECT * FROM (SELECT query_id, idx, first_rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY first_rank <= 18 DESC, rerank_score DESC NULLS LAST, first_rank) AS final_rank FROM s) WHERE final_rank <= 6""")
 def rerank_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     top_k = 6
-    pool = F.greatest(F.lit(2 * top_k), F.lit(top_k + 8))
+    pool = F.greatest(F.lit(3 * top_k), F.lit(top_k + 8))
     rows = fusion.rerank(_weighed(spark, sf_dir).withColumn("slot_score", F.round("slot_score", 12)), lambda q, t: F.round(fusion.lexical_overlap(q, t), 9), pool, "slot_score")
-    return rows.select("query_id", "idx", "first_rank", "rerank_score", "final_rank")
+    return rows.where(F.col("final_rank") <= top_k).select("query_id", "idx", "first_rank", "rerank_score", "final_rank")
 
 
 @query(FUSED + """ SELECT query_id, string_agg('[' || rank || ']（' || coalesce(source, '') || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN documents ON doc_id = idx GROUP BY query_id""")
@@ -463,13 +467,13 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
 
 
-# Evaluation: the second line of every tenth document is a question, and its own gold passage.
+# Evaluation: the second line of each document is a question, and its own gold passage.
 
-GOLD = f"{LINES}, gold AS (SELECT doc_id AS query_id, doc_id, line AS passage FROM lines WHERE doc_id % 10 = 0 AND pos = 1 AND length(line) >= 20)"
+GOLD = f"{LINES}, gold AS (SELECT doc_id AS query_id, doc_id, line AS passage FROM lines WHERE pos = 1 AND length(line) >= 20)"
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where((F.col("doc_id") % 10 == 0) & (F.col("pos") == 1) & (F.char_length("line") >= 20))
+    rows = lines(spark, sf_dir).where((F.col("pos") == 1) & (F.char_length("line") >= 20))
     return rows.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("passage_id"), "doc_id", F.col("line").alias("passage"))
 
 
