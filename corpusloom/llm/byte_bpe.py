@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from corpusloom.llm import textkit
 
 #: A worker holds the ids of up to so many parts.
-CACHE = 250_000
+CACHE = 100_000
 #: Rows that are decoded at a time.
 ROWS = 512
 #: Bytes of text that are encoded at a time.
@@ -52,7 +52,6 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@cache
 def vocabulary(path: str) -> dict[str, int]:
     """The tokens of a rank file as the library spells them, a character for each byte, and their ids."""
     table = byte_characters()

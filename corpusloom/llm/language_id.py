@@ -27,8 +27,8 @@ from corpusloom.llm import textkit
 from corpusloom.llm.scratch import Scratch
 
 UNKNOWN = "und"
-WORD_ENTRIES = 1 << 19
-GRAM_ENTRIES = 1 << 18
+WORD_ENTRIES = 1 << 18
+GRAM_ENTRIES = 1 << 17
 #: Character n-gram lengths, longest first.
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
@@ -39,7 +39,7 @@ _GAP[65:91] = _GAP[97:123] = False
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 #: A task compacts its counts when it holds so many entries.
-_COMPACT = 1_000_000
+_COMPACT = 750_000
 #: Bytes of text that are read at a time.
 _SLICE_BYTES = 1 << 19
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Slices of a batch hold about so many bytes of text (one longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -80,6 +81,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Hand freed memory to the system after a batch: a worker stays for many tasks, and others stand beside it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(bytes, offsets, first row) of runs of whole texts of about ``most`` bytes."""
     if not len(column):
@@ -90,6 +98,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarr
         to = max(row + 1, min(int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1, row + 60_000, rows))
         yield data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row], row
         row = to
+    give_back()
 
 
 def texts(column: pa.Array) -> Iterator[Texts]:
