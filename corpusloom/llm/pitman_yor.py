@@ -8,6 +8,9 @@ over the known words and one unknown word.
 Every context and every dish seen is kept, as rows of stored tables. Only what is looked up in the task is bounded: the HEAD most frequent
 words (also as contexts) and dishes. All others are joined by a shuffle, so the model is the same whatever the size of its heads.
 
+Disk: pairs are counted in COUNT_SLICES slices of contexts and documents scored in SCORE_SLICES slices of ids, one after the other, so
+that only one slice's shuffle lies on disk at a time. Dishes are stored in buckets of their key: no slice shuffles them again.
+
 A sweep seats each dish anew, given the other restaurants' tables from the last sweep: dishes then don't depend on each
 other, so they are sampled where they lie. Seating goes customer by customer up to SINGLES, then in blocks of a sixteenth of those
 seated. A dish of one customer always has one table, so only its number takes part. A word's count in the root follows from its tables. Predictive probabilities are averaged over the last two sweeps.
@@ -19,8 +22,10 @@ rows count each time. Without training rows each token has the probability of th
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,9 @@ SWEEPS = 3
 SINGLES = 16
 STRENGTH = 1.0
 SEED = 20240229
+#: Slices of contexts and of documents that are counted and scored one after the other.
+COUNT_SLICES = 2
+SCORE_SLICES = 3
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _COMPACT = 3_000_000
@@ -65,34 +73,46 @@ def before(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(u: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n by (u, h)."""
-    key = dish_key(u, h)
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(h) else np.zeros(0, np.int64)
-    return u[order][first], h[order][first], np.add.reduceat(n[order], first) if len(h) else n
+def dish_key(u: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One key for a word in a context, both hashes: the word's hash against the context's with its halves exchanged."""
+    u = u.astype(np.uint64)
+    return h ^ (u << np.uint64(32) | u >> np.uint64(32))
+
+
+def _swapped(u: Column) -> Column:
+    return F.shiftleft(u, 32).bitwiseOR(F.shiftrightunsigned(u, 32))
+
 
+def _summed(k: np.ndarray, u: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n by k, which tells u."""
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[first], u[order][first], np.add.reduceat(n[order], first) if len(k) else n
 
-def _counter(by_context: bool):
-    """Rows (u, h, n) of what a task reads: words (u = 0), or words by the token before."""
+
+def _counter(at: int):
+    """Rows (k, u, n) of what a task reads: the dishes of the contexts of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                u, h, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held[:] = [(u, h, n)]
-                if len(h) > _COMPACT // 2 or last:
+                k, u, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held[:] = [(k, u, n)]
+                if len(k) > _COMPACT // 2 or last:
                     held.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(h.view(np.int64)), pa.array(n)], ["u", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(u.view(np.int64)), pa.array(n)], ["k", "u", "n"])
 
         size, last = 0, False
         for batch in batches:
             for part in textkit.texts(textkit.text_column(batch)):
                 row, h = tokens(part)
-                held.append(_summed(before(row, h) if by_context else np.zeros(len(h), np.uint64), h, np.ones(len(h), np.int64)))
+                u = before(row, h)
+                here = (u >> np.uint64(40)) % np.uint64(COUNT_SLICES) == at
+                u, h = u[here], h[here]
+                held.append(_summed(dish_key(u, h), u, np.ones(len(h), np.int64)))
                 size += len(held[-1][1])
             if size > _COMPACT:
                 yield from out()
@@ -143,11 +163,6 @@ class Heads:
     types: int
 
 
-def dish_key(u: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """One key for a word in a context."""
-    return textkit.mix(h + (u.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def _rng(sweep: int, level: int) -> np.random.Generator:
     return np.random.default_rng([SEED, sweep, level, TaskContext.get().partitionId()])
 
@@ -187,26 +202,24 @@ class Model:
 
     def __init__(self, train: DataFrame) -> None:
         spark = train.sparkSession
-        self.scratch = scratch = Scratch(spark)
+        self.scratch, self.calls = Scratch(spark), 0
+        scratch = self.scratch
         texts = train.select(F.col("text").cast("string"))
-        schema = "u long, h long, n long"
-        words = scratch.save(texts.mapInArrow(_counter(False), schema).groupBy("h").agg(F.sum("n").alias("c")), "words")
-        total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-        self.total, self.types = total, types
-        pairs = scratch.save(texts.mapInArrow(_counter(True), schema).groupBy("u", "h").agg(F.sum("n").alias("c")), "pairs")
-        (self.least, d0), (least_dish, d1) = _shape(words), _shape(pairs)
-        self.d0, self.d1 = d0, d1
+        for at in range(COUNT_SLICES):
+            counted = texts.mapInArrow(_counter(at), "k long, u long, n long").groupBy("k").agg(F.max("u").alias("u"), F.sum("n").alias("c"))
+            pairs = scratch.save_by(counted, "pairs", "k", append=at > 0)
+            del counted
+            self._release()
         one = F.lit(1).cast("long")
-        dishes = pairs.where("c > 1").withColumns({"t": one, "tp": one})
+        dishes = pairs.where("c > 1").select("u", F.col("k").bitwiseXOR(_swapped(F.col("u"))).alias("h"), "c", one.alias("t"), one.alias("tp"))
         # At first every customer of the root sits with its like, and each dish has one table. A text's end stands before
-        # its first word, so each token has as many customers after it as it has occurrences.
-        held = pairs.groupBy(F.col("u").alias("h")).agg(F.count_if(F.col("c") == 1).alias("ones"), F.count("*").alias("of"))
-        state = words.join(held, "h", "left").select(
-            "h", "c", F.coalesce("ones", F.lit(0)).alias("ones"), F.coalesce("of", F.lit(0)).alias("of"), F.coalesce("of", F.lit(0)).alias("of_p"),
-            F.col("c").alias("seated"), one.alias("tables"), F.col("c").alias("seated_p"), one.alias("tables_p"),
-        )
-        state = scratch.save(state, "state-0")
-        scratch.drop("words")
+        # its first word, so each token has as many customers after it as it has occurrences: pairs tell the words' counts.
+        words = pairs.groupBy(F.col("u").alias("h")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("ones"), F.count("*").alias("of"))
+        state = scratch.save(words.select("h", "c", "ones", "of", F.col("of").alias("of_p"), F.col("c").alias("seated"), one.alias("tables"), F.col("c").alias("seated_p"), one.alias("tables_p")), "state-0")
+        total, types = state.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        self.total, self.types = total, types
+        (self.least, d0), (least_dish, d1) = _shape(state), _shape(pairs)
+        self.d0, self.d1 = d0, d1
         totals = [(float(total), float(types))] * 2
         for sweep in range(1, SWEEPS + 1):
             p = _root_column("seated", "tables", totals[1], types, d0)
@@ -247,15 +260,10 @@ class Model:
             self._release()
         self.state, self.totals = state, totals
         # A dish's mass is (c - d1 tables) / (STRENGTH + customers of its context), here without the divisor.
-        dishes = dishes.unionByName(pairs.where("c = 1").withColumns({"t": one, "tp": one}))
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                u, h, n, t, tp = (b.column(i).to_numpy().astype(np.int64) for i in range(5))
-                key = dish_key(u, h.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((n - d1 * (t + tp) / 2).astype(np.float32))], ["k", "m"])
-
-        self.dishes = scratch.save(dishes.mapInArrow(keyed, "k long, m float"), "dishes")
+        mass = dishes.select(_swapped(F.col("u")).bitwiseXOR(F.col("h")).alias("k"), (F.col("c") - d1 * (F.col("t") + F.col("tp")) / 2).alias("m"))
+        mass = pairs.select("k").join(mass, "k", "left").select("k", F.coalesce("m", F.lit(1 - d1)).cast("float").alias("m"))
+        self.dishes = scratch.save_by(mass, "dishes", "k")
+        del mass
         found = state.where(F.col("c") >= self.least).toArrow()
         h = _unsigned(found, "h")
         order = np.argsort(h)
@@ -284,8 +292,7 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs(doc_id, held_out, text)`` without text, plus n_tokens, n_known, train_tokens, base_score and score."""
-        spark, heads, types, total = docs.sparkSession, self.heads, self.types, self.total
-        shared = spark.sparkContext.broadcast(heads)
+        shared = docs.sparkSession.sparkContext.broadcast(self.heads)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
@@ -316,12 +323,14 @@ class Model:
                     k, r, u, x, w, v = k[first], r[first], u[first], x[first], w[first], v[first]
                     near = (w >= 0) & (v >= 0)
                     a = (m.root[w[near]] * m.back[v[near]]).mean(1) if near.any() else np.zeros(0)
+                    score += np.bincount(r[near], n[near] * np.log10(a), part.rows)
+                    per = 1 / ((m.counts[v[near]] + STRENGTH) * a)
 
                     def lists(group: np.ndarray, columns: list, names: list[str], rows: int = part.rows) -> pa.Array:
                         ends = np.append(0, np.cumsum(np.bincount(group, minlength=rows))).astype(np.int32)
                         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in columns], names))
 
-                    tail = lists(r[near], [k[near].view(np.int64), n[near], m.counts[v[near]].astype(np.int64), a.astype(np.float32)], ["k", "n", "of", "a"])
+                    tail = lists(r[near], [k[near].view(np.int64), n[near], per.astype(np.float32)], ["k", "n", "per"])
                     rare = lists(r[~near], [k[~near].view(np.int64), n[~near], u[~near].view(np.int64), x[~near].view(np.int64)], ["k", "n", "u", "h"])
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).slice(part.first, part.rows), batch.column(1).slice(part.first, part.rows), pa.array(np.bincount(row, minlength=part.rows)),
@@ -329,32 +338,50 @@ class Model:
                     ], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "rare"])
 
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<k:long,n:int,of:long,a:float>>, rare array<struct<k:long,n:int,u:long,h:long>>"
+        schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<k:long,n:int,per:float>>, rare array<struct<k:long,n:int,u:long,h:long>>"
         slim = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        first = self.scratch.save(slim.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "heads-scored")
-        near = first.select("row", F.explode("tail").alias("x")).select("row", "x.k", "x.n", "x.of", "x.a")
+        self.calls += 1
+        parts = []
+        for at in range(SCORE_SLICES):
+            part = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(SCORE_SLICES)) == at).mapInArrow(run, schema)
+            parts.append(self._rest(part, f"{self.calls}-{at}"))
+            self._release()
+        return reduce(DataFrame.unionByName, parts)
+
+    def _rest(self, part: DataFrame, name: str) -> DataFrame:
+        """A slice of the scores with what the heads don't know, stored.
+
+        What a word has from the root is in the score before its dish is looked up; a dish adds the log of 1 + mass * per.
+        """
+        first = self.scratch.save(part.withColumn("row", F.monotonically_increasing_id()), f"heads-{name}")
+        near = first.select("row", F.explode("tail").alias("x")).select("row", "x.k", "x.n", "x.per")
         (cp, tp), (cn, tn) = self.totals
-        d0, d1 = self.d0, self.d1
+        d0, d1, types, total = self.d0, self.d1, self.types, self.total
         roots = [_root_column("seated_p", "tables_p", (cp, tp), types, d0), _root_column("seated", "tables", (cn, tn), types, d0)]
         of_word = self.state.select("h", "c", "seated", "tables", "seated_p", "tables_p")
         of_context = self.state.select(F.col("h").alias("u"), F.col("c").alias("of"), *((F.lit(STRENGTH) + F.lit(d1) * F.col(n)).alias(f"back_{n}") for n in ("of_p", "of")))
         rest = first.select("row", F.explode("rare").alias("x")).select("row", "x.k", "x.n", "x.u", "x.h")
         rest = rest.join(bounded(of_word), "h", "left").join(bounded(of_context), "u", "left")
         backs = [F.coalesce(F.col(f"back_{n}") / (F.lit(STRENGTH) + F.col("of")), F.lit(1.0)) for n in ("of_p", "of")]
+        rest = rest.withColumn("a", (backs[0] * roots[0] + backs[1] * roots[1]) / 2)
         c = F.coalesce("c", F.lit(0))
-        # Words of the head had their base score in the task.
+        # Words of the head had their base score in the task. A word or context never seen has no dish.
         unmet = c < self.least
         base = F.when(unmet, F.log10((c + 0.5) / (total + 0.5 * (types + 1)))).otherwise(0.0)
         rest = self.scratch.save(rest.select(
-            "row", "k", "n", F.coalesce("of", F.lit(0)).cast("long").alias("of"), ((backs[0] * roots[0] + backs[1] * roots[1]) / 2).cast("float").alias("a"),
-            F.when(unmet & (c > 0), F.col("n")).otherwise(0).alias("more"), (F.col("n") * base).alias("base2"),
-        ), "rare")
-        joined = near.unionByName(rest.select("row", "k", "n", "of", "a")).join(self.dishes, "k", "left")
-        p = F.coalesce("m", F.lit(0.0)) / (F.col("of") + STRENGTH) + F.col("a")
-        sums = joined.groupBy("row").agg(F.sum(F.col("n") * F.log10(p)).alias("score2"))
-        bases = rest.groupBy("row").agg(F.sum("more").alias("more"), F.sum("base2").alias("base2"))
+            "row", "k", "n", F.when((c > 0) & (F.col("of") > 0), 1 / ((F.col("of") + STRENGTH) * F.col("a"))).cast("float").alias("per"),
+            F.when(unmet & (c > 0), F.col("n")).otherwise(0).alias("more"), (F.col("n") * base).alias("base2"), (F.col("n") * F.log10("a")).alias("score3"),
+        ), f"rare-{name}")
+        asked = near.unionByName(rest.where("per is not null").select("row", "k", "n", "per"))
+        sums = asked.join(self.dishes, "k").groupBy("row").agg(F.sum(F.col("n") * F.log1p(F.col("m").cast("double") * F.col("per")) / math.log(10)).alias("score2"))
+        bases = rest.groupBy("row").agg(F.sum("more").alias("more"), F.sum("base2").alias("base2"), F.sum("score3").alias("score3"))
         out = first.drop("tail", "rare").join(sums, "row", "left").join(bases, "row", "left")
-        return out.select(
+        out = out.select(
             "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
+            (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"),
+            (F.col("score") + F.coalesce("score2", F.lit(0.0)) + F.coalesce("score3", F.lit(0.0))).alias("score"),
         )
+        out = self.scratch.save(out, f"scored-{name}")
+        for done in ("heads", "rare"):
+            self.scratch.drop(f"{done}-{name}")
+        return out

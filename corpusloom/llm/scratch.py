@@ -37,8 +37,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_by(self, df: DataFrame, name: str, key: str, append: bool = False) -> DataFrame:
+        """As ``save``, in as many buckets of ``key`` as a shuffle has partitions: joins on it need no shuffle of this side."""
+        buckets, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), self._table(name)
+        df.write.mode("append" if append else "overwrite").format("parquet").option("path", f"{self.root}/{name}").bucketBy(buckets, key).saveAsTable(table)
+        return self.spark.table(table)
+
+    def _table(self, name: str) -> str:
+        return f"{self.root.rsplit('/', 1)[1]}_{name}".replace("-", "_")
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
