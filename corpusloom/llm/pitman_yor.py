@@ -9,13 +9,15 @@ Every context and every dish seen is kept, as rows of stored tables. Only what i
 words (also as contexts) and dishes. All others are joined by a shuffle, so the model is the same whatever the size of its heads.
 
 Disk: pairs are counted in COUNT_SLICES slices of contexts and documents scored in SCORE_SLICES slices of ids, one after the other, so
-that only one slice's shuffle lies on disk at a time. Dishes are stored in buckets of their key: no slice shuffles them again.
+that only one slice's shuffle lies on disk at a time. Dishes are stored in buckets of their key, words in buckets of their hash: no join
+shuffles them again. Joins hash the vocabulary's side, which grows less than the partitions do; others hash a side only if Spark finds each
+of its partitions below HASHED, and else sort. Nothing that grows with the corpus is broadcast.
 
 A sweep seats each dish anew, given the other restaurants' tables from the last sweep: dishes then don't depend on each
 other, so they are sampled where they lie. Seating goes customer by customer up to SINGLES, then in blocks of a sixteenth of those
 seated. A dish of one customer always has one table, so only its number takes part. A word's count in the root follows from its tables. Predictive probabilities are averaged over the last two sweeps.
 
-Counts cover every training token, and nothing that grows with the vocabulary is broadcast. A null or empty text is its end alone. A null id counts as the empty id. Repeated
+Counts cover every training token. A null or empty text is its end alone. A null id counts as the empty id. Repeated
 rows count each time. Without training rows each token has the probability of the unknown word, 1. Extra columns are ignored.
 """
 
@@ -24,17 +26,17 @@ from __future__ import annotations
 import gc
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkit
-from corpusloom.llm.phrase_index import bounded
 from corpusloom.llm.scratch import Scratch
 
 #: Words and dishes looked up in the task; the others are joined.
@@ -43,6 +45,8 @@ SWEEPS = 3
 SINGLES = 16
 STRENGTH = 1.0
 SEED = 20240229
+#: A join hashes a side rather than sort both if none of its partitions is larger.
+HASHED = "64m"
 #: Slices of contexts and of documents that are counted and scored one after the other.
 COUNT_SLICES = 2
 SCORE_SLICES = 3
@@ -167,6 +171,17 @@ def _rng(sweep: int, level: int) -> np.random.Generator:
     return np.random.default_rng([SEED, sweep, level, TaskContext.get().partitionId()])
 
 
+@contextmanager
+def _hashed_joins(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before_it = spark.conf.get(name)
+    spark.conf.set(name, HASHED)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before_it)
+
+
 def _shape(counts: DataFrame) -> tuple[int, float]:
     """The least count that at most HEAD rows reach, and the discount."""
     rows = counts.groupBy(F.least("c", F.lit(_MOST)).alias("c")).agg(F.count("*").alias("n")).collect()
@@ -215,7 +230,7 @@ class Model:
         # At first every customer of the root sits with its like, and each dish has one table. A text's end stands before
         # its first word, so each token has as many customers after it as it has occurrences: pairs tell the words' counts.
         words = pairs.groupBy(F.col("u").alias("h")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("ones"), F.count("*").alias("of"))
-        state = scratch.save(words.select("h", "c", "ones", "of", F.col("of").alias("of_p"), F.col("c").alias("seated"), one.alias("tables"), F.col("c").alias("seated_p"), one.alias("tables_p")), "state-0")
+        state = scratch.save_by(words.select("h", "c", "ones", "of", F.col("of").alias("of_p"), F.col("c").alias("seated"), one.alias("tables"), F.col("c").alias("seated_p"), one.alias("tables_p")), "state-0", "h")
         total, types = state.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.total, self.types = total, types
         (self.least, d0), (least_dish, d1) = _shape(state), _shape(pairs)
@@ -223,7 +238,8 @@ class Model:
         totals = [(float(total), float(types))] * 2
         for sweep in range(1, SWEEPS + 1):
             p = _root_column("seated", "tables", totals[1], types, d0)
-            at = dishes.join(bounded(state.select("h", p.alias("p"))), "h").join(bounded(state.select(F.col("h").alias("u"), "of")), "u")
+            of = state.select(F.col("h").alias("u"), "of")
+            at = dishes.join(state.select("h", p.alias("p")).hint("shuffle_hash"), "h").join(of.hint("shuffle_hash"), "u")
 
             def seat_dishes(batches: Iterator[pa.RecordBatch], sweep: int = sweep) -> Iterator[pa.RecordBatch]:
                 rng = _rng(sweep, 1)
@@ -236,7 +252,7 @@ class Model:
             dishes = scratch.save(at.select("u", "h", "c", "t", "p", "of").mapInArrow(seat_dishes, "u long, h long, c long, t long, tp long"), f"dishes-{sweep}")
             fewer = dishes.groupBy("h").agg(F.sum(F.col("c") - F.col("t")).alias("fewer"))
             more = dishes.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("more"))
-            given = state.join(fewer, "h", "left").join(more, "h", "left").select(
+            given = state.join(fewer.hint("shuffle_hash"), "h", "left").join(more.hint("shuffle_hash"), "h", "left").select(
                 "h", "c", "ones", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("now_of"), "of", "seated", "tables", (F.col("c") - F.coalesce("fewer", F.lit(0))).alias("now"),
             )
             all_t = totals[1][1]
@@ -250,7 +266,7 @@ class Model:
                     yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column(7), new, b.column(5), b.column(6)], state_names)
 
             state_names = ["h", "c", "ones", "of", "of_p", "seated", "tables", "seated_p", "tables_p"]
-            state = scratch.save(given.mapInArrow(seat_words, ", ".join(f"{n} long" for n in state_names)), f"state-{sweep}")
+            state = scratch.save_by(given.mapInArrow(seat_words, ", ".join(f"{n} long" for n in state_names)), f"state-{sweep}", "h")
             both = state.agg(F.sum("seated"), F.sum("tables")).first()
             totals = [totals[1], (float(both[0] or 0), float(both[1] or 0))]
             scratch.drop(f"state-{sweep - 1}")
@@ -262,7 +278,8 @@ class Model:
         # A dish's mass is (c - d1 tables) / (STRENGTH + customers of its context), here without the divisor.
         mass = dishes.select(_swapped(F.col("u")).bitwiseXOR(F.col("h")).alias("k"), (F.col("c") - d1 * (F.col("t") + F.col("tp")) / 2).alias("m"))
         mass = pairs.select("k").join(mass, "k", "left").select("k", F.coalesce("m", F.lit(1 - d1)).cast("float").alias("m"))
-        self.dishes = scratch.save_by(mass, "dishes", "k")
+        with _hashed_joins(spark):
+            self.dishes = scratch.save_by(mass, "dishes", "k")
         del mass
         found = state.where(F.col("c") >= self.least).toArrow()
         h = _unsigned(found, "h")
@@ -361,7 +378,7 @@ class Model:
         of_word = self.state.select("h", "c", "seated", "tables", "seated_p", "tables_p")
         of_context = self.state.select(F.col("h").alias("u"), F.col("c").alias("of"), *((F.lit(STRENGTH) + F.lit(d1) * F.col(n)).alias(f"back_{n}") for n in ("of_p", "of")))
         rest = first.select("row", F.explode("rare").alias("x")).select("row", "x.k", "x.n", "x.u", "x.h")
-        rest = rest.join(bounded(of_word), "h", "left").join(bounded(of_context), "u", "left")
+        rest = rest.join(of_word.hint("shuffle_hash"), "h", "left").join(of_context.hint("shuffle_hash"), "u", "left")
         backs = [F.coalesce(F.col(f"back_{n}") / (F.lit(STRENGTH) + F.col("of")), F.lit(1.0)) for n in ("of_p", "of")]
         rest = rest.withColumn("a", (backs[0] * roots[0] + backs[1] * roots[1]) / 2)
         c = F.coalesce("c", F.lit(0))
@@ -381,7 +398,8 @@ class Model:
             (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"),
             (F.col("score") + F.coalesce("score2", F.lit(0.0)) + F.coalesce("score3", F.lit(0.0))).alias("score"),
         )
-        out = self.scratch.save(out, f"scored-{name}")
+        with _hashed_joins(self.scratch.spark):
+            out = self.scratch.save(out, f"scored-{name}")
         for done in ("heads", "rare"):
             self.scratch.drop(f"{done}-{name}")
         return out
