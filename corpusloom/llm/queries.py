@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, chat, language_id, line_dedup, ngram_join, phrase_index, pitman_yor, quality_rules, rule_ensemble, unigram_count
+from corpusloom.llm import byte_bpe, chat, collocations, fill_middle, language_id, line_dedup, ngram_join, phrase_index, pitman_yor, quality_rules, rule_ensemble, unigram_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,12 +120,62 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases of two or three words."""
+    return collocations.collocations(_table(spark, sf_dir).select("lang", "text"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+cut AS MATERIALIZED (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+led AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut)),
+one AS MATERIALIZED (SELECT lang, x, count(*) AS n FROM led GROUP BY ALL),
+two AS MATERIALIZED (SELECT lang, x, y, count(*) AS n FROM led WHERE y IS NOT NULL GROUP BY ALL),
+three AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS n FROM led WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(n) AS n FROM one GROUP BY lang),
+cuts AS (SELECT t.lang, t.x, t.y, NULL AS z, t.n AS a, 1 AS k, u.n AS l, v.n AS r FROM two t JOIN one u ON u.lang = t.lang AND u.x = t.x JOIN one v ON v.lang = t.lang AND v.x = t.y WHERE t.n >= 10
+         UNION ALL SELECT t.lang, t.x, t.y, t.z, t.n, 1, u.n, v.n FROM three t JOIN one u ON u.lang = t.lang AND u.x = t.x JOIN two v ON v.lang = t.lang AND v.x = t.y AND v.y = t.z
+         UNION ALL SELECT t.lang, t.x, t.y, t.z, t.n, 2, u.n, v.n FROM three t JOIN two u ON u.lang = t.lang AND u.x = t.x AND u.y = t.y JOIN one v ON v.lang = t.lang AND v.x = t.z),
+held AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, x, y, z ORDER BY score, k) AS i FROM held) WHERE i = 1),
+inside AS (SELECT lang, x, y, max(n) AS most FROM (SELECT lang, x, y, n FROM three UNION ALL SELECT lang, y, z, n FROM three) GROUP BY ALL),
+kept AS (SELECT b.lang, concat_ws(' ', b.x, b.y, b.z) AS phrase, a, l, r, score FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.x = b.x AND i.y = b.y WHERE b.z IS NOT NULL OR most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a fill-in-the-middle example, and what the example restores to, as digests."""
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir).select("doc_id", "text"))
+    back = fill_middle.restored(F.col("fim_text"), F.col("fim_form"))
+    return out.select(
+        "doc_id", F.col("fim_tokens").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, [CAST('0x' || substring(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM docs),
+cut AS (SELECT doc_id, t, w, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT doc_id, t, n, form, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 :], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_line_dedup, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_chat_prefix_targets,
         op6_ngram_jaccard_join, op7_token_counts, op8_lm_scoring, op9_quality_classifier, op10_language_id,
+        op11_collocations, op12_fill_in_middle,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontamination": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_collocations": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
