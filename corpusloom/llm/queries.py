@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, chat, collocations, fill_middle, language_id, line_dedup, ngram_join, phrase_index, pitman_yor, quality_rules, rule_ensemble, unigram_count
+from corpusloom.llm import byte_bpe, chat, collocations, fill_middle, language_id, line_dedup, ngram_join, phrase_index, pitman_yor, quality_rules, rule_ensemble, suffix_dedup, unigram_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,12 +169,18 @@ FROM parts
 """
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes, those of passages of 200 bytes that start elsewhere too, and a digest of the others."""
+    out = suffix_dedup.cut_repeats(_table(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_line_dedup, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_chat_prefix_targets,
         op6_ngram_jaccard_join, op7_token_counts, op8_lm_scoring, op9_quality_classifier, op10_language_id,
-        op11_collocations, op12_fill_in_middle,
+        op11_collocations, op12_fill_in_middle, op13_suffix_array_dedup,
     )
 }
 
