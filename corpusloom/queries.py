@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import chunking, cleaning, evaluation, fusion, intent, lexical, memory, service, vectors
+from corpusloom.operators import chunking, cleaning, evaluation, fusion, intent, lexical, memory, ranking, service, vectors
 from corpusloom.sources import files, html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,13 +252,9 @@ FUSED = f"WITH {POSTS}, {STATS}, {SCORED}, lx AS (SELECT query_id, doc_id AS idx
 
 
 def _fused(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    left = lexical.full_ranks(_bm25(spark, sf_dir), 0.25).select("query_id", F.col("doc_id").alias("idx"), "rank", "score")
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = base.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id").withColumnRenamed("id", "query_id")
-    sims = vectors.cosine_scores(asked, base).withColumn("sim", F.round("sim", 6))
-    right = lexical.full_ranks(sims, 0.01, "sim", "id").select("query_id", F.col("id").alias("idx"), "rank", F.col("sim").alias("score"))
-    rows = fusion.reciprocal_rank(left, right).withColumn("rrf", F.round("rrf", 9))
-    return fusion.ranked(rows, "rrf").where(F.col("rank") <= k)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(base.withColumnRenamed("id", "query_id"), "query_id", "left")
+    return ranking.hybrid_top(asked, table(spark, sf_dir, "documents").select("doc_id", "text"), base, k)
 
 
 @query(FUSED + " SELECT * FROM hits")
