@@ -186,7 +186,8 @@ def phrase_counts(counted: DataFrame, least: int = LEAST) -> DataFrame:
     """``(p array<long>, n)`` of all phrases in ``counted(w0, w1, .., n)`` that occur ``least`` times: longest windows, and ROLLUP for their beginnings."""
     names = [c for c in counted.columns if c != "n"]
     longest = len(names)
-    whole = counted.where((F.col("n") >= least) & (F.col(names[-1]) != 0)).select(F.array(*names).alias("p"), "n")
+    # One condition, on the sum too, so that it isn't pushed below the exchange: both parts then read the same one.
+    whole = counted.where(F.when(F.col(names[-1]) != 0, F.col("n")) >= least).select(F.array(*names).alias("p"), "n")
     if longest == 1:
         return whole
     sums = counted.rollup(*names[:-1]).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
