@@ -147,32 +147,66 @@ def dedup_units(rows: DataFrame, least: int = 6) -> DataFrame:
     return normed.withColumn("turn", turn).where((F.col("turn") == 1) | (F.char_length("norm") < least)).drop("turn")
 
 
+#: Units that meet as one side of a product.
+UNITS = 2048
+
+
 def similar_units(rows: DataFrame, threshold: float = 0.8, least: int = 6) -> DataFrame:
     """Pairs of a document's units, by normal form, whose bigram sets have at least this Jaccard similarity: ``(doc_id, a, b, sim)``.
 
-    a and b are normal forms, a before b by spelling. Only the units of one document meet, block by block: bigrams are so few that
-    nearly all units share some, and products of 0/1 rows count the shared ones of a whole block at once.
+    a and b are normal forms, a before b by spelling.
+    """
+    found = unit_pairs(rows, threshold, threshold, 0, least)
+    return found.select("doc_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+
+
+def unit_pairs(rows: DataFrame, fuzzy: float = 0.8, weak: float = 0.4, keep: int = 3, least: int = 6, block: int = UNITS) -> DataFrame:
+    """What looks alike among a document's units: ``(doc_id, kind, a, b, sim)``, a before b in the document.
+
+    All pairs at ``fuzzy`` or more, and of those at ``weak`` or more the ``keep`` nearest, first in the document of equal ones; sim has three
+    digits. Bigrams are so few that nearly all units share some, so an index of bigrams would find nearly all pairs. Instead blocks of
+    a document's units meet, and products of 0/1 rows count the shared bigrams of whole blocks. A task holds two blocks; a unit of a
+    document of n blocks is sent n times. Only the pairs asked for leave a task, of weak ones ``keep`` a product.
     """
 
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        norms = sorted(pdf["norm"])
+        pdf = pdf.sort_values("place").reset_index(drop=True)
         ids: dict[str, int] = {}
-        sets = [np.array(sorted({ids.setdefault(n[i : i + 2], len(ids)) for i in range(max(1, len(n) - 1))})) for n in norms]
-        size = np.array([len(x) for x in sets])
-        has = np.zeros((len(norms), len(ids)), np.float32)
+        sets = [np.array(sorted({ids.setdefault(n[i : i + 2], len(ids)) for i in range(max(1, len(n) - 1))})) for n in pdf["norm"]]
+        size, place = np.array([len(x) for x in sets]), pdf["place"].to_numpy()
+        first, second = np.flatnonzero(pdf["block"] == key[1]), np.flatnonzero(pdf["block"] == key[2])
+        has = np.zeros((len(pdf), len(ids)), np.float32)
         for i, x in enumerate(sets):
             has[i, x] = 1
+        near: list[tuple[float, int, int]] = []
         out = []
-        for start in range(0, len(norms), 1024):
-            both = has[start : start + 1024] @ has.T
-            sim = both / (size[start : start + 1024, None] + size[None, :] - both)
-            for i, j in np.argwhere(sim >= threshold - 1e-9):
-                if start + i < j:
-                    out.append((key[0], norms[start + i], norms[j], round(float(both[i, j]) / float(size[start + i] + size[j] - both[i, j]), 3)))
-        return pd.DataFrame(out, columns=["doc_id", "a", "b", "sim"])
-
-    distinct = rows.where(F.char_length("norm") >= least).select("doc_id", "norm").distinct()
-    return distinct.groupBy("doc_id").applyInPandas(pairs, "doc_id long, a string, b string, sim double")
+        for start in range(0, len(first), 512):
+            mine = first[start : start + 512]
+            both = (has[mine] @ has[second].T).astype(np.float64)
+            sim = both / (size[mine, None] + size[None, second] - both)
+            sim[place[mine][:, None] >= place[second][None]] = -1
+            out += [("fuzzy", int(mine[i]), int(second[j]), sim[i, j]) for i, j in np.argwhere(sim >= fuzzy)]
+            if keep:
+                rounded = np.where((sim >= weak) & (sim < fuzzy), np.round(sim, 3), -1)
+                found = np.flatnonzero(rounded.ravel() >= max(weak - 0.001, np.partition(rounded.ravel(), -min(keep, rounded.size))[-min(keep, rounded.size)]))
+                i, j = np.divmod(found, rounded.shape[1])
+                best = np.lexsort((second[j], mine[i], -rounded[i, j]))[:keep]
+                near = sorted(near + [(-rounded[i[x], j[x]], int(mine[i[x]]), int(second[j[x]])) for x in best])[:keep]
+        out += [("weak", i, j, -s) for s, i, j in near]
+        norm = pdf["norm"]
+        return pd.DataFrame([(key[0], kind, norm[i], norm[j], float(np.round(s, 3)), int(place[i]), int(place[j])) for kind, i, j, s in out], columns=["doc_id", "kind", "a", "b", "sim", "at", "to"])
+
+    distinct = rows.where(F.char_length("norm") >= least).groupBy("doc_id", "norm").agg(F.min(F.struct("pos", "seg")).alias("first"))
+    order, doc = W.partitionBy("doc_id").orderBy("first"), W.partitionBy("doc_id")
+    placed = distinct.select("doc_id", "norm", (F.row_number().over(order) - 1).alias("place"), F.count("*").over(doc).alias("n"))
+    placed = placed.withColumn("block", F.floor(F.col("place") / block))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    met = dealt.groupBy("doc_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = met.applyInPandas(pairs, "doc_id long, kind string, a string, b string, sim double, at long, to long")
+    if not keep:
+        return found.select("doc_id", "kind", "a", "b", "sim")
+    turn = F.row_number().over(W.partitionBy("doc_id", "kind").orderBy(F.col("sim").desc(), "at", "to"))
+    return found.withColumn("turn", turn).where((F.col("kind") == "fuzzy") | (F.col("turn") <= keep)).select("doc_id", "kind", "a", "b", "sim")
 
 
 def clean_tables(lines: DataFrame) -> DataFrame:

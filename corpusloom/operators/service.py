@@ -7,20 +7,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions import text as X
+from corpusloom.storage import stored
 
 WINDOW_SECONDS, ANSWER_TTL, SESSION_TTL = 60, 3600, 86400
 MAX_BODY_BYTES, MAX_QUESTION = 1 << 20, 2000
+#: Bins of a key's values in one round of the search for a quantile.
+BINS = 256
+
+
+def quantiles(samples: DataFrame, by: str, value: str, points: tuple[float, ...]) -> DataFrame:
+    """``(by, p, q)``: exact interpolated quantiles of ``samples(by, value)``, by ever finer histograms. Null values don't count; a null key is one.
+
+    A quantile lies between two neighbours in order. Each round counts the values of the interval that holds the lower one in
+    ``BINS`` bins, summed in each task, and keeps the bin with it, until that has one value only; bins end at values that occur, so
+    they shrink however values are spread. So a task sends a row per key and bin, and none holds or sorts a key's values.
+    """
+    rows = samples.select(F.col(by).alias("_key"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    sums = rows.groupBy("_key").agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    wanted = stored(sums.select("_key", F.explode(F.array(*map(F.lit, points))).alias("p"), "n", "low", "high").selectExpr("_key", "p", "(n - 1) * p as h", "low", "high", "0L as before"))
+    while wanted.where("low < high").limit(1).count():
+        inside = _between(rows, wanted)
+        # Halves of the interval are worked out apart, so that it may be as wide as doubles get.
+        width = F.col("high") / BINS - F.col("low") / BINS
+        bin_ = F.when(width > 0, F.least(F.floor(F.col("_v") / width - F.col("low") / width), F.lit(BINS - 1))).otherwise(F.when(F.col("_v") > F.col("low"), 1).otherwise(0)).cast("int")
+        counted = inside.groupBy("_key", "p", "h", "before", bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        upto = F.sum("c").over(W.partitionBy("_key", "p").orderBy("bin")) + F.col("before")
+        held = counted.withColumn("upto", upto).where("floor(h) >= upto - c and floor(h) < upto")
+        wanted = stored(held.selectExpr("_key", "p", "h", "low", "high", "upto - c as before").unionByName(wanted.where("low >= high")))
+    # The upper neighbour is the same value if there is another of it, else the least beyond.
+    value_ = F.col("low")
+    after = rows.join(F.broadcast(wanted.withColumnRenamed("_key", "_own")), F.col("_key").eqNullSafe(F.col("_own")) & (F.col("_v") >= value_))
+    ends = after.groupBy("_key", "p", "h", "low", "before").agg(F.count_if(F.col("_v") == value_).alias("same"), F.min(F.when(F.col("_v") > value_, F.col("_v"))).alias("beyond"))
+    share = F.col("h") - F.floor("h")
+    upper = F.when(F.floor("h") + 1 < F.col("before") + F.col("same"), value_).otherwise(F.coalesce("beyond", value_))
+    return ends.select(F.col("_key").alias(by), "p", (value_ + share * (upper - value_)).alias("q"))
+
+
+def _between(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows within the open intervals of their key. There are as many intervals as keys and points; keys are few (labels of stages)."""
+    open_ = wanted.where("low < high").withColumnRenamed("_key", "_own")
+    return rows.join(F.broadcast(open_), F.col("_key").eqNullSafe(F.col("_own")) & F.col("_v").between(F.col("low"), F.col("high"))).drop("_own")
 
 
 def stage_latency(samples: DataFrame, by: str = "stage") -> DataFrame:
-    """Count, mean, extremes and interpolated percentiles in milliseconds of ``samples(by, seconds, tokens)``; negatives count as 0."""
+    """Count, mean, extremes and exact interpolated percentiles in milliseconds of ``samples(by, seconds, tokens)``; negatives count as 0."""
     ms = F.greatest(F.col("seconds"), F.lit(0.0)) * 1000
-    points = {f"p{p}_ms": F.round(F.percentile(ms, p / 100), 1) for p in (50, 90, 99)}
     spent = F.sum(F.greatest(F.col("seconds"), F.lit(0.0)))
-    return samples.groupBy(by).agg(
+    sums = samples.groupBy(by).agg(
         F.count("*").alias("count"), F.round(F.avg(ms), 1).alias("avg_ms"), F.round(F.min(ms), 1).alias("min_ms"), F.round(F.max(ms), 1).alias("max_ms"),
-        *(c.alias(n) for n, c in points.items()), F.round(F.coalesce(F.try_divide(F.sum("tokens"), spent), F.lit(0.0)), 3).alias("tokens_per_s"),
+        F.round(F.coalesce(F.try_divide(F.sum("tokens"), spent), F.lit(0.0)), 3).alias("tokens_per_s"),
     )
+    found = quantiles(samples.select(F.col(by).alias("_by"), ms.alias("_ms")), "_by", "_ms", (0.5, 0.9, 0.99))
+    points = found.groupBy("_by").agg(*(F.round(F.max(F.when(F.col("p") == p / 100, F.col("q"))), 1).alias(f"p{p}_ms") for p in (50, 90, 99)))
+    return sums.join(points, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "count", "avg_ms", "min_ms", "max_ms", "p50_ms", "p90_ms", "p99_ms", "tokens_per_s")
 
 
 def sliding_rate(events: DataFrame, by: str, seconds: int = WINDOW_SECONDS) -> DataFrame:

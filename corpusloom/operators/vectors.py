@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corpusloom.functions.text import stable_hash
 from corpusloom.operators.lexical import top
+from corpusloom.storage import stored
 
 #: Vectors per block of the exact search: both sides of one product are held in memory.
 BLOCK = 2048
+#: Units of a document that one task settles in order.
+LEADERS = 8192
 
 
 def features(word: Column) -> Column:
@@ -62,15 +66,16 @@ def _blocks(vectors: DataFrame, ident: str, name: str) -> DataFrame:
     return vectors.groupBy(F.pmod(F.xxhash64(ident), count).alias(f"{name}_block")).agg(F.collect_list(ident).alias(f"{name}_ids"), F.collect_list("vector").alias(f"{name}_vectors"))
 
 
-def cosine_top(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+def cosine_top(queries: DataFrame, base: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """``(query_id, id, sim, rank)``: for ``queries(query_id, vector)`` the k nearest of ``base(id, vector)``, exactly."""
-    return top(cosine_scores(queries, base, k), k, "sim", "id")
+    return top(cosine_scores(queries, base, k, digits), k, "sim", "id")
 
 
-def cosine_scores(queries: DataFrame, base: DataFrame, k: int | None = None) -> DataFrame:
+def cosine_scores(queries: DataFrame, base: DataFrame, k: int | None = None, digits: int = 9) -> DataFrame:
     """``(query_id, id, sim)`` of all pairs of a query and a vector, or of the k best of each block.
 
-    Blocks of queries meet blocks of vectors; each product keeps its k best, so rows out are k per query and block.
+    Blocks of queries meet blocks of vectors; each product keeps its k best, so rows out are k per query and block. Rounded once, to
+    ``digits``, so that equal sums in another order rank alike.
     """
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,7 +85,7 @@ def cosine_scores(queries: DataFrame, base: DataFrame, k: int | None = None) ->
                 ids = np.asarray(row.b_ids)
                 q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
                 b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-                sim = np.round(q @ b.T, 9)
+                sim = np.round(q @ b.T, digits)
                 for query, s in zip(row.q_ids, sim, strict=True):
                     order = np.lexsort((ids, -s))[:k]
                     yield pd.DataFrame({"query_id": query, "id": ids[order], "sim": s[order]})
@@ -89,30 +94,82 @@ def cosine_scores(queries: DataFrame, base: DataFrame, k: int | None = None) ->
     return pairs.mapInPandas(best, "query_id long, id long, sim double")
 
 
-def greedy_unique(units: DataFrame, drop: float = 0.90, review: float = 0.85) -> DataFrame:
+def greedy_unique(units: DataFrame, drop: float = 0.90, review: float = 0.85, block: int = LEADERS, largest: int | None = None) -> DataFrame:
     """``units(doc_id, pos, vector)`` plus verdict (keep, review, drop), best and sim.
 
     In order of pos, each unit is held against the kept ones before it: at ``drop`` or more it goes, at ``review`` or more it
-    stays for review. The first of equally near ones is ``best``. Only the units of one document meet; they must fit a task.
+    stays for review. The first of equally near ones is ``best``. The rule is exact whatever a document holds: documents of
+    up to ``block`` units are settled in one task each; in longer ones the first block is settled, the units after it meet its
+    leaders block by block, and so on, with a table between rounds. A task holds two blocks at most. ``largest``: the most units
+    of a document, if known (else they are counted). A null vector is near to nothing; equal places are ordered by vector.
     """
+    if largest is None:
+        largest = units.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= block:
+        return units.select("doc_id", "pos", "vector", *_nothing_yet()).groupBy("doc_id").applyInPandas(_settle(drop, review), _SETTLED).drop("vector")
+    order = W.partitionBy("doc_id").orderBy("pos", "vector")
+    placed = units.select("doc_id", "pos", "vector", F.floor((F.row_number().over(order) - 1) / block).cast("int").alias("block"), *_nothing_yet())
+    rest, out, turn = stored(placed), None, 0
+    while True:
+        done = stored(rest.where(F.col("block") == turn).groupBy("doc_id").applyInPandas(_settle(drop, review), _SETTLED))
+        out = done.drop("vector") if out is None else out.unionByName(done.drop("vector"))
+        rest, turn = rest.where(F.col("block") > turn), turn + 1
+        if turn * block >= largest:
+            return out
+        last = rest.groupBy("doc_id").agg(F.max("block").alias("last"))
+        leaders = done.where("verdict <> 'drop'").join(last, "doc_id").select("doc_id", "pos", "vector", F.explode(F.sequence(F.lit(turn), "last")).alias("block"))
+        met = rest.groupBy("doc_id", "block").cogroup(leaders.groupBy("doc_id", "block")).applyInPandas(_meet, rest.schema)
+        rest = stored(met)
+
+
+_SETTLED = "doc_id long, pos long, vector array<double>, verdict string, best long, sim double"
+
+
+def _nothing_yet() -> tuple[Column, Column]:
+    return F.lit(None).cast("long").alias("best"), F.lit(None).cast("double").alias("sim")
+
+
+def _unit_rows(column: pd.Series) -> np.ndarray:
+    dim = max((len(v) for v in column if v is not None), default=1)
+    rows = np.stack([np.zeros(dim) if v is None else np.asarray(v, np.float64) for v in column])
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norm == 0, 1.0, norm)
+
+
+def _settle(drop: float, review: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The rule on one block; ``best`` and ``sim`` so far come from earlier blocks."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        kept = np.zeros((len(pdf), len(pdf["vector"].iloc[0])))
-        places: list[int] = []
+        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        rows = _unit_rows(pdf["vector"])
+        kept, places = np.zeros_like(rows), []
         verdict, best, sims = [], [], []
-        for i, v in enumerate(pdf["vector"]):
-            v = np.asarray(v, np.float64)
-            v = v / (np.linalg.norm(v) or 1.0)
-            sim = np.round(kept[: len(places)] @ v, 9)
-            at = int(sim.argmax()) if len(sim) else -1
-            near = float(sim[at]) if at >= 0 else None
-            verdict.append("drop" if near is not None and near >= drop else "review" if near is not None and near >= review else "keep")
-            best.append(int(pdf["pos"][places[at]]) if at >= 0 else None)
-            sims.append(near)
+        for i, v in enumerate(rows):
+            near = np.round(kept[: len(places)] @ v, 9)
+            at = int(near.argmax()) if len(near) else -1
+            b, s = (None, None) if pd.isna(pdf["sim"][i]) else (int(pdf["best"][i]), float(pdf["sim"][i]))
+            if at >= 0 and (s is None or near[at] > s):
+                b, s = int(pdf["pos"][places[at]]), float(near[at])
+            verdict.append("keep" if s is None or s < review else "review" if s < drop else "drop")
+            best.append(b)
+            sims.append(s)
             if verdict[-1] != "drop":
                 kept[len(places)] = v
                 places.append(i)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "pos": pdf["pos"], "verdict": verdict, "best": pd.array(best, "Int64"), "sim": sims})
-
-    return units.groupBy("doc_id").applyInPandas(walk, "doc_id long, pos long, verdict string, best long, sim double")
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "pos": pdf["pos"], "vector": pdf["vector"], "verdict": verdict, "best": pd.array(best, "Int64"), "sim": pd.array(sims, "Float64")})
+
+    return walk
+
+
+def _meet(rest: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+    """Units of later blocks with the nearest leader so far."""
+    if not len(rest) or not len(leaders):
+        return rest
+    leaders = leaders.sort_values("pos", kind="stable")
+    near = np.round(_unit_rows(rest["vector"]) @ _unit_rows(leaders["vector"]).T, 9)
+    at = near.argmax(axis=1)
+    s = near[np.arange(len(rest)), at]
+    better = rest["sim"].isna().to_numpy() | (s > rest["sim"].fillna(-2.0).to_numpy())
+    rest["best"] = pd.array(np.where(better, leaders["pos"].to_numpy()[at], rest["best"].fillna(-1).to_numpy().astype(np.int64)), "Int64")
+    rest["sim"] = np.where(better, s, rest["sim"].to_numpy())
+    return rest
