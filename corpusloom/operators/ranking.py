@@ -122,8 +122,9 @@ def _scored(base: DataFrame, scorer: Scorer, work: Callable, schema: str) -> Dat
     return base.mapInArrow(run, schema)
 
 
-def head(base: DataFrame, scorer: Scorer, m: int) -> DataFrame:
-    """``(query_id, idx, score, rank)``: each question's m best. A task holds and hands on m rows a question."""
+def head(base: DataFrame, scorer: Scorer, m: int | np.ndarray) -> DataFrame:
+    """``(query_id, idx, score, rank)``: each question's m best, or as many as an array has for it. A task holds and hands on m rows a question."""
+    wide = np.broadcast_to(np.asarray(m, np.int64), len(scorer.query_ids))
 
     def best(of: Scorer, slices: Iterator) -> Iterator[pa.RecordBatch]:
         asked = len(of.query_ids)
@@ -134,14 +135,18 @@ def head(base: DataFrame, scorer: Scorer, m: int) -> DataFrame:
                 good = scores >= least[:, None]
             for q in np.flatnonzero(good.any(axis=1)).tolist():
                 s, i = np.append(held[q][0], scores[q, good[q]]), np.append(held[q][1], ids[good[q]])
-                order = np.lexsort((i, -s))[:m]
+                order = np.lexsort((i, -s))[: wide[q]]
                 held[q] = s[order], i[order]
-                if len(order) == m:
+                if len(order) == wide[q]:
                     least[q] = held[q][0][-1]
         size = [len(s) for s, _ in held]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of.query_ids, size)), pa.array(np.concatenate([i for _, i in held] or [np.zeros(0, np.int64)])), pa.array(np.concatenate([s for s, _ in held] or [np.zeros(0)]))], ["query_id", "idx", "score"])
 
-    return lexical.top(_scored(base, scorer, best, _HIT), m, "score", "idx")
+    found = lexical.top(_scored(base, scorer, best, _HIT), int(wide.max(initial=0)), "score", "idx")
+    if np.ndim(m) == 0:
+        return found
+    limits = base.sparkSession.createDataFrame(pa.table({"query_id": scorer.query_ids, "_wide": wide}))
+    return found.join(F.broadcast(limits), "query_id").where(F.col("rank") <= F.col("_wide")).drop("_wide")
 
 
 def looked_up(base: DataFrame, scorer: Scorer, asked: DataFrame) -> DataFrame:

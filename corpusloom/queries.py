@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.jobs import answer
 from corpusloom.operators import chunking, cleaning, evaluation, fusion, intent, lexical, memory, ranking, service, vectors
 from corpusloom.sources import files, html
 
@@ -77,14 +78,29 @@ def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.dedup_sentences(lines(spark, sf_dir), MARKS, heading=NO_HEADING)
 
 
-@query()
+# Units of documents by normal form. The tables are in Latin script and normal form already, so SQL only drops marks, blanks and case.
+NORMS = rf"""{LINES}, striped AS (SELECT doc_id, pos, {STRIP.format('line')} AS s FROM lines),
+listed AS (SELECT doc_id, pos, CASE WHEN starts_with(s, '- ') THEN [{STRIP.format("substring(s, 3)")}] ELSE [x FOR x IN [{STRIP.format('y')} FOR y IN regexp_extract_all(s, '[^.!?]*[.!?]|[^.!?]+$')] IF x <> ''] END AS l
+  FROM striped WHERE starts_with(s, '- ') OR NOT (s = '' OR starts_with(s, '|') OR regexp_matches(s, '^#{{1,6}}\s'))),
+cut AS (SELECT doc_id, pos, unnest(range(len(l))) AS seg, unnest(l) AS unit FROM listed),
+normed AS MATERIALIZED (SELECT *, lower(regexp_replace(translate(unit, '{X.DROPPED_MARKS.replace("'", "''")}', ''), '\s+', '', 'g')) AS norm FROM cut),
+firsts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY pos, seg) AS turn FROM normed)"""
+
+
+@query(f"WITH {NORMS} SELECT doc_id, pos, seg, unit, norm FROM firsts WHERE turn = 1 OR length(norm) < 6")
 def near_dup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.dedup_units(cleaning.units(lines(spark, sf_dir), MARKS, NO_HEADING))
+    return cleaning.dedup_units(cleaning.units(lines(spark, sf_dir), MARKS, NO_HEADING)).select("doc_id", "pos", F.col("seg").cast("long").alias("seg"), "unit", "norm")
 
 
-@query()
+@query(f"""
+WITH {NORMS}, u AS (SELECT doc_id, norm, row_number() OVER (PARTITION BY doc_id ORDER BY pos, seg) AS place, list_distinct([norm[i : i + 1] FOR i IN range(1, length(norm))]) AS b FROM firsts WHERE turn = 1 AND length(norm) >= 6),
+g AS (SELECT doc_id, place, unnest(b) AS gram FROM u),
+shared AS (SELECT x.doc_id, x.place AS i, y.place AS j, count(*) AS n FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.place < y.place GROUP BY ALL),
+sims AS (SELECT s.doc_id, i, j, a.norm AS a, c.norm AS b, CAST(n AS DOUBLE) / (len(a.b) + len(c.b) - n) AS sim FROM shared s JOIN u a ON a.doc_id = s.doc_id AND a.place = i JOIN u c ON c.doc_id = s.doc_id AND c.place = j),
+kinds AS (SELECT doc_id, CASE WHEN sim >= 0.8 THEN 'fuzzy' ELSE 'weak' END AS kind, a, b, round_even(sim, 3) AS sim, i, j FROM sims WHERE sim >= 0.4)
+SELECT doc_id, kind, a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY sim DESC, i, j) AS turn FROM kinds) WHERE kind = 'fuzzy' OR turn <= 3""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.similar_units(cleaning.dedup_units(cleaning.units(lines(spark, sf_dir), MARKS, NO_HEADING)), 0.7)
+    return cleaning.unit_pairs(cleaning.dedup_units(cleaning.units(lines(spark, sf_dir), MARKS, NO_HEADING)))
 
 
 @query(rf"""
@@ -179,8 +195,8 @@ def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Words and vectors
 
 TOKENS = r"[x FOR x IN string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
-POSTS = f"toks AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), posts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)"
-STATS = "corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks), rawidf AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM posts, corpus GROUP BY term), terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM rawidf CROSS JOIN (SELECT avg(r) AS mean FROM rawidf))"
+POSTS = f"toks AS MATERIALIZED (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), posts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)"
+STATS = "corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks), rawidf AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM corpus) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM posts GROUP BY term), terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM rawidf CROSS JOIN (SELECT avg(r) AS mean FROM rawidf))"
 SCORED = f"q AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL), scored AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN posts USING (term) JOIN toks USING (doc_id), corpus GROUP BY ALL)"
 
 
@@ -230,7 +246,7 @@ COSINE = "SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similar
 
 def _nearest(spark: SparkSession, sf_dir: str, every: int, k: int) -> DataFrame:
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vectors.cosine_top(base.where(F.col("id") % every == 0).withColumnRenamed("id", "query_id"), base, k).withColumn("sim", F.round("sim", 6))
+    return vectors.cosine_top(base.where(F.col("id") % every == 0).withColumnRenamed("id", "query_id"), base, k, 6)
 
 
 @query(f"WITH s AS ({COSINE.format('a.vec_id % 100 = 0')}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s) WHERE rank <= 10")
@@ -243,7 +259,8 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cleaning.units(lines(spark, sf_dir), MARKS, NO_HEADING).where(F.char_length("unit") >= 6)
     rows = found.select(F.xxhash64("doc_id", "pos", "seg").alias("id"), F.col("doc_id").alias("doc"), (F.col("pos") * 100_000 + F.col("seg")).alias("pos"), "unit")
     made = vectors.dense(vectors.hash_embed(rows.select(F.col("id").alias("doc_id"), F.col("unit").alias("text")), 256), 256)
-    return vectors.greedy_unique(made.join(rows, "id").select(F.col("doc").alias("doc_id"), "pos", "vector"))
+    largest = rows.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
+    return vectors.greedy_unique(made.join(rows, "id").select(F.col("doc").alias("doc_id"), "pos", "vector"), largest=largest)
 
 
 # Fusion
@@ -304,6 +321,49 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.context(_fused(spark, sf_dir).join(docs, "idx").select("query_id", "rank", "file_name", "text"))
 
 
+# Questions to messages: intents made of benchmark items, with what a model may get wrong.
+
+ITEMS = f"""kinds AS (SELECT item_id AS query_id, text AS question, CASE WHEN item_id % 5 = 0 THEN 'fact' ELSE ['fact', 'comparison', 'fact', 'summary'][item_id % 4 + 1] END AS kind, CASE WHEN item_id % 5 <> 0 THEN string_split(text, ' ')[2] END AS slot FROM benchmark),
+wide AS (SELECT *, CASE WHEN kind = 'summary' THEN 15 ELSE 6 END AS top_k, CASE WHEN kind = 'summary' THEN 30 ELSE 12 END AS fetch_k, CASE WHEN kind = 'comparison' THEN [left(question, 60), right(question, 60)] ELSE [question] END AS l FROM kinds),
+listed AS (SELECT query_id, kind, fetch_k, unnest(range(len(l))) AS variant, unnest([{STRIP.format('t')} FOR t IN l]) AS text FROM wide),
+variants AS (SELECT *, CASE WHEN kind = 'comparison' THEN 'decompose' ELSE 'direct' END AS origin FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY variant) AS turn FROM listed) WHERE turn = 1 AND text <> ''),
+q AS (SELECT query_id, variant, term, count(*) AS qf FROM (SELECT query_id, variant, unnest({TOKENS.format('text')}) AS term FROM variants) GROUP BY ALL),
+scored AS (SELECT query_id, variant, doc_id AS idx, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN posts USING (term) JOIN toks USING (doc_id) CROSS JOIN corpus GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, idx) AS rank FROM scored),
+found AS (SELECT v.query_id, v.variant, v.origin, v.fetch_k, r.idx, r.rank, r.score, r.idx IS NULL AS failed FROM variants v LEFT JOIN ranked r ON r.query_id = v.query_id AND r.variant = v.variant AND r.rank <= v.fetch_k)"""
+
+
+def _item_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, n = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    kind = F.element_at(F.array(*map(F.lit, ("fact", "COMPARISON", "unknown", "summary"))), (n % 4 + 1).cast("int"))
+    slot = F.array(F.struct(F.lit("region").alias("type"), F.element_at(F.split("text", " "), 2).alias("value")))
+    body = F.to_json(F.struct(kind.alias("question_type"), F.array(F.left("text", F.lit(60)), F.right("text", F.lit(60))).alias("sub_queries"), slot.alias("slots")))
+    raw = F.when(n % 5 == 0, "no json here").otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    return items.select(n.alias("query_id"), F.col("text").alias("question"), intent.normalize_intent(raw).alias("intent"))
+
+
+@query(f"WITH {POSTS}, {STATS}, {ITEMS} SELECT query_id, CAST(variant AS BIGINT) AS variant, origin, CAST(fetch_k AS BIGINT) AS fetch_k, idx, rank, score, failed FROM found")
+def variant_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answer.variant_hits(_item_intents(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("query_id", F.col("variant").cast("long").alias("variant"), "origin", "fetch_k", "idx", "rank", "score", "failed")
+
+
+@query(f"""WITH {POSTS}, {STATS}, {ITEMS}, merged AS (SELECT query_id, idx, round(sum(round(1.0 / (60 + rank), 9)), 9) AS score FROM found WHERE NOT failed GROUP BY ALL),
+weighed AS (SELECT m.*, k.question, k.top_k, coalesce(d.source, '') AS file_name, d.text, round(score * CASE WHEN slot IS NULL OR slot = '' OR contains(d.text, slot) THEN 1.0 ELSE 0.35 END, 12) AS slot_score
+  FROM merged m JOIN wide k USING (query_id) JOIN documents d ON d.doc_id = m.idx),
+pooled AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY slot_score DESC, idx) AS first_rank FROM weighed),
+judged AS (SELECT *, first_rank <= greatest(3 * top_k, top_k + 8) AS pool, CASE WHEN first_rank <= greatest(3 * top_k, top_k + 8) THEN round(CAST(len(list_intersect(list_distinct({TOKENS.format('question')}), {TOKENS.format('text')})) AS DOUBLE) / greatest(len(list_distinct({TOKENS.format('question')})), 1), 9) END AS rerank_score FROM pooled),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pool DESC, rerank_score DESC NULLS LAST, first_rank) AS final_rank FROM judged)
+SELECT query_id, count(*) AS n_hits, string_agg(idx, ',' ORDER BY final_rank) AS hits, sha256('【资料】' || chr(10) || string_agg('[' || final_rank || ']（' || file_name || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY final_rank) || chr(10) || chr(10) || '【问题】' || chr(10) || any_value(question)) AS message_sha256
+FROM final WHERE final_rank <= top_k GROUP BY query_id""")
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("file_name"), "text")
+    hits = answer.answered(_item_intents(spark, sf_dir), docs)
+    listed = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", F.col("idx").cast("string").alias("i")))), lambda x: x["i"]), ",").alias("hits"))
+    made = answer.prompts(hits, "rules").select("query_id", "n_hits", F.sha2(F.col("messages")[1]["content"], 256).alias("message_sha256"))
+    return made.join(listed, "query_id").select("query_id", "n_hits", "hits", "message_sha256")
+
+
 # Questions
 
 SAID = "said AS (SELECT conv_id, turn, role, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations WHERE role = 'user')"
