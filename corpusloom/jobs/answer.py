@@ -21,11 +21,10 @@ def variant_hits(questions: DataFrame, docs: DataFrame, base_k: int = 6, digits:
     wide = questions.select("query_id", fetch_k.cast("long").alias("fetch_k"))
     rows = intent.variants(questions).join(wide, "query_id").withColumn("key", F.xxhash64("query_id", "variant"))
     cut = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    corpus = cut.select("doc_id", F.size("tokens").cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = lexical.inverse_frequencies(cut.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), corpus)
+    terms, mean = ranking.statistics(cut)
     hits = None
     for asked in ranking.blocks(rows.select(F.col("key").alias("query_id"), tokens(F.col("text")).alias("words"), "fetch_k")):
-        part = ranking.head(cut, ranking.bm25(asked, terms, corpus, digits), asked.column("fetch_k").to_numpy())
+        part = ranking.head(cut, ranking.bm25(asked, terms, mean, digits), asked.column("fetch_k").to_numpy())
         hits = part if hits is None else hits.unionByName(part)
     found = hits.withColumnRenamed("query_id", "key")
     return rows.join(found, "key", "left").select("query_id", "variant", "origin", "text", "fetch_k", "idx", "rank", "score", F.col("idx").isNull().alias("failed"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import fusion, lexical
+from corpusloom.storage import stored
 
 #: Questions that a task holds; larger sets are answered block by block.
 BLOCK = 2048
@@ -96,8 +97,15 @@ def cosine(asked: pa.Table, digits: int) -> Cosine:
     return Cosine(asked.column("query_id").to_numpy(), unit_rows(vectors, dim), digits)
 
 
-def bm25(asked: pa.Table, terms: DataFrame, corpus: DataFrame, digits: int) -> Bm25:
-    """A scorer for questions ``(query_id, words)`` by ``terms(term, idf)`` and ``corpus(n, avgdl)``; of the terms only those asked for are fetched."""
+def statistics(cut: DataFrame) -> tuple[DataFrame, float]:
+    """``terms(term, df, idf)``, stored, and the mean length of ``cut(id, tokens)``: two passes for all blocks of questions."""
+    n, mean = cut.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    df = cut.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return stored(lexical.inverse_frequencies(df, cut.sparkSession.createDataFrame([(n,)], "n long"))), mean or 1.0
+
+
+def bm25(asked: pa.Table, terms: DataFrame, mean_length: float, digits: int) -> Bm25:
+    """A scorer for questions ``(query_id, words)`` by ``terms(term, idf)``; of the terms only those asked for are fetched."""
     spark = terms.sparkSession
     ids, words = asked.column("query_id").to_numpy(), asked.column("words").combine_chunks()
     flat = pa.table({"q": pa.array(np.repeat(np.arange(len(ids)), pc.list_value_length(words).to_numpy(zero_copy_only=False))), "term": words.flatten()})
@@ -108,7 +116,7 @@ def bm25(asked: pa.Table, terms: DataFrame, corpus: DataFrame, digits: int) -> B
     names = sorted({r[0] for r in rows})
     number = {t: i for i, t in enumerate(names)}
     first = np.searchsorted(np.array([number[r[0]] for r in rows], np.int64), np.arange(len(names) + 1))
-    return Bm25(ids, pa.array(names, pa.string()), first, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64), corpus.first()["avgdl"] or 1.0, digits)
+    return Bm25(ids, pa.array(names, pa.string()), first, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64), mean_length, digits)
 
 
 def _scored(base: DataFrame, scorer: Scorer, work: Callable, schema: str) -> DataFrame:
@@ -214,11 +222,10 @@ def hybrid_top(queries: DataFrame, docs: DataFrame, base: DataFrame, k: int, dig
     A null text or vector of a question has no list there.
     """
     cut = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    corpus = cut.select("doc_id", F.size("tokens").cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = lexical.inverse_frequencies(cut.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), corpus)
+    terms, mean = statistics(cut)
     out = None
     for asked in blocks(queries.select("query_id", tokens(F.col("text")).alias("words"), "vector")):
         near = asked.filter(pc.is_valid(asked.column("vector")))
-        part = fused_top(cut, bm25(asked, terms, corpus, digits), base, cosine(near, digits), k)
+        part = fused_top(cut, bm25(asked, terms, mean, digits), base, cosine(near, digits), k)
         out = part if out is None else out.unionByName(part)
     return out
