@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import cleaning, lexical, ranking, service, vectors
+from corpusloom.jobs import answer
+from corpusloom.operators import cleaning, intent, ranking, service, vectors
 
 
 def whole_fusion(queries, texts, base, k):
@@ -130,3 +131,19 @@ def test_quantiles(spark):
     assert got.keys() == want.keys()
     for key, v in want.items():
         assert got[key] == v or got[key] == pytest.approx(v, rel=1e-12), key
+
+
+def test_variants_have_their_own_widths(spark):
+    """A wide question gets more hits than a narrow one; a variant without hits is a row and stops nobody else's."""
+    docs = spark.createDataFrame([(i, "f", "apple pear" if i % 2 else "apple plum") for i in range(60)], "doc_id long, file_name string, text string")
+    raw = ['{"question_type":"summary"}', '{"question_type":"comparison","sub_queries":["pear","zzz"]}', "no json"]
+    asked = spark.createDataFrame([(i, q, r) for i, (q, r) in enumerate(zip(("apple", "pear zzz", "plum"), raw, strict=True))], "query_id long, question string, raw string")
+    questions = asked.select("query_id", "question", intent.normalize_intent(F.col("raw")).alias("intent"))
+    rows = answer.variant_hits(questions, docs.select("doc_id", "text")).collect()
+    got = Counter((r["query_id"], r["variant"], r["origin"], r["failed"]) for r in rows)
+    assert got == {(0, 0, "direct", False): 30, (1, 0, "decompose", False): 12, (1, 1, "decompose", True): 1, (2, 0, "direct", False): 12}
+    hits = answer.answered(questions, docs).collect()
+    assert Counter(r["query_id"] for r in hits) == {0: 15, 1: 6, 2: 6}
+    assert [r["idx"] for r in sorted((r for r in hits if r["query_id"] == 1), key=lambda r: r["final_rank"])] == [1, 3, 5, 7, 9, 11]
+    made = answer.prompts(answer.answered(questions, docs), "rules").collect()
+    assert {r["query_id"]: r["n_hits"] for r in made} == {0: 15, 1: 6, 2: 6} and all("【问题】" in r["messages"][1]["content"] for r in made)
