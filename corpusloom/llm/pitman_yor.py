@@ -1,7 +1,7 @@
 """A hierarchical Pitman-Yor model of words, seated by Gibbs sweeps, and the log probability of texts under it.
 
 Tokens are words (split at ASCII white space, A-Z lower-cased) and one end per text; before the first word stands an end.
-The root restaurant serves words; each context restaurant, one per frequent preceding token, has the root as its parent.
+The root restaurant serves words; each context restaurant, one per preceding token, has the root as its parent.
 A context's customers are the tokens after it. Each table there sends one customer to the root, whose base is uniform
 over the known words and one unknown word.
 
@@ -15,7 +15,9 @@ of its partitions below HASHED, and else sort. Nothing that grows with the corpu
 
 A sweep seats each dish anew, given the other restaurants' tables from the last sweep: dishes then don't depend on each
 other, so they are sampled where they lie. Seating goes customer by customer up to SINGLES, then in blocks of a sixteenth of those
-seated. A dish of one customer always has one table, so only its number takes part. A word's count in the root follows from its tables. Predictive probabilities are averaged over the last two sweeps.
+seated. Chance comes from the dish's key, the sweep and the customer's number alone, so neither partitions nor a task's second try change a seat.
+A dish of one customer always has one table, so only its number takes part. A word's count in the root follows from its tables.
+Predictive probabilities are averaged over the last two sweeps; perplexity is 10 to the negative mean log10 probability of a token.
 
 Counts cover every training token. A null or empty text is its end alone. A null id counts as the empty id. Repeated
 rows count each time. Without training rows each token has the probability of the unknown word, 1. Extra columns are ignored.
@@ -32,7 +34,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ SWEEPS = 3
 SINGLES = 16
 STRENGTH = 1.0
 SEED = 20240229
+#: A block's tables are drawn from a normal distribution if their variance is larger.
+NORMAL = 100
 #: A join hashes a side rather than sort both if none of its partitions is larger.
 HASHED = "64m"
 #: Slices of contexts and of documents that are counted and scored one after the other.
@@ -53,6 +56,7 @@ SCORE_SLICES = 3
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _COMPACT = 3_000_000
+_STRIDE = 0x9E3779B97F4A7C15
 #: Counts beyond are told apart no further when heads are cut.
 _MOST = 1 << 20
 
@@ -135,7 +139,31 @@ def find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
-def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def draws(keys: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in [0, 1), one per key, that hang on the key and the step alone."""
+    return (textkit.mix(keys + np.uint64(_STRIDE * step % (1 << 64))) >> np.uint64(11)) * 2.0**-53
+
+
+def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
+    """Successes of n trials each: the least k whose distribution passes the draw; normal where the variance passes NORMAL."""
+    u, odd = draws(keys, 2 * step), p > 0.5
+    q = np.where(odd, 1 - p, p)
+    k, wide = np.zeros(len(n), np.int64), n * q * (1 - q) > NORMAL
+    if wide.any():
+        a, b, mean = u[wide], draws(keys[wide], 2 * step + 1), (n * q)[wide]
+        z = np.sqrt(-2 * np.log1p(-a)) * np.cos(2 * np.pi * b)
+        k[wide] = np.clip(np.rint(mean + z * np.sqrt(mean * (1 - q[wide]))), 0, n[wide])
+    at = np.flatnonzero(~wide)
+    share = (1 - q[at]) ** n[at]
+    left = u[at] - share
+    while len(at := at[(on := (left >= 0) & (k[at] < n[at]))]):
+        share = share[on] * (n[at] - k[at]) / (k[at] + 1) * (q[at] / (1 - q[at]))
+        left = left[on] - share
+        k[at] += 1
+    return np.where(odd, n - k, k)
+
+
+def seat(c: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
     """Tables of dishes with c customers each: a customer opens one with odds of weight to seated - discount * tables."""
     t = np.minimum(c, 1)
     order = np.argsort(-c, kind="stable")
@@ -148,7 +176,7 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
         block = max(1, i // SINGLES)
         w = weight[live]
         p = np.clip(w / (w + np.maximum(i - discount * t[live], 1e-9)), 0, 1)
-        t[live] += rng.binomial(np.minimum(block, c[live] - i), p)
+        t[live] += draws(keys[live], 2 * i) < p if block == 1 else binomial(np.minimum(block, c[live] - i), p, keys[live], i)
         i += block
 
 
@@ -167,8 +195,9 @@ class Heads:
     types: int
 
 
-def _rng(sweep: int, level: int) -> np.random.Generator:
-    return np.random.default_rng([SEED, sweep, level, TaskContext.get().partitionId()])
+def _keys(of: np.ndarray, sweep: int, level: int) -> np.ndarray:
+    """Keys of a sweep's draws for dishes (level 1) or words (level 0)."""
+    return textkit.mix(of ^ textkit.mix(np.array([SEED + 2 * sweep + level], np.uint64)))
 
 
 @contextmanager
@@ -242,11 +271,11 @@ class Model:
             at = dishes.join(state.select("h", p.alias("p")).hint("shuffle_hash"), "h").join(of.hint("shuffle_hash"), "u")
 
             def seat_dishes(batches: Iterator[pa.RecordBatch], sweep: int = sweep) -> Iterator[pa.RecordBatch]:
-                rng = _rng(sweep, 1)
                 for b in batches:
-                    n, t, p, of = (b.column(i).to_numpy() for i in range(2, 6))
+                    u, h, n, t, p, of = (b.column(i).to_numpy() for i in range(6))
+                    keys = _keys(dish_key(u.view(np.uint64), h.view(np.uint64)), sweep, 1)
                     # The dish's own tables are taken off before it is seated anew.
-                    new = seat(n.astype(np.int64), (STRENGTH + d1 * np.maximum(of - t, 0)) * p, d1, rng)
+                    new = seat(n.astype(np.int64), (STRENGTH + d1 * np.maximum(of - t, 0)) * p, d1, keys)
                     yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new.astype(np.int64)), b.column(3)], ["u", "h", "c", "t", "tp"])
 
             dishes = scratch.save(at.select("u", "h", "c", "t", "p", "of").mapInArrow(seat_dishes, "u long, h long, c long, t long, tp long"), f"dishes-{sweep}")
@@ -258,11 +287,11 @@ class Model:
             all_t = totals[1][1]
 
             def seat_words(batches: Iterator[pa.RecordBatch], sweep: int = sweep, all_t: float = all_t) -> Iterator[pa.RecordBatch]:
-                rng = _rng(sweep, 0)
                 for b in batches:
+                    keys = _keys(b.column(0).to_numpy().view(np.uint64), sweep, 0)
                     now, tables = b.column(7).to_numpy(), b.column(6).to_numpy()
                     weight = (STRENGTH + d0 * np.maximum(all_t - tables, 0)) / (types + 1)
-                    new = pa.array(seat(now.astype(np.int64), weight, d0, rng).astype(np.int64))
+                    new = pa.array(seat(now.astype(np.int64), weight, d0, keys).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column(7), new, b.column(5), b.column(6)], state_names)
 
             state_names = ["h", "c", "ones", "of", "of_p", "seated", "tables", "seated_p", "tables_p"]
@@ -308,7 +337,7 @@ class Model:
         self.scratch.spark._jvm.System.gc()
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs(doc_id, held_out, text)`` without text, plus n_tokens, n_known, train_tokens, base_score and score."""
+        """``docs(doc_id, held_out, text)`` without text, plus n_tokens, n_known, train_tokens, base_score, score and perplexity."""
         shared = docs.sparkSession.sparkContext.broadcast(self.heads)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +392,13 @@ class Model:
             part = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(SCORE_SLICES)) == at).mapInArrow(run, schema)
             parts.append(self._rest(part, f"{self.calls}-{at}"))
             self._release()
-        return reduce(DataFrame.unionByName, parts)
+        shared.destroy()
+        return reduce(DataFrame.unionByName, parts).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+    def close(self) -> None:
+        """Drop the stored words and dishes; scores made before stay."""
+        for name in ("dishes", f"state-{SWEEPS}"):
+            self.scratch.drop(name)
 
     def _rest(self, part: DataFrame, name: str) -> DataFrame:
         """A slice of the scores with what the heads don't know, stored.
@@ -403,3 +438,9 @@ class Model:
         for done in ("heads", "rare"):
             self.scratch.drop(f"{done}-{name}")
         return out
+
+
+def perplexity(scored: DataFrame, *by: str) -> DataFrame:
+    """Perplexity of all tokens of the rows of ``scored`` with the same ``by``; no row for no tokens."""
+    sums = scored.groupBy(*by).agg(F.sum("score").alias("score"), F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0")
+    return sums.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

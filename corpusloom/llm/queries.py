@@ -101,7 +101,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of each document, learned from those of four folds in five."""
     docs = _table(spark, sf_dir).select("doc_id", (fold(5) == 1).alias("held_out"), "text")
-    return pitman_yor.Model(docs.where("not held_out")).score(docs)
+    model = pitman_yor.Model(docs.where("not held_out"))
+    scored = model.score(docs)
+    model.close()
+    return scored
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

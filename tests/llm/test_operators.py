@@ -16,7 +16,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, chat, components, language_id, line_dedup, ngram_join, phrase_index, pitman_yor, quality_rules, queries, rule_ensemble, scratch, unigram_count
+from corpusloom.llm import byte_bpe, chat, components, language_id, line_dedup, ngram_join, phrase_index, pitman_yor, quality_rules, queries, rule_ensemble, scratch, textkit, unigram_count
 from corpusloom.llm.statistics import NAMES, with_statistics
 from tests.conftest import DATA
 
@@ -533,15 +533,51 @@ def test_every_context_counts(spark, monkeypatch):
 def test_seating():
     """The mean number of tables is that of customers seated one by one."""
     rng, c, weight, d = np.random.default_rng(0), 12, 1.5, 0.4
+    keys = textkit.mix(np.arange(1, 4001, dtype=np.uint64))
     exact = []
     for _ in range(4000):
         t = 1
         for i in range(1, c):
             t += rng.random() < weight / (weight + i - d * t)
         exact.append(t)
-    got = pitman_yor.seat(np.full(4000, c), np.full(4000, weight), d, rng)
+    got = pitman_yor.seat(np.full(4000, c), np.full(4000, weight), d, keys)
     assert abs(got.mean() - np.mean(exact)) < 0.1
-    assert pitman_yor.seat(np.array([0, 1, 5_000_000]), np.array([1.0, 1.0, 1.0]), d, rng)[:2].tolist() == [0, 1]
+    assert pitman_yor.seat(np.array([0, 1, 5_000_000]), np.array([1.0, 1.0, 1.0]), d, keys[:3])[:2].tolist() == [0, 1]
+    order = rng.permutation(4000)
+    assert (pitman_yor.seat(np.full(4000, 900), np.full(4000, weight), d, keys[order]) == pitman_yor.seat(np.full(4000, 900), np.full(4000, weight), d, keys)[order]).all()
+
+
+def test_binomial_draws():
+    """Mean and variance of a binomial, on both sides of the normal limit and of one half."""
+    keys = textkit.mix(np.arange(1, 40001, dtype=np.uint64))
+    for n, p in ((5, 0.2), (60, 0.9), (3000, 0.01), (3000, 0.4), (10**9, 1e-7), (7, 1.0), (7, 0.0)):
+        got = pitman_yor.binomial(np.full(40000, n), np.full(40000, p), keys, 3)
+        assert got.min() >= 0 and got.max() <= n
+        assert abs(got.mean() - n * p) <= 5 * math.sqrt(n * p * (1 - p) / 40000) and abs(got.var() - n * p * (1 - p)) <= 0.05 * n * p * (1 - p)
+
+
+def test_partitions_change_no_score(spark):
+    """Scores follow from the data: not from partitions, the rows' order or where a task runs. Nothing stays in the catalog."""
+    rng = random.Random(5)
+    rows = [(i, i % 5 == 0, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(80))) for i in range(150)]
+    before_it, tables = spark.conf.get("spark.sql.shuffle.partitions"), len(spark.catalog.listTables())
+    got = []
+    try:
+        for parts in (4, 7, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            rng.shuffle(rows)
+            df = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(parts)
+            model = pitman_yor.Model(df.where("not held_out"))
+            scored = model.score(df)
+            model.close()
+            got.append({r["doc_id"]: (r["score"], r["perplexity"]) for r in scored.collect()})
+            folds = {r["held_out"]: r["perplexity"] for r in pitman_yor.perplexity(scored, "held_out").collect()}
+            assert 1 < folds[False] < folds[True] < 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before_it)
+    assert len(spark.catalog.listTables()) == tables
+    for other in got[1:]:
+        assert all(other[i] == pytest.approx(got[0][i], rel=1e-9) for i in got[0])
 
 
 # 10
