@@ -1,9 +1,9 @@
 """Language of a text: known words by their frequency per language, unseen words by ever shorter character n-grams.
 
 Words are runs of ASCII letters and of characters beyond ASCII, A-Z lower-cased. Training counts words, and the n-grams
-of each word with its ends marked, over all labelled texts. A table keeps every entry whose share of the counts of any one
-language is ``languages / entries`` or more, so it has at most ``entries`` rows however much text is read, and a rare language
-has as many as a common one; that bounds what is broadcast.
+of each word with its ends marked, over all labelled texts. Every count is kept in a stored table. The most frequent entries,
+``WORD_ENTRIES`` words and ``GRAM_ENTRIES`` n-grams a length at most, are looked up in the task; each other word of a text is valued once
+for all texts, by joins with the stored rest, and its value joined to the texts that have it. Heads change the plan and no result.
 A word in the word table adds its smoothed log frequency in each language. Any other word adds the mean log frequency of
 its n-grams of the longest length at which one is known.
 
@@ -15,11 +15,13 @@ Columns but those named are ignored, and repeated rows count each time.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,10 +48,15 @@ _SLICE_BYTES = 1 << 19
 
 @dataclass
 class Model:
-    """Sorted hashes and log frequencies by language; kind 0 has words, kind n has n-grams."""
+    """Sorted hashes and log frequencies by language of the heads; kind 0 has words, kind n has n-grams.
+
+    ``tail(kind, hash, v)`` has the entries that no head has, of the kinds ``tailed``; None if there are none.
+    """
 
     langs: list[str]
     tables: dict[int, tuple[np.ndarray, np.ndarray]]
+    tail: DataFrame | None = None
+    tailed: frozenset[int] = frozenset()
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[textkit.Texts]:
@@ -129,30 +136,45 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def _step(n: Column) -> Column:
+    """Counts in steps of about 4 %: few enough to be counted on the driver."""
+    return F.floor(F.log2(n) * 16).cast("int")
+
+
 def train(docs: DataFrame) -> Model:
-    """Counts over all of ``docs(text, lang)``; the driver gets the bounded tables only."""
+    """Counts over all of ``docs(text, lang)``; the driver gets the bounded heads only."""
     counts = docs.where("lang is not null and text is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counts = counts.mapInArrow(_count, "kind int, lang string, hash long, n long").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("kind", "hash").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    by_key = counts.groupBy("kind", "hash").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), _step(F.sum("n")).alias("step"))
     by_key = Scratch(docs.sparkSession).save(by_key, "language-counts")
     sizes = by_key.select("kind", F.explode("by_lang").alias("lang", "n")).groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
+    steps = by_key.groupBy("kind", "step").agg(F.count("*").alias("n")).collect()
     langs = sorted({r["lang"] for r in sizes})
-    tables = {}
+    tables, tails, tailed = {}, [], set()
     for kind in (0, *LENGTHS):
         own = {r["lang"]: r for r in sizes if r["kind"] == kind}
         if not own:
             continue
-        entries = (GRAM_ENTRIES if kind else WORD_ENTRIES) / len(own)
-        frequent = F.exists(F.map_entries("by_lang"), lambda e: e["value"] * entries >= F.element_at(F.create_map(*(F.lit(x) for k, r in own.items() for x in (k, r["n"]))), e["key"]))
-        head = by_key.where((F.col("kind") == kind) & frequent)
-        head = head.select("hash", F.array(*(F.coalesce(F.element_at("by_lang", F.lit(x)), F.lit(0)) for x in langs)).alias("n")).toArrow()
-        h = head.column("hash").to_numpy().astype(np.int64).view(np.uint64)
-        n = np.asarray(head.column("n").combine_chunks().flatten() if head.num_rows else [], np.float64).reshape(-1, len(langs))
+        least, held = None, 0
+        for step, n in sorted(((r["step"], r["n"]) for r in steps if r["kind"] == kind), reverse=True):
+            held += n
+            if held > (GRAM_ENTRIES if kind else WORD_ENTRIES):
+                tailed.add(kind)
+                break
+            least = step
         types = max(r["types"] for r in own.values())
         totals = np.array([own[x]["n"] if x in own else 0 for x in langs], np.float64)
+        rows, in_head = by_key.where(F.col("kind") == kind), F.lit(False) if least is None else F.col("step") >= least
+        each = [F.coalesce(F.element_at("by_lang", F.lit(x)), F.lit(0)) for x in langs]
+        head = rows.where(in_head).select("hash", F.array(*each).alias("n")).toArrow()
+        h = head.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+        n = np.asarray(head.column("n").combine_chunks().flatten() if head.num_rows else [], np.float64).reshape(-1, len(langs))
         order = np.argsort(h)
         tables[kind] = (h[order], np.log((n[order] + SMOOTHING) / (totals + SMOOTHING * types)).astype(np.float32))
-    return Model(langs, tables)
+        if kind in tailed:
+            v = [F.log((x + SMOOTHING) / float(of + SMOOTHING * types)).cast("float") for x, of in zip(each, totals, strict=True)]
+            tails.append(rows.where(~in_head).select("kind", "hash", F.array(*v).alias("v")))
+    return Model(langs, tables, reduce(DataFrame.unionByName, tails) if tails else None, frozenset(tailed))
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,10 +214,137 @@ def score_slice(model: Model, part: textkit.Texts) -> np.ndarray:
     return out
 
 
+def _letters(part: textkit.Texts) -> np.ndarray:
+    """Whether each text has a letter."""
+    sums = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part.data])])
+    letters = sums[part.offsets[1:]] > sums[part.offsets[:-1]]
+    for i in np.flatnonzero(~letters):
+        text = part.data[part.offsets[i] : part.offsets[i + 1]].tobytes().decode("utf-8", "replace")
+        letters[i] = any(c.isalpha() for c in text)
+    return letters
+
+
+def _doubles(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    ends = (np.arange(len(values) + 1) * values.shape[1]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.float64).ravel()))
+
+
+def _by_head(shared: Broadcast[Model]):
+    """(k1, k2, letters, z, tail) of (text, k1, k2): sums of the words that the head knows, the others with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in _parts(batch):
+                z = np.zeros((part.rows, len(model.langs)))
+                h = part.hashes(lower=True)
+                key, back = np.unique(h, return_inverse=True)
+                known, at = _find(model.tables[0], key)
+                mine = np.flatnonzero(known[back])
+                for k in range(len(model.langs)):
+                    z[:, k] = np.bincount(part.doc[mine], model.tables[0][1][at[back[mine]], k], part.rows)
+                left = np.flatnonzero(~known[back])
+                order = left[np.lexsort((h[left], part.doc[left]))]
+                new = np.append(True, (h[order][1:] != h[order][:-1]) | (part.doc[order][1:] != part.doc[order][:-1])) if len(order) else np.zeros(0, bool)
+                at = np.flatnonzero(new)
+                n, first = np.diff(np.append(at, len(order))), order[at]
+                size = part.ends[first] - part.starts[first]
+                begin = np.cumsum(size) - size
+                flat = textkit.lower(part.data[np.repeat(part.starts[first] - begin, size) + np.arange(int(size.sum()))])
+                spelled = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(begin, size.sum()).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
+                ends = np.append(0, np.cumsum(np.bincount(part.doc[first], minlength=part.rows))).astype(np.int32)
+                tail = pa.StructArray.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64)), spelled], ["h", "n", "word"])
+                keys = [batch.column(i).slice(part.first, part.rows) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(_letters(part)), _doubles(z), pa.ListArray.from_arrays(pa.array(ends), tail)], ["k1", "k2", "letters", "z", "tail"])
+
+    return run
+
+
+def _by_grams(shared: Broadcast[Model]):
+    """(h, kind, gram, many, z) of words (h, word): per length what the head knows of a word (no gram), and grams to be joined.
+
+    Lengths below one of which the head knows an n-gram are left out: they can't decide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            for part in _parts(batch):
+                own = h[part.first + part.doc]
+                points, begins = _spelled(part, np.arange(len(own)))
+                open_ = np.ones(len(own), bool)
+                for n in LENGTHS:
+                    if n not in model.tables:
+                        continue
+                    word, gram = _grams(points, begins, n)
+                    on = open_[word]
+                    word, gram = word[on], gram[on]
+                    hit, at = _find(model.tables[n], gram)
+                    many = np.bincount(word[hit], minlength=len(own))
+                    some = np.flatnonzero(many)
+                    z = np.stack([np.bincount(word[hit], model.tables[n][1][at[hit], k], len(own))[some] for k in range(len(model.langs))], 1)
+                    asked = np.flatnonzero(~hit) if n in model.tailed else np.zeros(0, np.int64)
+                    nulls = np.arange(len(some) + len(asked)) < len(some)
+                    rows = np.concatenate([own[some], own[word[asked]]])
+                    z = np.concatenate([z, np.zeros((len(asked), len(model.langs)))])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(rows), pa.array(np.full(len(rows), n, np.int32)), pa.array(np.concatenate([np.zeros(len(some), np.int64), gram[asked].view(np.int64)]), mask=nulls),
+                        pa.array(np.concatenate([many[some], np.ones(len(asked), np.int64)])), _doubles(z),
+                    ], ["h", "kind", "gram", "many", "z"])
+                    open_ &= many == 0
+
+    return run
+
+
+def _sums(rows: DataFrame, langs: int, *by: str, more: str) -> DataFrame:
+    """Sums of ``z`` by place and of the column ``more``."""
+    summed = rows.groupBy(*by).agg(F.sum(more).alias(more), *(F.sum(F.col("z")[k]).alias(f"z{k}") for k in range(langs)))
+    return summed.select(*by, more, F.array(*(f"z{k}" for k in range(langs))).alias("z"))
+
+
+def _predict_all(docs: DataFrame, model: Model, shared: Broadcast[Model]) -> DataFrame:
+    """As ``predict`` for a model with a tail; texts are told apart by 128 bits of hash."""
+    scratch, langs = Scratch(docs.sparkSession), len(model.langs)
+    text = F.col("text").cast("string")
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    schema = "k1 long, k2 long, letters boolean, z array<double>, tail array<struct<h:long,n:long,word:string>>"
+    judged = scratch.save(docs.select(F.coalesce(text, F.lit("")).alias("text"), keys[0].alias("k1"), keys[1].alias("k2")).mapInArrow(_by_head(shared), schema), "judged")
+    words = judged.select(F.explode("tail").alias("x")).groupBy("x.h").agg(F.max("x.word").alias("word"))
+    met = scratch.save(words.join(model.tail.where("kind = 0").select(F.col("hash").alias("h"), "v"), "h", "left"), "words")
+    grams = met.where("v is null").select("h", "word").withColumnRenamed("word", "text")
+    grams = scratch.save(grams.mapInArrow(_by_grams(shared), "h long, kind int, gram long, many long, z array<double>"), "grams")
+    asked = grams.where("gram is not null").select("h", "kind", F.col("gram").alias("hash"), "many").join(model.tail, ["kind", "hash"])
+    by_kind = grams.where("gram is null").drop("gram").unionByName(asked.select("h", "kind", "many", F.col("v").cast("array<double>").alias("z")))
+    longest = _sums(by_kind, langs, "h", "kind", more="many").groupBy("h").agg(F.max_by(F.struct("z", "many"), "kind").alias("x"))
+    values = longest.select("h", F.transform("x.z", lambda v: v / F.col("x.many")).alias("v"))
+    values = scratch.save(values.unionByName(met.where("v is not null").select("h", F.col("v").cast("array<double>").alias("v"))), "values")
+    rest = judged.select("k1", "k2", F.explode("tail").alias("x")).select("k1", "k2", F.col("x.h").alias("h"), F.col("x.n").alias("n")).join(values, "h")
+    rest = rest.select("k1", "k2", F.lit(0).alias("copies"), F.transform("v", lambda v: v * F.col("n")).alias("z"), F.lit(None).cast("boolean").alias("letters"))
+    # Copies of a text all bring the same sums: they are divided by their number.
+    both = judged.select("k1", "k2", F.lit(1).alias("copies"), "z", "letters").unionByName(rest)
+    both = both.groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.bool_or("letters").alias("letters"), *(F.sum(F.col("z")[k]).alias(f"z{k}") for k in range(langs)))
+    both = both.select("k1", "k2", "letters", F.array(*(F.col(f"z{k}") / F.col("copies") for k in range(langs))).alias("z")).withColumn("most", F.array_max("z"))
+    share = 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("most")))
+    names = F.array(*(F.lit(x) for x in model.langs))
+    best = both.select(
+        F.col("k1").alias("_lang_k1"), F.col("k2").alias("_lang_k2"),
+        F.when(F.col("letters"), F.element_at(names, F.array_position("z", F.col("most")).cast("int"))).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("letters"), share).otherwise(0.0).alias("lang_score"),
+    )
+    best = scratch.save(best, "best")
+    for done in ("judged", "words", "grams", "values"):
+        scratch.drop(done)
+    return docs.withColumns({"_lang_k1": keys[0], "_lang_k2": keys[1]}).join(best, ["_lang_k1", "_lang_k2"], "left").select(*docs.columns, "lang_pred", "lang_score")
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` plus ``lang_pred`` and ``lang_score``, by its column text. Columns that had these names are replaced."""
     docs = docs.drop("lang_pred", "lang_score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, tail=None))
+    if model.tail is not None:
+        return _predict_all(docs, model, shared)
     names = docs.columns
     text_at = names.index("text")
 
@@ -205,11 +354,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             column = batch.column(text_at)
             preds, scores = [], []
             for part in _parts(batch):
-                sums = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part.data])])
-                letters = sums[part.offsets[1:]] > sums[part.offsets[:-1]]
-                for i in np.flatnonzero(~letters):
-                    text = part.data[part.offsets[i] : part.offsets[i + 1]].tobytes().decode("utf-8", "replace")
-                    letters[i] = any(c.isalpha() for c in text)
+                letters = _letters(part)
                 if not model.langs:
                     letters[:] = False
                     best, share = np.zeros(part.rows, np.int64), np.zeros(part.rows)

@@ -28,6 +28,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z mapped to a-z."""
+    return _LOWER[data]
+
+
 def _power(n: int, of: np.uint64, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:

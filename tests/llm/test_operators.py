@@ -594,6 +594,69 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.predict(awkward(spark), none).collect()} == {"und"}
 
 
+def by_hand(rows, asked):
+    """Language sums of each asked text from plain counts of all words and n-grams of the (text, lang) rows."""
+
+    def cut(text):
+        text = (text or "").translate({i: i + 32 for i in range(65, 91)})
+        return re.findall(r"[a-z\u0080-\U0010ffff]+", text)
+
+    def grams(word, n):
+        marked = f"\0{word}\0"
+        return [g for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "\0"]
+
+    counts = {(k, x): Counter() for k in (0, *language_id.LENGTHS) for _, x in rows if x is not None}
+    for text, lang in rows:
+        if lang is not None:
+            for w in cut(text):
+                counts[0, lang][w] += 1
+                for n in language_id.LENGTHS:
+                    counts[n, lang].update(grams(w, n))
+    langs = sorted({x for k, x in counts if counts[k, x]})
+
+    def logs(kind, key):
+        if not any(counts[kind, x][key] for x in langs):
+            return None
+        types = max(len(counts[kind, x]) for x in langs)
+        return np.array([math.log((counts[kind, x][key] + 0.5) / (counts[kind, x].total() + 0.5 * types)) for x in langs])
+
+    def value(word):
+        if (v := logs(0, word)) is not None:
+            return v
+        for n in language_id.LENGTHS:
+            if known := [v for g in grams(word, n) if (v := logs(n, g)) is not None]:
+                return sum(known) / len(known)
+        return np.zeros(len(langs))
+
+    return langs, [sum((value(w) for w in cut(t)), np.zeros(len(langs))) for t in asked]
+
+
+def test_language_by_hand(spark, monkeypatch):
+    """Heads of any size, none included, give the scores of plain counts; copies, nulls and clashing names stay apart."""
+    rng = random.Random(11)
+    letters = {"aa": "abcdeé", "bb": "cdefgß", "cc": "xyzabż"}
+    made = [(" ".join("".join(rng.choice(letters[x]) for _ in range(rng.randrange(1, 8))) for _ in range(25)), x) for x in letters for _ in range(12)]
+    rows = [*made, (None, "aa"), ("abc", None), ("", "bb")]
+    texts = [*(t for t, _ in made[::3]), *(t for t, _ in made[::3]), "ABC abcq éß", "qqq", "żżżżżż dcdcdc", None, "", " 12 ", "q", "ab" * 3000]
+    texts += [" ".join("".join(rng.choice("abcdefgxyz") for _ in range(6)) for _ in range(9)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "k", 1.5, "old") for i, t in enumerate(texts)], "doc_id long, text string, h string, z double, lang_pred string")
+    langs, z = by_hand(rows, texts)
+    for words, grams in ((1 << 18, 1 << 17), (40, 30), (0, 0)):
+        monkeypatch.setattr(language_id, "WORD_ENTRIES", words)
+        monkeypatch.setattr(language_id, "GRAM_ENTRIES", grams)
+        model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+        assert (model.tail is None) == (words > 40)
+        out = language_id.predict(df, model)
+        assert out.columns == ["doc_id", "text", "h", "z", "lang_pred", "lang_score"] and out.count() == len(texts)
+        for r in out.collect():
+            own = z[r["doc_id"]]
+            share = 1 / np.exp(own - own.max()).sum()
+            if not any(c.isalpha() for c in r["text"] or ""):
+                assert (r["lang_pred"], r["lang_score"]) == ("und", 0.0)
+                continue
+            assert r["lang_score"] == pytest.approx(share, rel=1e-3) and (r["lang_pred"] == langs[own.argmax()] or np.sort(own)[-2] > own.max() - 1e-4)
+
+
 def test_backoff():
     """Unseen words go by the longest n-grams that are known."""
     import pyarrow as pa
