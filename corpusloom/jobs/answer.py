@@ -49,6 +49,21 @@ def answered(questions: DataFrame, docs: DataFrame, base_k: int = 6, scorer: Cal
     return stored(ranked.where(F.col("final_rank") <= F.col("top_k")).select("query_id", "final_rank", "idx", "origins", "score", "slot_score", "rerank_score", "file_name", "text", "question"))
 
 
+def direct(questions: DataFrame, docs: DataFrame, base: DataFrame, base_k: int = 6, scorer: Callable[[Column, Column], Column] = fusion.lexical_overlap) -> DataFrame:
+    """The hits of ``questions(query_id, text, vector)`` asked as they are, without intent, variants or slots: fused, all fetched hits reranked, cut.
+
+    ``(query_id, final_rank, idx, rerank_score, rrf, bm25, vec_sim, file_name, text, question)`` of ``docs(doc_id, file_name, text)`` and
+    ``base(id, vector)``. As wide as an intent of scale 1 would be.
+    """
+    top_k, fetch_k = base_k, max(2 * base_k, base_k + 4)
+    hits = ranking.hybrid_top(questions, docs.select("doc_id", "text"), base, fetch_k)
+    asked = questions.select("query_id", F.col("text").alias("question"))
+    texts = docs.select(F.col("doc_id").alias("idx"), "file_name", "text")
+    met = hits.join(texts, "idx").join(asked, "query_id").withColumnsRenamed({"left_score": "bm25", "right_score": "vec_sim"})
+    ranked = fusion.rerank(met, lambda q, t: F.round(scorer(q, t), 9), F.lit(fetch_k), "rrf", "question").where(F.col("final_rank") <= top_k)
+    return stored(ranked.select("query_id", "final_rank", "idx", "rerank_score", "rrf", "bm25", "vec_sim", "file_name", "text", "question"))
+
+
 def prompts(hits: DataFrame, system: str) -> DataFrame:
     """``(query_id, n_hits, messages)`` of answered hits."""
     context = memory.context(hits.select("query_id", F.col("final_rank").alias("rank"), "file_name", "text"))

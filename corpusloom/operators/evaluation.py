@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -49,13 +49,23 @@ def metrics(ranked: DataFrame, relevance: DataFrame, queries: DataFrame, keys: S
     All are means over ``queries(query_id)``, recall over those with something relevant. Precision divides by k, whatever was found.
     ``by`` are columns of all three inputs that are reported apart.
     """
+    return means(per_query(ranked, relevance, queries, keys, top, by).groupBy(*by, "k"))
+
+
+def per_query(ranked: DataFrame, relevance: DataFrame, queries: DataFrame, keys: Sequence[str], top: Sequence[int] = TOP, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, query_id, k, hits, first, total)``: relevant rows up to rank k, the first one's rank, and all there are (null without any)."""
     by = list(by)
-    total = relevance.groupBy(*by, "query_id").agg(F.count("*").alias("total"))
-    found = ranked.join(relevance, [*by, "query_id", *keys], "left_semi").select(*by, "query_id", "rank")
+    held = [c for c in by if c in relevance.columns]
+    total = relevance.groupBy(*held, "query_id").agg(F.count("*").alias("total"))
+    found = ranked.join(relevance, [*held, "query_id", *keys], "left_semi").select(*by, "query_id", "rank")
     ks = queries.select(*by, "query_id", F.explode(F.array(*map(F.lit, top))).alias("k"))
     per = ks.join(found, [*by, "query_id"], "left").groupBy(*by, "query_id", "k").agg(F.count_if(F.col("rank") <= F.col("k")).alias("hits"), F.min(F.when(F.col("rank") <= F.col("k"), F.col("rank"))).alias("first"))
-    per = per.join(total, [*by, "query_id"], "left")
-    return per.groupBy(*by, "k").agg(
+    return per.join(total, [*held, "query_id"], "left")
+
+
+def means(grouped: GroupedData) -> DataFrame:
+    """Hit, MRR, precision and recall of grouped ``per_query`` rows."""
+    return grouped.agg(
         F.avg((F.col("hits") > 0).cast("double")).alias("hit"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg(F.col("hits") / F.col("k")).alias("precision"),
         F.coalesce(F.avg(F.col("hits") / F.col("total")), F.lit(0.0)).alias("recall"), F.count("*").alias("queries"),
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corpusloom.functions.text import snippet
+
 RANK_CONSTANT = 60
 # Slot types that a hit has to speak of, and the weight of hits that don't.
 CRITICAL_SLOTS = ("region", "time", "policy_type", "product_category")
@@ -87,3 +89,16 @@ def scored_response(asked: DataFrame, responses: DataFrame) -> DataFrame:
     """Scores by position from a rerank service's JSON: ``asked(query_id, index)`` and ``responses(query_id, body)``; what is missing is 0."""
     found = responses.select("query_id", F.explode(F.from_json("body", "struct<results:array<struct<index:int,relevance_score:double>>>")["results"]).alias("r")).select("query_id", "r.*")
     return asked.join(found, ["query_id", "index"], "left").select("query_id", "index", F.coalesce("relevance_score", F.lit(0.0)).alias("score"))
+
+
+def public(hits: DataFrame, text: str = "text") -> DataFrame:
+    """Hits as a client gets them: ``(query_id, idx, file, text, snippet, rerank, rrf, vec_sim, bm25, origins)``; what a hit lacks is null, or empty for file, text and origins."""
+
+    def has(name: str, kind: str) -> Column:
+        return F.col(name) if name in hits.columns else F.lit(None).cast(kind)
+
+    said = F.coalesce(has(text, "string"), F.lit(""))
+    return hits.select(
+        "query_id", "idx", F.coalesce(has("file_name", "string"), F.lit("")).alias("file"), said.alias("text"), snippet(said).alias("snippet"), has("rerank_score", "double").alias("rerank"),
+        *(has(c, "double").alias(c) for c in ("rrf", "vec_sim", "bm25")), F.coalesce(has("origins", "array<string>"), F.array().cast("array<string>")).alias("origins"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions import text as X
+from corpusloom.operators import memory
 
 # The words of each rule, in the order of the rules, and the defaults by type.
 COMPLEX = ("区别", "不同", "对比", "哪个", "哪种", "比较", "一样", "相同", "总结", "概括", "概述", "归纳", "都讲", "全部", "补贴", "政策", "并且", "以及", "同时", "还有")
@@ -72,6 +73,58 @@ def normalize_intent(raw: Column) -> Column:
     )
 
 
+#: Messages of the history that a question is read with.
+HISTORY = 6
+
+
+def with_history(turns: DataFrame, messages: int = HISTORY) -> DataFrame:
+    """Each question of ``turns(conv_id, turn, role, text)`` as ``(conv_id, turn, question, history)``: the labelled messages before it, the last ``messages`` at most.
+
+    History is empty for a first turn; null texts are empty. A window by conversation, so a conversation is read once.
+    """
+    line = F.concat(F.when(F.col("role") == "user", memory.USER).otherwise(memory.ASSISTANT), F.coalesce("text", F.lit("")))
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-messages, -1)
+    said = turns.withColumn("history", F.array_join(F.collect_list(line).over(before), "\n"))
+    return said.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), "history")
+
+
+def call_key(question: Column, history: Column) -> Column:
+    """The key of a model's stored answer: what it was asked, and with which history."""
+    return F.sha1(F.concat(history, F.lit("\0"), question))
+
+
+def routed(questions: DataFrame, stored: DataFrame, rule: Column) -> DataFrame:
+    """``(*, route, completed, intent, calls, saved)`` of ``questions(question, history, ...)``, by rules, else by ``stored(key, raw)`` answers, else by default.
+
+    ``rule`` is the type that rules give, or null. Routes: ``rule``; ``merged``, where one answer to question and history both completes and
+    sorts; ``plain``, where there is no history; ``fallback``, where no stored answer or none with a JSON object is found, which asks directly.
+    ``calls`` counts model calls, ``saved`` those that rules and the merged form spare against one call to complete (only with a
+    history) and one to sort. Questions that rules answer take no part in the join; keys of ``stored`` are unique.
+    """
+    told = F.coalesce(X.strip(F.col("history")), F.lit("")) != ""
+    asked = questions.withColumn("_rule", rule).withColumn("_told", told)
+    # Keys of ruled questions meet nothing, and are spread: null keys would all go to one task.
+    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(*questions.columns), F.lit(4096)).cast("string"))
+    asked = asked.withColumn("_key", F.when(F.col("_rule").isNull(), call_key(F.col("question"), F.col("history"))).otherwise(spread))
+    met = asked.join(stored.select(F.col("key").alias("_key"), X.json_body(F.col("raw")).alias("_body")), "_key", "left")
+    route = F.when(F.col("_rule").isNotNull(), "rule").when(F.col("_body").isNull(), "fallback").when(F.col("_told"), "merged").otherwise("plain")
+    met = met.withColumn("route", route)
+    written = F.coalesce(X.strip(F.get_json_object("_body", "$.completed_query")), F.lit(""))
+    completed = F.when((F.col("route") == "merged") & (written != ""), written).otherwise(F.col("question"))
+    ruled = F.col("route") == "rule"
+    direct = F.to_json(F.struct(F.when(ruled, F.col("_rule")).otherwise("fact").alias("question_type"), F.array(F.lit("direct")).alias("strategies"), F.when(ruled, X.strip(F.col("question"))).otherwise(F.col("question")).alias("rewritten_query"), F.lit(1.0).alias("recall_scale")))
+    raw = F.when(F.col("route").isin("rule", "fallback"), direct).otherwise(F.col("_body"))
+    calls = F.when(ruled, 0).otherwise(1)
+    saved = 1 + F.col("_told").cast("int") - calls
+    out = met.withColumns({"completed": completed, "intent": normalize_intent(raw), "calls": calls.cast("long"), "saved": saved.cast("long")})
+    return out.drop("_rule", "_told", "_key", "_body")
+
+
+def call_counts(routes: DataFrame) -> DataFrame:
+    """``(route, n, calls, saved)`` by route."""
+    return routes.groupBy("route").agg(F.count("*").alias("n"), F.sum("calls").alias("calls"), F.sum("saved").alias("saved"))
+
+
 def variants(questions: DataFrame, expansion: bool = False) -> DataFrame:
     """``(query_id, variant, text, origin)`` of ``questions(query_id, question, intent [, rewritten, expanded, hypothetical])``.
 
@@ -111,8 +164,15 @@ TYPE_NAMES = {"definition": "定义", "fact": "事实", "process": "流程", "co
 STRATEGY_NAMES = {"direct": "直接检索", "rewrite": "查询改写", "expand": "查询扩展", "hyde": "HyDE", "decompose": "查询分解", "clarify": "澄清"}
 
 
-def describe(intent: Column) -> Column:
-    """An intent for people: one line each for type, entities, slots, strategies, sub-queries, rewritten query and scale; empty ones left out."""
+#: Fixed value: what follows the type of an intent that rules gave.
+RULED = "（规则判定，未调 LLM）"
+
+
+def describe(intent: Column, ruled: Column | None = None) -> Column:
+    """An intent for people: one line each for type, entities, slots, strategies, sub-queries, rewritten query and scale; empty ones left out.
+
+    Where ``ruled``, the type's line says that no model was asked.
+    """
 
     def pairs(c: Column) -> Column:
         return F.array_join(F.transform(c, lambda e: F.concat_ws("=", e["type"], e["value"])), "、")
@@ -123,6 +183,6 @@ def describe(intent: Column) -> Column:
     kind = intent["question_type"]
     names = F.array_join(F.transform(intent["strategies"], lambda s: _lookup(STRATEGY_NAMES, s, s)), "、")
     return F.concat_ws(
-        "\n", F.concat(F.lit("类型："), _lookup(TYPE_NAMES, kind, kind), F.lit("（"), kind, F.lit("）")), line("实体：", pairs(intent["entities"])), line("槽位：", pairs(intent["slots"])),
+        "\n", F.concat(F.lit("类型："), _lookup(TYPE_NAMES, kind, kind), F.lit("（"), kind, F.lit("）"), F.when(ruled, RULED).otherwise("") if ruled is not None else F.lit("")), line("实体：", pairs(intent["entities"])), line("槽位：", pairs(intent["slots"])),
         line("策略：", names), line("子问题：", F.array_join(intent["sub_queries"], "；")), line("改写查询：", intent["rewritten_query"]), F.concat(F.lit("召回倍数："), F.format_number(intent["recall_scale"], 1)),
     )

@@ -69,3 +69,18 @@ def messages(system: str, context: Column, question: Column, summary: Column, re
     """The messages for a model: the rules, then what was said and found, then the question; null parts are left out."""
     body = F.concat_ws("\n\n", F.concat(F.lit("【对话摘要】\n"), summary), F.concat(F.lit("【最近对话】\n"), recent), F.concat(F.lit("【资料】\n"), context), F.concat(F.lit("【问题】\n"), question))
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), body.alias("content")))
+
+
+# Fixed value: what a model is told where nothing else asks it for JSON.
+JSON_HINT = "请以 JSON 对象输出。"
+
+
+def json_hint(said: Column, hint: str = JSON_HINT) -> Column:
+    """``said`` (messages), told to answer in JSON unless one says so: the hint ends a leading system message, else it comes first as one."""
+    spoken = F.exists(said, lambda m: F.contains(F.lower(F.coalesce(m["content"], F.lit(""))), F.lit("json")))
+    first = F.get(said, F.lit(0))
+    longer = F.struct(first["role"].alias("role"), F.concat(F.coalesce(first["content"], F.lit("")), F.lit("\n" + hint)).alias("content"))
+    alone = F.struct(F.lit("system").alias("role"), F.lit(hint).alias("content"))
+    headed = F.coalesce(first["role"] == "system", F.lit(False))
+    led = F.when(headed, F.concat(F.array(longer), F.slice(said, 2, F.greatest(F.size(said) - 1, F.lit(0))))).otherwise(F.concat(F.array(alone), said))
+    return F.when(spoken, said).otherwise(led)

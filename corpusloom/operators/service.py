@@ -128,3 +128,23 @@ def counters(events: DataFrame, label: str) -> DataFrame:
     """Events by one low-cardinality label, with its share of all."""
     n = events.groupBy(label).agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select(label, "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+
+
+USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
+
+
+def usage_totals(bodies: DataFrame, by: str, body: str = "body") -> DataFrame:
+    """``(by, calls, prompt_tokens, completion_tokens, total_tokens)``: what the usage of each JSON body adds up to, 0 for what is no number.
+
+    Numbers are cut to whole ones; text counts if it is a whole number.
+    """
+    parsed = bodies.select(F.col(by), F.try_parse_json(body).alias("_b"))
+
+    def spent(name: str) -> Column:
+        v = F.try_variant_get("_b", f"$.usage.{name}", "variant")
+        kind = F.coalesce(F.schema_of_variant(v), F.lit(""))
+        text = F.trim(F.try_variant_get("_b", f"$.usage.{name}", "string"))
+        whole = F.when(kind != "STRING", F.try_variant_get("_b", f"$.usage.{name}", "double").cast("long")).when(F.rlike(text, F.lit(r"^[+-]?\d+$")), text.try_cast("long"))
+        return F.sum(F.coalesce(whole, F.lit(0).cast("long"))).alias(name)
+
+    return parsed.groupBy(by).agg(F.count("*").alias("calls"), *map(spent, USAGE))

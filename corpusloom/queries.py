@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import tables
 from corpusloom.functions import text as X
-from corpusloom.jobs import answer
-from corpusloom.operators import chunking, cleaning, evaluation, fusion, intent, lexical, memory, ranking, service, vectors
+from corpusloom.jobs import answer, grid
+from corpusloom.operators import cache, chunking, cleaning, evaluation, fusion, instruments, intent, lexical, memory, ranking, service, vectors
 from corpusloom.sources import files, html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +193,14 @@ def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(html.documents(table(spark, sf_dir, "pages")), chunking.structure(400)).drop("chunk_text")
 
 
+@query(ORACLES["chunk_structure_merge"])
+def chunk_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks from SQL, by a table function beside each document."""
+    tables.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(start AS BIGINT) AS s, CAST(end AS BIGINT) AS e, md5(chunk_text) AS h FROM {docs}, LATERAL chunk_merge(text, 500, 100, 'line')", docs=docs)
+
+
 # Words and vectors
 
 TOKENS = r"[x FOR x IN string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
@@ -364,6 +373,44 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(listed, "query_id").select("query_id", "n_hits", "hits", "message_sha256")
 
 
+# What the direct path shows a client: twelve hits of the fusion, all reranked, cut to six.
+
+
+@query(FUSED.replace("rank <= 20", "rank <= 12") + f""", judged AS (SELECT h.*, b.text AS question, coalesce(d.source, '') AS file, coalesce(d.text, '') AS said,
+  round(CAST(len(list_intersect(list_distinct({TOKENS.format('b.text')}), {TOKENS.format('d.text')})) AS DOUBLE) / greatest(len(list_distinct({TOKENS.format('b.text')})), 1), 9) AS rerank
+  FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.idx),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, rank) AS final_rank FROM judged)
+SELECT query_id, idx, final_rank, file, replace(left({STRIP.format('said')}, 120), chr(10), ' ') AS snippet, rerank, rrf, right_score AS vec_sim, left_score AS bm25, CAST(0 AS BIGINT) AS origins, sha256(said) AS text_sha256
+FROM final WHERE final_rank <= 6""")
+def direct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(base.withColumnRenamed("id", "query_id"), "query_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("file_name"), "text")
+    hits = answer.direct(asked, docs, base)
+    shown = fusion.public(hits).withColumns({"text_sha256": F.sha2("text", 256), "origins": F.size("origins").cast("long")}).drop("text")
+    return shown.join(hits.select("query_id", "idx", "final_rank"), ["query_id", "idx"])
+
+
+BUCKET = f"list_min([b FOR b IN {[float(b) for b in instruments.BOUNDS]} IF b >= v])"
+
+
+@query(f"""WITH {POSTS}, {STATS}, {ITEMS}, per AS (SELECT query_id, variant, origin, count(idx) AS hits, max(score) AS top_score, coalesce(sum(length(coalesce(d.text, ''))) FILTER (idx IS NOT NULL), 0) AS context_chars
+  FROM found LEFT JOIN documents d ON d.doc_id = idx GROUP BY ALL),
+long AS (SELECT origin, 'hits' AS measure, CAST(hits AS DOUBLE) AS v FROM per UNION ALL SELECT origin, 'top_score', top_score FROM per UNION ALL SELECT origin, 'context_chars', CAST(context_chars AS DOUBLE) FROM per),
+empties AS (SELECT origin, 'empty' AS measure, 0.0 AS le, count(*) AS n, 0.0 AS total FROM per WHERE hits = 0 GROUP BY origin)
+SELECT origin, measure, coalesce(CAST({BUCKET} AS DOUBLE), 1e300) AS le, count(*) AS n, round(sum(v), 3) AS total FROM long WHERE v IS NOT NULL GROUP BY ALL UNION ALL SELECT * FROM empties""")
+def retrieval_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = answer.variant_hits(_item_intents(spark, sf_dir), docs).drop("text")
+    hits = rows.where("not failed").join(docs.withColumnRenamed("doc_id", "idx"), "idx")
+    # A variant has a row at least, be it the one that says it failed.
+    asked = rows.where("failed or rank = 1").select("query_id", "variant", "origin")
+    per = instruments.retrieval(asked, hits, ["query_id", "variant"])
+    drawn = instruments.histogram(per, ["origin"], instruments.MEASURES)
+    empty = per.where("empty").groupBy("origin").agg(F.lit("empty").alias("measure"), F.lit(0.0).alias("le"), F.count("*").alias("n"), F.lit(0.0).alias("total"))
+    return drawn.unionByName(empty).withColumns({"le": F.least("le", F.lit(1e300)), "total": F.round("total", 3)})
+
+
 # Questions
 
 SAID = "said AS (SELECT conv_id, turn, role, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations WHERE role = 'user')"
@@ -427,6 +474,55 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.variants(_answers(spark, sf_dir).withColumn("intent", intent.normalize_intent(F.col("raw"))))
 
 
+# Stored answers are made of the turns: none for every seventh conversation, no JSON for every fifth, a completed query for even ones.
+TOLD = f"""msgs AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, array_to_string(list(CASE WHEN role = 'user' THEN '用户：' ELSE '助手：' END || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), chr(10)) AS history FROM conversations),
+asked AS (SELECT conv_id, turn, text AS question, {STRIP.format('text')} AS s, coalesce(history, '') AS history FROM msgs WHERE role = 'user'),
+ruled AS (SELECT *, {RULE} AS rule, {STRIP.format('history')} <> '' AS told FROM asked),
+ways AS (SELECT *, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN conv_id % 7 = 0 OR conv_id % 5 = 0 THEN 'fallback' WHEN told THEN 'merged' ELSE 'plain' END AS route FROM ruled)"""
+MODEL_KIND = "['fact', 'comparison', 'fact', 'summary'][conv_id % 4 + 1]"
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, n = intent.with_history(table(spark, sf_dir, "conversations")), F.col("conv_id")
+    kind = F.element_at(F.array(*map(F.lit, ("fact", "COMPARISON", "unknown", "summary"))), (n % 4 + 1).cast("int"))
+    body = F.to_json(F.struct(kind.alias("question_type"), F.when(n % 2 == 0, F.concat(F.lit("Whole: "), F.left("question", F.lit(40)))).alias("completed_query")))
+    raw = F.when(n % 5 == 0, "no json here").otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    stored = asked.where(n % 7 != 0).select(intent.call_key(F.col("question"), F.col("history")).alias("key"), n, raw.alias("raw"))
+    # Equal questions of equal histories are one call.
+    answers = stored.groupBy("key").agg(F.min_by("raw", "conv_id").alias("raw"))
+    rules = (("definition", DEFINITION_WORDS), ("fact", FACT_WORDS), ("troubleshooting", TROUBLE_WORDS))
+    return intent.routed(asked, answers, intent.rule_type(F.col("question"), rules, COMPLEX_WORDS, ("nd.",), DEICTIC, STARTS))
+
+
+@query(f"""WITH {SAID}, {TOLD} SELECT conv_id, turn, route, CASE WHEN route = 'rule' THEN rule WHEN route = 'fallback' THEN 'fact' ELSE {MODEL_KIND} END AS question_type,
+CASE WHEN route IN ('merged', 'plain') AND {MODEL_KIND} = 'comparison' THEN 'decompose' ELSE 'direct' END AS strategies,
+CAST(CASE WHEN route IN ('merged', 'plain') AND {MODEL_KIND} = 'summary' THEN 2.5 ELSE 1 END AS DOUBLE) AS recall_scale,
+CASE WHEN route = 'merged' AND conv_id % 2 = 0 THEN {STRIP.format("'Whole: ' || left(question, 40)")} ELSE question END AS completed, CASE WHEN route = 'rule' THEN s WHEN route = 'fallback' THEN {STRIP.format('question')} ELSE '' END AS rewritten, sha256(history) AS history_sha256 FROM ways""")
+def intent_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("intent")
+    return _routes(spark, sf_dir).select(
+        "conv_id", "turn", "route", i["question_type"].alias("question_type"), F.array_join(i["strategies"], ",").alias("strategies"), i["recall_scale"].alias("recall_scale"),
+        "completed", i["rewritten_query"].alias("rewritten"), F.sha2("history", 256).alias("history_sha256"),
+    )
+
+
+@query(f"WITH {SAID}, {TOLD} SELECT route, count(*) AS n, count(*) FILTER (route <> 'rule') AS calls, CAST(sum(1 + told::INT - (route <> 'rule')::INT) AS BIGINT) AS saved FROM ways GROUP BY route")
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.call_counts(_routes(spark, sf_dir))
+
+
+@query("""
+WITH l AS (SELECT conv_id, list(coalesce(role, '') || chr(10) || coalesce(text, '') ORDER BY turn) AS m, list(coalesce(text, '') ORDER BY turn) AS t, arg_min(role, turn) AS lead FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, CASE WHEN list_bool_or([contains(lower(x), 'json') FOR x IN t]) THEN m WHEN lead = 'system' THEN list_concat([m[1] || chr(10) || '请以 JSON 对象输出。'], m[2:]) ELSE list_concat(['system' || chr(10) || '请以 JSON 对象输出。'], m) END AS m FROM l)
+SELECT conv_id, len(m) AS n, sha256(array_to_string(m, chr(10))) AS said_sha256 FROM h""")
+def json_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    told = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("l"))
+    plain = F.transform("l", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    rows = told.select("conv_id", memory.json_hint(plain).alias("m"))
+    return rows.select("conv_id", F.size("m").cast("long").alias("n"), F.sha2(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("\n"), x["content"])), "\n"), 256).alias("said_sha256"))
+
+
 # Conversations
 
 
@@ -464,6 +560,42 @@ def stage_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.stage_latency(rows).drop("tokens_per_s")
 
 
+# Purchases store an answer (an empty one for every eleventh), all other events look one up; every seventh question leans on what was said.
+CACHE_TTL = 3600
+
+
+@query(f"""
+WITH e AS (SELECT event_id, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS n, event_type = 'purchase' AS store, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+q AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'And of this ' ELSE 'How is ' END || k % 10 || '?' AS question FROM e),
+c AS (SELECT *, 'rag:cache:answer:' || left(sha1('corpus-1'), 12) || ':' || sha1(rtrim(lower(question), '？?。！!，,、；;：:')) AS key FROM q),
+stores AS (SELECT n, key, event_id AS store_id, t AS stored FROM c WHERE store AND event_id % 11 <> 0),
+met AS (SELECT l.event_id, l.key, l.question, l.t, s.store_id, s.stored FROM (SELECT * FROM c WHERE NOT store) l ASOF LEFT JOIN stores s ON l.key = s.key AND l.n >= s.n)
+SELECT event_id, key, CASE WHEN contains(question, 'this') THEN 'bypass' WHEN t - stored <= {CACHE_TTL * 1_000_000} THEN 'hit' ELSE 'miss' END AS outcome,
+CASE WHEN NOT contains(question, 'this') AND t - stored <= {CACHE_TTL * 1_000_000} THEN store_id ELSE -1 END AS store_id FROM met""")
+def cache_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.outcomes(_cache_events(spark, sf_dir), CACHE_TTL).withColumn("store_id", F.coalesce("store_id", F.lit(-1).cast("long")))
+
+
+def _cache_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    question = F.concat(F.when(k % 7 == 0, "And of this ").otherwise("How is "), (k % 10).cast("string"), F.lit("?"))
+    kind = F.when(F.col("event_type") == "purchase", cache.STORE).otherwise(cache.LOOKUP)
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", kind.alias("kind"), question.alias("question"), F.when(F.col("event_id") % 11 != 0, "an answer").alias("answer"))
+    return cache.keyed(rows, F.sha1(F.lit("corpus-1")), DEICTIC, STARTS, CACHE_TTL)
+
+
+@query("""
+WITH c AS (SELECT event_type, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_type, count(*) AS calls, CAST(sum(CASE WHEN event_id % 4 = 3 THEN 0 ELSE k * 10 END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN event_id % 4 = 3 OR event_id % 4 = 1 THEN 0 ELSE k END) AS BIGINT) AS completion_tokens,
+CAST(sum(CASE WHEN event_id % 4 = 3 THEN 0 ELSE k * 11 END) AS BIGINT) AS total_tokens FROM c GROUP BY event_type""")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies made of the events: numbers as numbers and as text, an unreadable number, and no JSON at all."""
+    k, n = F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 4
+    done = F.when(n == 1, '"many"').when(n == 2, F.concat(F.lit('"'), k.cast("string"), F.lit('"'))).otherwise(k.cast("string"))
+    body = F.concat(F.lit('{"usage": {"prompt_tokens": '), (k * 10).cast("string"), F.lit(', "completion_tokens": '), done, F.lit(', "total_tokens": '), (k * 11).cast("string"), F.lit(".75}}"))
+    return service.usage_totals(table(spark, sf_dir, "events").select("event_type", F.when(n == 3, "busy").otherwise(body).alias("body")), "event_type")
+
+
 @query("SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window, round(count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) / 60, 3) AS rate FROM events")
 def sliding_qps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.sliding_rate(table(spark, sf_dir, "events"), "event_type").select("event_id", "event_type", "in_window", "rate")
@@ -582,3 +714,48 @@ def judge_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("value").cast("string").alias("value"), F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("label"))
     return evaluation.score_means(rows, ["value", "label"]).withColumn("mean", F.round("mean", 6))
+
+
+# The grid: gold questions of every hundredth document, asked of whole documents and of their lines; letters counted stand for an embedding.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ASKED = f"{LINES}, gold AS (SELECT doc_id AS query_id, doc_id, line AS passage FROM lines WHERE pos = 1 AND length(line) >= 20 AND doc_id % 100 = 0)"
+COUNTED = f"[CAST(length({{0}}) - length(replace({{0}}, c, '')) AS DOUBLE) FOR c IN {list(LETTERS)}]"
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each letter occurs: a vector that SQL can make too."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*((F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+
+
+@query(f"""WITH {SPANS.replace(GOLD, ASKED)}, {ATOMS.removeprefix(LINES + ', ')},
+chunks AS MATERIALIZED (SELECT strategy, doc_id * 16777216 + chunk AS idx, doc_id, s, e, text, {TOKENS.format('text')} AS t, {COUNTED.format('lower(text)')} AS v FROM (
+  SELECT 'line' AS strategy, a.doc_id, a.a - 1 AS chunk, a.s, a.e, substring(d.text, CAST(a.s + 1 AS BIGINT), CAST(a.e - a.s AS BIGINT)) AS text FROM atoms a JOIN documents d USING (doc_id)
+  UNION ALL SELECT 'full_doc', doc_id, 0, 0, length(text), text FROM documents WHERE text <> '')),
+relevant AS (SELECT DISTINCT query_id, strategy, idx FROM spans g JOIN chunks c ON c.doc_id = g.doc_id AND c.s < g.ge AND g.gs < c.e WHERE CAST(least(c.e, g.ge) - greatest(c.s, g.gs) AS DOUBLE) / greatest(1, g.ge - g.gs) >= 0.5),
+corpus AS MATERIALIZED (SELECT strategy, count(*) AS n, avg(len(t)) AS avgdl FROM chunks GROUP BY 1),
+posts AS MATERIALIZED (SELECT strategy, idx, term, count(*) AS tf FROM (SELECT strategy, idx, unnest(t) AS term FROM chunks) GROUP BY ALL),
+rawidf AS MATERIALIZED (SELECT strategy, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM posts JOIN corpus USING (strategy) GROUP BY strategy, term),
+terms AS (SELECT strategy, term, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM rawidf JOIN (SELECT strategy, avg(r) AS mean FROM rawidf GROUP BY 1) USING (strategy)),
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({TOKENS.format('passage')}) AS term FROM gold) GROUP BY ALL),
+words AS MATERIALIZED (SELECT strategy, query_id, idx, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN posts USING (strategy, term) JOIN chunks USING (strategy, idx) JOIN corpus USING (strategy) GROUP BY ALL),
+sense AS MATERIALIZED (SELECT strategy, query_id, idx, CASE WHEN list_sum(v) = 0 OR list_sum(g.w) = 0 THEN 0 ELSE round(list_cosine_similarity(v, g.w), 6) END AS score FROM chunks, (SELECT query_id, {COUNTED.format('lower(passage)')} AS w FROM gold) g),
+wx AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, idx) AS rank FROM words),
+sx AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, idx) AS rank FROM sense),
+fx AS (SELECT strategy, query_id, idx, row_number() OVER (PARTITION BY strategy, query_id ORDER BY rrf DESC, idx) AS rank FROM (
+  SELECT strategy, query_id, idx, round(coalesce(1.0 / (60 + wx.rank), 0) + coalesce(1.0 / (60 + sx.rank), 0), 9) AS rrf FROM wx FULL JOIN sx USING (strategy, query_id, idx))),
+rx AS (SELECT f.strategy, f.query_id, f.idx, row_number() OVER (PARTITION BY f.strategy, f.query_id ORDER BY round(CAST(len(list_intersect(list_distinct({TOKENS.format('g.passage')}), c.t)) AS DOUBLE) / greatest(len(list_distinct({TOKENS.format('g.passage')})), 1), 9) DESC, f.rank) AS rank
+  FROM fx f JOIN gold g USING (query_id) JOIN chunks c ON c.strategy = f.strategy AND c.idx = f.idx WHERE f.rank <= 20),
+ranked AS (SELECT 'bm25' AS ranker, strategy, query_id, idx, rank FROM wx UNION ALL SELECT 'vector', strategy, query_id, idx, rank FROM sx UNION ALL SELECT 'rrf', strategy, query_id, idx, rank FROM fx UNION ALL SELECT 'rrf+rerank', strategy, query_id, idx, rank FROM rx),
+hit AS (SELECT * FROM ranked SEMI JOIN relevant USING (strategy, query_id, idx) WHERE rank <= 5),
+total AS (SELECT strategy, query_id, count(*) AS total FROM relevant GROUP BY ALL),
+cells AS (SELECT query_id, strategy, ranker, k FROM gold, (SELECT unnest(['line', 'full_doc']) AS strategy), (SELECT unnest(['bm25', 'vector', 'rrf', 'rrf+rerank']) AS ranker), (SELECT unnest([1, 3, 5]) AS k)),
+per AS (SELECT c.strategy, c.ranker, c.query_id, c.k, count(h.rank) AS hits, min(h.rank) AS first FROM cells c LEFT JOIN hit h ON h.strategy = c.strategy AND h.ranker = c.ranker AND h.query_id = c.query_id AND h.rank <= c.k GROUP BY ALL)
+SELECT coalesce(strategy, 'all') AS strategy, coalesce(ranker, 'all') AS ranker, CAST(k AS BIGINT) AS k, round(avg(CAST(hits > 0 AS DOUBLE)), 6) AS hit, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(hits / k), 6) AS precision, round(coalesce(avg(hits / total), 0), 6) AS recall, count(*) AS queries
+FROM per LEFT JOIN total USING (strategy, query_id) GROUP BY GROUPING SETS ((strategy, ranker, k), (strategy, k), (ranker, k))""")
+def strategy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gold = _gold(spark, sf_dir).where("doc_id % 100 = 0")
+    ways = {"line": chunking.atom_spans("line"), "full_doc": chunking.strategies("line")["full_doc"]}
+    out = grid.evaluate(docs, gold.select("query_id", F.col("passage").alias("text")), evaluation.gold_spans(gold, docs), ways, letter_counts)
+    return out.select("strategy", "ranker", F.col("k").cast("long").alias("k"), *(F.round(c, 6).alias(c) for c in ("hit", "mrr", "precision", "recall")), "queries")
