@@ -88,24 +88,26 @@ def with_history(turns: DataFrame, messages: int = HISTORY) -> DataFrame:
     return said.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), "history")
 
 
-def call_key(question: Column, history: Column) -> Column:
-    """The key of a model's stored answer: what it was asked, and with which history."""
-    return F.sha1(F.concat(history, F.lit("\0"), question))
+def call_key(question: Column, history: Column, scope: Column | None = None) -> Column:
+    """The key of a model's stored answer: what it was asked, and with which history; with a ``scope``, for that conversation alone."""
+    parts = [history, F.lit("\0"), question]
+    return F.sha1(F.concat(*parts) if scope is None else F.concat(scope.cast("string"), F.lit("\0"), *parts))
 
 
-def routed(questions: DataFrame, stored: DataFrame, rule: Column) -> DataFrame:
+def routed(questions: DataFrame, stored: DataFrame, rule: Column, scope: Column | None = None) -> DataFrame:
     """``(*, route, completed, intent, calls, saved)`` of ``questions(question, history, ...)``, by rules, else by ``stored(key, raw)`` answers, else by default.
 
     ``rule`` is the type that rules give, or null. Routes: ``rule``; ``merged``, where one answer to question and history both completes and
     sorts; ``plain``, where there is no history; ``fallback``, where no stored answer or none with a JSON object is found, which asks directly.
     ``calls`` counts model calls, ``saved`` those that rules and the merged form spare against one call to complete (only with a
-    history) and one to sort. Questions that rules answer take no part in the join; keys of ``stored`` are unique.
+    history) and one to sort. Questions that rules answer take no part in the join; keys of ``stored`` are unique. With a ``scope``, as
+    in ``call_key``, equal questions of two conversations are two calls, each with the answer it got.
     """
     told = F.coalesce(X.strip(F.col("history")), F.lit("")) != ""
     asked = questions.withColumn("_rule", rule).withColumn("_told", told)
     # Keys of ruled questions meet nothing, and are spread: null keys would all go to one task.
     spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(*questions.columns), F.lit(4096)).cast("string"))
-    asked = asked.withColumn("_key", F.when(F.col("_rule").isNull(), call_key(F.col("question"), F.col("history"))).otherwise(spread))
+    asked = asked.withColumn("_key", F.when(F.col("_rule").isNull(), call_key(F.col("question"), F.col("history"), scope)).otherwise(spread))
     met = asked.join(stored.select(F.col("key").alias("_key"), X.json_body(F.col("raw")).alias("_body")), "_key", "left")
     route = F.when(F.col("_rule").isNotNull(), "rule").when(F.col("_body").isNull(), "fallback").when(F.col("_told"), "merged").otherwise("plain")
     met = met.withColumn("route", route)

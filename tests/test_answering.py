@@ -6,16 +6,20 @@ import json
 import random
 from datetime import UTC, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from corpusloom import queries as q
 from corpusloom.functions import tables
 from corpusloom.functions import text as X
 from corpusloom.jobs import batches
 from corpusloom.operators import cache, chunking, fusion, instruments, intent, memory, service
 from corpusloom.streaming import answers as answer_stream
 from corpusloom.streaming import cache as cache_stream
+from tests.conftest import DATA
+from tests.test_queries import rows
 from tests.test_streaming import drain
 
 START = datetime(2024, 5, 1, tzinfo=UTC)
@@ -109,6 +113,16 @@ def test_routes(spark):
     assert intent.routed(asked.limit(0), stored, F.lit("fact")).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["intent_routes", "model_calls"])
+def test_routes_of_repeated_conversations(spark, tmp_path, name):
+    """Conversations that say the same under other ids keep the answers of their own."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE conversations AS SELECT * REPLACE (conv_id + 1000003 * i AS conv_id) FROM '{DATA}/conversations.parquet', range(6) r(i)")
+    con.execute(f"COPY conversations TO '{tmp_path}/conversations.parquet'")
+    got, want = q.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(q.ORACLES[name]).df()
+    assert rows(got) == rows(want)
+
+
 def test_json_hint(spark):
     rows = [(0, [("system", "be brief"), ("user", "hi")]), (1, [("user", "hi")]), (2, [("user", "as JSON")]), (3, []), (4, [("system", None)])]
     df = spark.createDataFrame(rows, "i long, m array<struct<role:string,content:string>>")
