@@ -34,7 +34,7 @@ def build(docs: DataFrame, path: str, cut: Callable, name: str = "doc_id") -> st
     texts = chunks.select(F.col("idx").alias("doc_id"), "text")
     lexical.postings(texts).write.mode("overwrite").parquet(f"{path}/postings")
     lexical.lengths(texts).write.mode("overwrite").parquet(f"{path}/lengths")
-    vectors.dense(vectors.hash_embed(texts)).write.mode("overwrite").parquet(f"{path}/vectors")
+    vectors.hash_vectors(texts).write.mode("overwrite").parquet(f"{path}/vectors")
     spark.createDataFrame([(mark,)], "fingerprint string").write.mode("overwrite").parquet(f"{path}/fingerprint")
     return mark
 
@@ -50,7 +50,7 @@ def retrieve(spark: SparkSession, path: str, questions: DataFrame, k: int = 6) -
     """``(query_id, rank, idx, rrf, bm25, vec_sim, doc_id, text)``: both whole rankings fused, for all ``questions(query_id, text)`` in one job."""
     read = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
     by_words = lexical.full_ranks(lexical.bm25(questions, read["postings"], read["lengths"]), WORD_STEP).withColumnRenamed("doc_id", "idx")
-    asked = vectors.dense(vectors.hash_embed(questions.select(F.col("query_id").alias("doc_id"), "text"))).withColumnRenamed("id", "query_id")
+    asked = vectors.hash_vectors(questions.select(F.col("query_id").alias("doc_id"), "text")).withColumnRenamed("id", "query_id")
     by_sense = lexical.full_ranks(vectors.cosine_scores(asked, read["vectors"]), SENSE_STEP, "sim", "id").select("query_id", F.col("id").alias("idx"), "rank", F.col("sim").alias("score"))
     fused = fusion.reciprocal_rank(by_words.select("query_id", "idx", "rank", "score"), by_sense)
     best = fusion.ranked(fused, "rrf").where(F.col("rank") <= k)

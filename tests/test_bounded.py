@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -91,6 +94,34 @@ def test_leaders_of_long_documents(spark, block):
     assert vectors.greedy_unique(df.where("false")).count() == 0
 
 
+def test_texts_are_embedded_where_they_are(spark):
+    """No vector is shuffled: neither by the embedding, nor by the search over texts, nor by the walk over units, which deals out texts."""
+    texts = ["ab  c\u00a0é", "", None, " \t\n", "x" * 5, "漢字 𝒳y", "aab ab b"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    made = vectors.hash_embed(docs, 32)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = defaultdict(dict)
+    for r in made.collect():
+        got[r["doc_id"]][r["bucket"]] = r["weight"]
+    for i, t in enumerate(texts):
+        want = Counter()
+        for w in re.split(r"\s+", t or ""):
+            for f in [*w, *(w[j : j + 2] for j in range(len(w) - 1))]:
+                want[zlib.crc32(f"0:{f}".encode()) % 32] += 1 if zlib.crc32(f"1:{f}".encode()) % 2 else -1
+        norm = math.sqrt(sum(v * v for v in want.values()))
+        assert got[i] == {b: pytest.approx(v / norm) for b, v in want.items() if v}
+    base = docs.withColumnsRenamed({"doc_id": "id", "text": "vector"})
+    near = vectors.cosine_top(base.where("id in (0, 1, 6)").withColumnRenamed("id", "query_id"), base, 3, embed=partial(vectors.hashed_rows, dim=32))
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in near.where("sim > 0.999999").collect()) == [(q, 1 + x, q % 7 + 7 * x) for q in (0, 6) for x in range(3)]
+    assert near.where("query_id = 1 or id in (1, 2, 3)").isEmpty()
+    units = docs.select(F.lit(1).cast("long").alias("doc_id"), F.col("doc_id").alias("pos"), F.col("text").alias("vector"))
+    embed = partial(vectors.hashed_rows, dim=32)
+    one, rounds = (sorted(map(tuple, vectors.greedy_unique(units, block=b, embed=embed).collect())) for b in (8192, 4))
+    assert len(one) == 21 and one == rounds and {r[2] for r in one if r[1] >= 7 and (texts[r[1]] or "").strip()} == {"drop"}
+    walked = vectors.greedy_unique(units, embed=embed)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in walked and all("array<" not in line for line in walked.splitlines() if "Exchange" in line)
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_pairs_of_units(spark, block):
     rng = random.Random(8)
