@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.jobs import answer
+from corpusloom.jobs import answer, grid
 from corpusloom.operators import cleaning, intent, ranking, service, vectors
 
 
@@ -53,6 +55,33 @@ def test_fused_heads_equal_whole_rankings(spark, monkeypatch):
         assert found[key] == pytest.approx(row, nan_ok=True), key
 
 
+def test_common_words_are_summed_in_parts(monkeypatch):
+    """A word that all questions have doesn't make arrays of all pairs at once, and parts of any size give the same scores."""
+    asked, docs, n = 600, 400, 30
+    words = [f"w{i}" for i in range(n)]
+    scorer = ranking.Bm25(np.arange(asked), pa.array(words), np.arange(n + 1) * asked, np.tile(np.arange(asked), n), np.linspace(0.5, 2, n * asked), 20.0, 6)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(docs)), pa.array([words[: d % (n + 1)] * 2 for d in range(docs)], pa.list_(pa.string()))], ["id", "tokens"])
+    tracemalloc.start()
+    _, scores = scorer(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    assert np.isnan(scores[:, 0]).all() and not np.isnan(scores[:, 1]).any()
+    monkeypatch.setattr(ranking, "SUMS", 1)
+    np.testing.assert_array_equal(scorer(batch)[1], scores)
+
+
+def test_grid_searches_each_list_once(spark, monkeypatch):
+    """The rankers alone read the heads that the fusion reads."""
+    calls, head = [], ranking.head
+    monkeypatch.setattr(ranking, "head", lambda *a: calls.append(a) or head(*a))
+    chunks = spark.createDataFrame([(i, f"a b{i % 3} c{i}", ["a", f"b{i % 3}", f"c{i}"], [1.0, float(i)]) for i in range(40)], "idx long, text string, tokens array<string>, vector array<double>")
+    asked = spark.createDataFrame([(1, "a b1"), (2, "c7 a")], "query_id long, text string")
+    got = grid.rankings(chunks, asked, lambda t: F.array(F.lit(1.0), F.char_length(t).cast("double")), 3, 20)
+    assert Counter((r["ranker"], r["query_id"]) for r in got.collect()) == Counter({(r, q): 3 for r in grid.RANKERS for q in (1, 2)})
+    assert len(calls) == 2
+
+
 def test_heads_send_few_rows(spark):
     """Rows that leave a task don't grow with the documents."""
     asked = spark.createDataFrame([(1, [1.0, 0.5]), (2, [0.0, 1.0])], "query_id long, vector array<double>").toArrow()
