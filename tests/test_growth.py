@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from corpusloom import queries as q
-from corpusloom.operators import cleaning
+from corpusloom.operators import cleaning, lexical, ranking
 from tests.conftest import DATA
 
 
@@ -18,3 +24,37 @@ def test_cleaning_deals_documents_by_bytes(spark, monkeypatch):
     size = sum(len(r["text"]) for r in want)
     assert dealt.rdd.getNumPartitions() > max(4, size // 40_000)
     assert sorted(dealt.collect()) == want
+
+
+def test_bm25_heads_are_made_without_rows_for_pairs(spark, monkeypatch):
+    """The k best of each question leave a task, and no join or sum by question and document is in the plan; the rows are those of all pairs."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randint(0, 9)))) for i in range(200)] + [(200, None), (201, "")]
+    asked = [(1, "a b b"), (2, "zz"), (3, None), (4, "h"), (4, "a")]
+    docs, questions = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    found = ranking.bm25_top(questions, docs, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "HashAggregate" not in plan
+    want = lexical.top(lexical.bm25_of(questions, docs).withColumn("score", F.round("score", 6)), 5)
+    rows = sorted((r["query_id"], r["idx"], r["score"], r["rank"]) for r in found.collect())
+    assert rows == sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in want.collect())
+    assert {r[0] for r in rows} == {1, 4}
+
+
+def test_statistics_of_small_parts(spark, monkeypatch):
+    """One pass counts documents, words and the documents of each term; parts of any size give the same."""
+    texts = [(1, ["a", "b", "a"]), (2, ["a"]), (3, []), (4, None), (5, ["c", "b", "é"])]
+    cut = spark.createDataFrame(texts, "doc_id long, tokens array<string>").coalesce(1)
+    terms, mean = ranking.statistics(cut)
+    want = lexical.inverse_frequencies(cut.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), spark.createDataFrame([(5,)], "n long"))
+    assert sorted(terms.collect()) == sorted(want.collect()) and mean == 7 / 4
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in texts], pa.list_(pa.string()))], ["tokens"])
+    monkeypatch.setattr(ranking, "SUMS", 2)
+    monkeypatch.setattr(ranking, "TERMS", 2)
+    rows = [r for b in ranking._frequencies(iter([batch, batch])) for r in b.to_pylist()]
+    found = Counter()
+    for r in rows:
+        found[r["term"]] += r["df"] or 0
+    assert found == Counter({"a": 4, "b": 4, "c": 2, "é": 2, None: 0})
+    assert [(r["docs"], r["counted"], r["words"]) for r in rows if r["term"] is None] == [(10, 8, 14)]
+    assert ranking.statistics(cut.where("false"))[1] == 1.0
