@@ -58,3 +58,21 @@ def test_statistics_of_small_parts(spark, monkeypatch):
     assert found == Counter({"a": 4, "b": 4, "c": 2, "é": 2, None: 0})
     assert [(r["docs"], r["counted"], r["words"]) for r in rows if r["term"] is None] == [(10, 8, 14)]
     assert ranking.statistics(cut.where("false"))[1] == 1.0
+
+
+def test_characters_are_counted_where_the_text_is(spark, monkeypatch):
+    """No row for each character: the plan explodes nothing, and counts of any number of texts together equal those of the tokens."""
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("ab é字　𝄞\n\U0001f600ß") for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(3, "again ab"), (60, None), (61, ""), (62, "x"), (63, " \t"), (64, "a\0b\0\0")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    want = sorted(lexical.postings(docs, lexical.char_tokens).collect())
+    found = lexical.char_postings(docs)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == want
+    batch = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "").alias("bare")).coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    for letters in (1, 50):
+        monkeypatch.setattr(lexical, "LETTERS", letters)
+        counted = Counter()
+        for r in (r for b in lexical._char_counts(iter([batch])) for r in b.to_pylist()):
+            counted[r["doc_id"], r["term"]] += r["tf"]
+        assert sorted((d, t, n) for (d, t), n in counted.items()) == want
