@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import queries as q
-from corpusloom.operators import cleaning, lexical, ranking
+from corpusloom.functions import text as X
+from corpusloom.operators import chunking, cleaning, lexical, ranking
 from tests.conftest import DATA
 
 
@@ -76,3 +79,26 @@ def test_characters_are_counted_where_the_text_is(spark, monkeypatch):
         for r in (r for b in lexical._char_counts(iter([batch])) for r in b.to_pylist()):
             counted[r["doc_id"], r["term"]] += r["tf"]
         assert sorted((d, t, n) for (d, t), n in counted.items()) == want
+
+
+def test_spans_of_a_batch_are_plain_numbers():
+    """Spans aren't held as objects: of texts with many, a batch costs some bytes a span."""
+    texts = pa.array([None, "", "a\nb", *(["x\n" * 5000] * 40)])
+    rule = lambda t: chunking.atoms(t, "line")
+    tracemalloc.start()
+    (found,) = chunking._listed(iter([texts]), rule)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.flatten()) == 200_002 and peak < 10e6
+    assert found[:3].to_pylist() == [[], [], [{"start": 0, "end": 1}, {"start": 2, "end": 3}]]
+    (none,) = chunking._listed(iter([pa.array(["", None])]), rule)
+    assert none.to_pylist() == [[], []]
+
+
+def test_normal_forms_leave_ascii_where_it_is(spark):
+    """Only texts with other characters become Python's."""
+    texts = ["abc", None, "ＡＢ１", "", "ﬁ é", "é", "字"]
+    parts = [pa.array(texts), pa.array(texts).slice(2, 3), pa.array([], pa.string())]
+    assert [a.to_pylist() for a in X._normal_forms(iter(parts))] == [[t and unicodedata.normalize("NFKC", t) for t in p.to_pylist()] for p in parts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.nfkc("t").alias("n"))
+    assert [r["n"] for r in rows.orderBy("i").collect()] == [t and unicodedata.normalize("NFKC", t) for t in texts]
