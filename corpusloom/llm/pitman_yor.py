@@ -10,13 +10,15 @@ words (also as contexts) and dishes. All others are joined by a shuffle, so the
 
 Disk: pairs are counted in COUNT_SLICES slices of contexts and documents scored in SCORE_SLICES slices of ids, one after the other, so
 that only one slice's shuffle lies on disk at a time. Dishes are stored in buckets of their key, words in buckets of their hash: no join
-shuffles them again. Joins hash the vocabulary's side, which grows less than the partitions do; others hash a side only if Spark finds each
-of its partitions below HASHED, and else sort. Nothing that grows with the corpus is broadcast.
+shuffles them again. Pairs travel and lie as lists of numbers, a row for each bucket of keys, BUCKETS times as many as a shuffle has partitions,
+and are summed and looked up a bucket at a time. Joins hash the vocabulary's side, which grows less than the partitions do; others hash a side
+only if Spark finds each of its partitions below HASHED, and else sort. Nothing that grows with the corpus is broadcast.
 
 A sweep seats each dish anew, given the other restaurants' tables from the last sweep: dishes then don't depend on each
 other, so they are sampled where they lie. Seating goes customer by customer up to SINGLES, then in blocks of a sixteenth of those
 seated. Chance comes from the dish's key, the sweep and the customer's number alone, so neither partitions nor a task's second try change a seat.
-A dish of one customer always has one table, so only its number takes part. A word's count in the root follows from its tables.
+A dish of one customer always has one table, so only its number takes part; so does a word of one occurrence, which joins in the last sweep.
+A word's count in the root follows from its tables.
 Predictive probabilities are averaged over the last two sweeps; perplexity is 10 to the negative mean log10 probability of a token.
 
 Counts cover every training token. A null or empty text is its end alone. A null id counts as the empty id. Repeated
@@ -34,6 +36,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,10 @@ HASHED = "64m"
 #: Slices of contexts and of documents that are counted and scored one after the other.
 COUNT_SLICES = 2
 SCORE_SLICES = 3
+#: Buckets of keys for each partition of a shuffle.
+BUCKETS = 2
+#: Texts whose sums are put together in one group, as a power of two.
+PART_BITS = 14
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _COMPACT = 3_000_000
@@ -99,8 +107,34 @@ def _summed(k: np.ndarray, u: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return k[first], u[order][first], np.add.reduceat(n[order], first) if len(k) else n
 
 
-def _counter(at: int):
-    """Rows (k, u, n) of what a task reads: the dishes of the contexts of a slice."""
+def _flat(rows: pa.Table | pa.RecordBatch, name: str, kind: type = np.int64) -> np.ndarray:
+    """The numbers of a column of packed lists, one list after the other."""
+    column = rows.column(name)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, kind)
+
+
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Lists of numbers as the bytes they have in memory: Spark then moves and stores them without a look at each."""
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * values.itemsize, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _lists(k: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """The buckets of sorted keys, and for the keys and each column a list a bucket; a bucket is a range of keys."""
+    b = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(first, len(b)))
+    return pa.array(b[first]), [_packed(c, lengths) for c in (k, *columns)]
+
+
+def _counter(at: int, buckets: int):
+    """Lists k, u, n for each bucket b of what a task reads: the dishes of the contexts of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -111,7 +145,8 @@ def _counter(at: int):
                 held[:] = [(k, u, n)]
                 if len(k) > _COMPACT // 2 or last:
                     held.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(u.view(np.int64)), pa.array(n)], ["k", "u", "n"])
+                    b, lists = _lists(k, buckets, u, n)
+                    yield pa.RecordBatch.from_arrays([b, *lists], ["b", "k", "u", "n"])
 
         size, last = 0, False
         for batch in batches:
@@ -131,6 +166,125 @@ def _counter(at: int):
     return run
 
 
+def _add_up(rows: pa.Table) -> pa.Table:
+    """One row for a bucket: key and context of dishes of one customer (k1, u1; ones of them), and those of the others with their customers."""
+    k, u, n = _summed(_flat(rows, "k", np.uint64), _flat(rows, "u"), _flat(rows, "n"))
+    one = n == 1
+    lists = {name: _packed(x, np.array([len(x)])) for name, x in (("k1", k[one]), ("u1", u[one]), ("k", k[~one]), ("u", u[~one]), ("c", n[~one]))}
+    return pa.table({"b": rows.column("b")[:1], "ones": pa.array([int(one.sum())]), **lists})
+
+
+def _of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each context in a batch: customers, dishes of one customer, dishes."""
+    for b in batches:
+        single, c = _flat(b, "u1"), _flat(b, "c")
+        u, c = np.concatenate([single, _flat(b, "u")]), np.concatenate([np.ones(len(single), np.int64), c])
+        order = np.argsort(u)
+        u, c = u[order], c[order]
+        first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(x, first) if len(u) else c for x in (c, (c == 1).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[first], *sums, np.diff(np.append(first, len(u))))], ["h", "c", "ones", "of"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many dishes of a batch have c customers."""
+    for b in batches:
+        c, n = np.unique(_flat(b, "c"), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(1, c)), pa.array(np.append(b.column("ones").to_numpy().sum(), n))], ["c", "n"])
+
+
+def _repeated(words: np.ndarray):
+    """The dishes of two customers and more as rows; met if the head has word and context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, u, c = _flat(b, "k", np.uint64), _flat(b, "u", np.uint64), _flat(b, "c")
+            h, one = dish_key(u, k), np.ones(len(c), np.int64)
+            met = (find(words, u) >= 0) & (find(words, h) >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u.view(np.int64), h.view(np.int64), c, one, one, met)], ["u", "h", "c", "t", "tp", "met"])
+
+    return run
+
+
+def _masses(buckets: int):
+    """Lists of the keys and masses of rows of dishes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, m = batch.column("k").to_numpy().view(np.uint64), batch.column("m").to_numpy()
+            order = np.argsort(k)
+            b, lists = _lists(k[order], buckets, m[order])
+            yield pa.RecordBatch.from_arrays([b, *lists], ["b", "k", "m"])
+
+    return run
+
+
+def _with_masses(once: float):
+    """The masses of all dishes of a bucket, sorted by key: ``once`` for those of one customer."""
+
+    def run(pairs: pa.Table, dishes: pa.Table) -> pa.Table:
+        k = np.sort(np.concatenate([_flat(pairs, "k1", np.uint64), _flat(pairs, "k", np.uint64)]))
+        m = np.full(len(k), once, np.float32)
+        m[find(k, _flat(dishes, "k", np.uint64))] = _flat(dishes, "m", np.float32)
+        one = np.array([len(k)])
+        return pa.table({"b": pairs.column("b")[:1], "k": _packed(k, one), "m": _packed(m, one)})
+
+    return run
+
+
+def _asked(row: np.ndarray, k: np.ndarray, n: np.ndarray, per: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Arrays b, part, at, k, n, per: lists of the dishes that texts ask of a bucket, each by its text's place in its part."""
+    order = np.argsort(row >> PART_BITS, kind="stable")
+    part = (row >> PART_BITS)[order]
+    for x in np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(order) else ():
+        x = x[np.argsort(k[x])]
+        b, (keys, at, n_, per_) = _lists(k[x], buckets, (row[x] & ((1 << PART_BITS) - 1)).astype(np.int32), n[x], per[x])
+        yield b, pa.array(np.full(len(b), row[x[0]] >> PART_BITS)), at, keys, n_, per_
+
+
+_ASKED = ["b", "part", "at", "k", "n", "per"]
+_ASKED_TYPES = "b int, part long, at binary, k binary, n binary, per binary"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, m) of lists of masses."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_flat(b, "k")), pa.array(_flat(b, "m", np.float32))], ["k", "m"])
+
+
+def _asking(buckets: int):
+    """Rows (row, k, n, per) as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, k, n, per = (b.column(i).to_numpy() for i in range(4))
+            for arrays in _asked(row, k.view(np.uint64), n, per, buckets):
+                yield pa.RecordBatch.from_arrays(list(arrays), _ASKED)
+
+    return run
+
+
+def _look_up(asked: pa.Table, masses: pa.Table) -> pa.Table:
+    """What the dishes of a bucket add to the scores of the texts that ask for them."""
+    lengths = pc.binary_length(asked.column("at")).to_numpy() // 4
+    place = np.repeat(np.arange(asked.num_rows, dtype=np.int64) << 32, lengths) + _flat(asked, "at", np.int32)
+    dish = find(_flat(masses, "k", np.uint64), _flat(asked, "k", np.uint64))
+    here = dish >= 0
+    mass = _flat(masses, "m", np.float32)[dish[here]].astype(np.float64)
+    s = _flat(asked, "n", np.int32)[here] * np.log1p(mass * _flat(asked, "per", np.float32)[here]) / math.log(10)
+    place, inverse = np.unique(place[here], return_inverse=True)
+    found = np.bincount(place >> 32, minlength=asked.num_rows)
+    sums = np.bincount(inverse, s, len(place)).astype(np.float64)
+    return pa.table({"part": asked.column("part"), "at": _packed((place & 0xFFFFFFFF).astype(np.int32), found), "s": _packed(sums, found)})
+
+
+def _sums(rows: pa.Table) -> pa.Table:
+    """The sums of a part's texts, from all buckets."""
+    at = _flat(rows, "at", np.int32)
+    sums, here = np.bincount(at, _flat(rows, "s", np.float64)).astype(np.float64), np.flatnonzero(np.bincount(at))
+    return pa.table({"row": (rows.column("part")[0].as_py() << PART_BITS) + here, "score2": sums[here]})
+
+
 def find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The place of each hash in sorted keys, or -1."""
     if not len(keys):
@@ -212,8 +366,8 @@ def _hashed_joins(spark: SparkSession) -> Iterator[None]:
 
 
 def _shape(counts: DataFrame) -> tuple[int, float]:
-    """The least count that at most HEAD rows reach, and the discount."""
-    rows = counts.groupBy(F.least("c", F.lit(_MOST)).alias("c")).agg(F.count("*").alias("n")).collect()
+    """The least count that at most HEAD reach, and the discount, of rows with count c, n of each."""
+    rows = counts.groupBy(F.least("c", F.lit(_MOST)).alias("c")).agg(F.sum("n").alias("n")).collect()
     n = {r["c"]: r["n"] for r in rows}
     least, held = _MOST + 1, 0
     for c in sorted(n, reverse=True):
@@ -249,26 +403,42 @@ class Model:
         self.scratch, self.calls = Scratch(spark), 0
         scratch = self.scratch
         texts = train.select(F.col("text").cast("string"))
+        self.buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
         for at in range(COUNT_SLICES):
-            counted = texts.mapInArrow(_counter(at), "k long, u long, n long").groupBy("k").agg(F.max("u").alias("u"), F.sum("n").alias("c"))
-            pairs = scratch.save_by(counted, "pairs", "k", append=at > 0)
+            counted = texts.mapInArrow(_counter(at, self.buckets), "b int, k binary, u binary, n binary").groupBy("b").applyInArrow(_add_up, "b int, ones long, k1 binary, u1 binary, k binary, u binary, c binary")
+            pairs = scratch.save_by(counted, "pairs", "b", append=at > 0)
             del counted
             self._release()
         one = F.lit(1).cast("long")
-        dishes = pairs.where("c > 1").select("u", F.col("k").bitwiseXOR(_swapped(F.col("u"))).alias("h"), "c", one.alias("t"), one.alias("tp"))
         # At first every customer of the root sits with its like, and each dish has one table. A text's end stands before
         # its first word, so each token has as many customers after it as it has occurrences: pairs tell the words' counts.
-        words = pairs.groupBy(F.col("u").alias("h")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("ones"), F.count("*").alias("of"))
-        state = scratch.save_by(words.select("h", "c", "ones", "of", F.col("of").alias("of_p"), F.col("c").alias("seated"), one.alias("tables"), F.col("c").alias("seated_p"), one.alias("tables_p")), "state-0", "h")
-        total, types = state.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        words = pairs.select("u1", "u", "c").mapInArrow(_of_words, "h long, c long, ones long, of long").groupBy("h").agg(*(F.sum(n).alias(n) for n in ("c", "ones", "of")))
+        every = scratch.save_by(words.select("h", "c", "ones", "of", F.col("of").alias("of_p"), F.col("c").alias("seated"), one.alias("tables"), F.col("c").alias("seated_p"), one.alias("tables_p")), "state-0", "h")
+        total, types, once = every.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
         self.total, self.types = total, types
-        (self.least, d0), (least_dish, d1) = _shape(state), _shape(pairs)
+        (self.least, d0), (least_dish, d1) = _shape(every.select("c", one.alias("n"))), _shape(pairs.select("ones", "c").mapInArrow(_sizes, "c long, n long"))
         self.d0, self.d1 = d0, d1
         totals = [(float(total), float(types))] * 2
+        state = every.where("c > 1")
+        known = np.sort(_unsigned(state.where(F.col("c") >= self.least).select("h").toArrow(), "h"))
+        dishes = scratch.save(pairs.select("k", "u", "c").mapInArrow(_repeated(known), "u long, h long, c long, t long, tp long, met boolean"), "dishes-0")
         for sweep in range(1, SWEEPS + 1):
             p = _root_column("seated", "tables", totals[1], types, d0)
+            found = state.where(F.col("c") >= self.least).select("h", p.alias("p"), "of").toArrow()
+            order = np.argsort(_unsigned(found, "h"))
+            head = spark.sparkContext.broadcast((known, *(found.column(n).to_numpy()[order] for n in ("p", "of"))))
+            del found
+            # Dishes of the head's words and contexts are seated where they lie, the others after joins.
             of = state.select(F.col("h").alias("u"), "of")
-            at = dishes.join(state.select("h", p.alias("p")).hint("shuffle_hash"), "h").join(of.hint("shuffle_hash"), "u")
+            at = dishes.where("not met").join(state.select("h", p.alias("p")).hint("shuffle_hash"), "h").join(of.hint("shuffle_hash"), "u")
+
+            def seat_met(batches: Iterator[pa.RecordBatch], sweep: int = sweep, head=head) -> Iterator[pa.RecordBatch]:
+                words, p, of = head.value
+                for b in batches:
+                    u, h, n, t = (b.column(i).to_numpy() for i in range(4))
+                    u, h = u.view(np.uint64), h.view(np.uint64)
+                    new = seat(n, (STRENGTH + d1 * np.maximum(of[find(words, u)] - t, 0)) * p[find(words, h)], d1, _keys(dish_key(u, h), sweep, 1))
+                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new.astype(np.int64)), b.column(3), b.column(5)], ["u", "h", "c", "t", "tp", "met"])
 
             def seat_dishes(batches: Iterator[pa.RecordBatch], sweep: int = sweep) -> Iterator[pa.RecordBatch]:
                 for b in batches:
@@ -276,11 +446,17 @@ class Model:
                     keys = _keys(dish_key(u.view(np.uint64), h.view(np.uint64)), sweep, 1)
                     # The dish's own tables are taken off before it is seated anew.
                     new = seat(n.astype(np.int64), (STRENGTH + d1 * np.maximum(of - t, 0)) * p, d1, keys)
-                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new.astype(np.int64)), b.column(3)], ["u", "h", "c", "t", "tp"])
+                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new.astype(np.int64)), b.column(3), pa.array(np.zeros(len(n), bool))], ["u", "h", "c", "t", "tp", "met"])
 
-            dishes = scratch.save(at.select("u", "h", "c", "t", "p", "of").mapInArrow(seat_dishes, "u long, h long, c long, t long, tp long"), f"dishes-{sweep}")
+            columns = "u long, h long, c long, t long, tp long, met boolean"
+            met = dishes.where("met").mapInArrow(seat_met, columns)
+            dishes = scratch.save(met.unionByName(at.select("u", "h", "c", "t", "p", "of").mapInArrow(seat_dishes, columns)), f"dishes-{sweep}")
+            head.destroy()
             fewer = dishes.groupBy("h").agg(F.sum(F.col("c") - F.col("t")).alias("fewer"))
             more = dishes.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("more"))
+            if last := sweep == SWEEPS:
+                seated = [F.coalesce(n, one).alias(n) for n in ("of", "seated", "tables")]
+                state = every.select("h", "c", "ones").join(state.select("h", "of", "seated", "tables").hint("shuffle_hash"), "h", "left").select("h", "c", "ones", *seated)
             given = state.join(fewer.hint("shuffle_hash"), "h", "left").join(more.hint("shuffle_hash"), "h", "left").select(
                 "h", "c", "ones", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("now_of"), "of", "seated", "tables", (F.col("c") - F.coalesce("fewer", F.lit(0))).alias("now"),
             )
@@ -297,18 +473,20 @@ class Model:
             state_names = ["h", "c", "ones", "of", "of_p", "seated", "tables", "seated_p", "tables_p"]
             state = scratch.save_by(given.mapInArrow(seat_words, ", ".join(f"{n} long" for n in state_names)), f"state-{sweep}", "h")
             both = state.agg(F.sum("seated"), F.sum("tables")).first()
-            totals = [totals[1], (float(both[0] or 0), float(both[1] or 0))]
-            scratch.drop(f"state-{sweep - 1}")
+            alone = 0 if last else once
+            totals = [totals[1], (float(both[0] or 0) + alone, float(both[1] or 0) + alone)]
             if sweep > 1:
-                scratch.drop(f"dishes-{sweep - 1}")
-            del at, fewer, more, given
+                scratch.drop(f"state-{sweep - 1}")
+            scratch.drop(f"dishes-{sweep - 1}")
+            del at, met, fewer, more, given
             self._release()
         self.state, self.totals = state, totals
         # A dish's mass is (c - d1 tables) / (STRENGTH + customers of its context), here without the divisor.
-        mass = dishes.select(_swapped(F.col("u")).bitwiseXOR(F.col("h")).alias("k"), (F.col("c") - d1 * (F.col("t") + F.col("tp")) / 2).alias("m"))
-        mass = pairs.select("k").join(mass, "k", "left").select("k", F.coalesce("m", F.lit(1 - d1)).cast("float").alias("m"))
-        with _hashed_joins(spark):
-            self.dishes = scratch.save_by(mass, "dishes", "k")
+        mass = dishes.select(_swapped(F.col("u")).bitwiseXOR(F.col("h")).alias("k"), (F.col("c") - d1 * (F.col("t") + F.col("tp")) / 2).cast("float").alias("m"))
+        mass = mass.mapInArrow(_masses(self.buckets), "b int, k binary, m binary")
+        mass = pairs.select("b", "k1", "k").groupBy("b").cogroup(mass.groupBy("b")).applyInArrow(_with_masses(1 - d1), "b int, k binary, m binary")
+        self.masses = scratch.save_by(mass, "dishes", "b")
+        self.dishes = self.masses.mapInArrow(_unpacked, "k long, m float")
         del mass
         found = state.where(F.col("c") >= self.least).toArrow()
         h = _unsigned(found, "h")
@@ -327,7 +505,7 @@ class Model:
         mass = (np.stack([n - d1 * tp, n - d1 * t], 1) / (STRENGTH + f["c"][u])[:, None])[order] if len(u) else np.zeros((0, 2))
         self.heads = Heads(h, f["c"], roots, h, back, key[order], mass, total, types)
         del found, rows
-        for name in ("pairs", f"dishes-{SWEEPS}"):
+        for name in ("pairs", "state-0", f"dishes-{SWEEPS}"):
             scratch.drop(name)
         self._release()
 
@@ -338,18 +516,28 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs(doc_id, held_out, text)`` without text, plus n_tokens, n_known, train_tokens, base_score, score and perplexity."""
-        shared = docs.sparkSession.sparkContext.broadcast(self.heads)
+        shared, buckets = docs.sparkSession.sparkContext.broadcast(self.heads), self.buckets
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             log_all = np.log10(m.total + 0.5 * (m.types + 1))
             of_end = find(m.words, np.array([END]))
+            held: list[tuple] = []
+            size, base_row = 0, TaskContext.get().partitionId() << 33
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for arrays in _asked(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets) if held else ():
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(arrays[0]), f.type) for f in fields), *arrays], [*(f.name for f in fields), *_ASKED])
+                held.clear()
+
+            fields: list[pa.Field] = []
             for batch in batches:
                 for part in textkit.texts(batch.column(2)):
                     row, h = tokens(part)
                     key, inverse = np.unique(h, return_inverse=True)
                     w = find(m.words, key)[inverse]
                     v = np.append(of_end, w[:-1])
+                    known = np.bincount(row[w >= 0], minlength=part.rows)
                     base = np.bincount(row[w >= 0], np.log10(m.counts[w[w >= 0]] + 0.5) - log_all, part.rows).astype(np.float64)  # integers, if nothing is here
                     both = np.flatnonzero((w >= 0) & (v >= 0))
                     dish = find(m.dishes, dish_key(v[both], h[both]))
@@ -362,11 +550,16 @@ class Model:
                     u = before(row, h)
                     r, u, x, w, v = row[left], u[left], h[left], w[left], v[left]
                     k = dish_key(u, x)
-                    order = np.lexsort((k, r))
-                    k, r, u, x, w, v = k[order], r[order], u[order], x[order], w[order], v[order]
-                    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))) if len(k) else np.zeros(0, np.int64)
+                    in_text = textkit.mix(k + (r + 1).astype(np.uint64) * np.uint64(_STRIDE))
+                    order = np.argsort(in_text)
+                    in_text = in_text[order]
+                    first = np.flatnonzero(np.append(True, in_text[1:] != in_text[:-1])) if len(k) else np.zeros(0, np.int64)
                     n = np.diff(np.append(first, len(k))).astype(np.int32)
-                    k, r, u, x, w, v = k[first], r[first], u[first], x[first], w[first], v[first]
+                    # Of each the first place, in the texts' order.
+                    at = np.minimum.reduceat(order, first) if len(k) else first
+                    order = np.argsort(at)
+                    at, n = at[order], n[order]
+                    k, r, u, x, w, v = k[at], r[at], u[at], x[at], w[at], v[at]
                     near = (w >= 0) & (v >= 0)
                     a = (m.root[w[near]] * m.back[v[near]]).mean(1) if near.any() else np.zeros(0)
                     score += np.bincount(r[near], n[near] * np.log10(a), part.rows)
@@ -376,15 +569,23 @@ class Model:
                         ends = np.append(0, np.cumsum(np.bincount(group, minlength=rows))).astype(np.int32)
                         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in columns], names))
 
-                    tail = lists(r[near], [k[near].view(np.int64), n[near], per.astype(np.float32)], ["k", "n", "per"])
+                    held.append((base_row + r[near], k[near], n[near], per.astype(np.float32)))
+                    size += len(per)
                     rare = lists(r[~near], [k[~near].view(np.int64), n[~near], u[~near].view(np.int64), x[~near].view(np.int64)], ["k", "n", "u", "h"])
-                    yield pa.RecordBatch.from_arrays([
+                    texts = pa.RecordBatch.from_arrays([
                         batch.column(0).slice(part.first, part.rows), batch.column(1).slice(part.first, part.rows), pa.array(np.bincount(row, minlength=part.rows)),
-                        pa.array(np.bincount(row[find(m.words, key)[inverse] >= 0], minlength=part.rows)), pa.array(base), pa.array(score), tail, rare,
-                    ], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "rare"])
+                        pa.array(known), pa.array(base), pa.array(score), rare, pa.array(base_row + np.arange(part.rows)),
+                    ], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "row"])
+                    fields, base_row = list(texts.schema), base_row + part.rows
+                    none = [pa.nulls(part.rows, t) for t in (pa.int32(), pa.int64(), *[pa.binary()] * 4)]
+                    yield pa.RecordBatch.from_arrays([*texts.columns, *none], [*texts.schema.names, *_ASKED])
+                    if size > _COMPACT // 2:
+                        yield from out()
+                        size = 0
+            yield from out()
 
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<k:long,n:int,per:float>>, rare array<struct<k:long,n:int,u:long,h:long>>"
+        schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<k:long,n:int,u:long,h:long>>, row long, {_ASKED_TYPES}"
         slim = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         self.calls += 1
         parts = []
@@ -405,8 +606,8 @@ class Model:
 
         What a word has from the root is in the score before its dish is looked up; a dish adds the log of 1 + mass * per.
         """
-        first = self.scratch.save(part.withColumn("row", F.monotonically_increasing_id()), f"heads-{name}")
-        near = first.select("row", F.explode("tail").alias("x")).select("row", "x.k", "x.n", "x.per")
+        first = self.scratch.save(part, f"heads-{name}")
+        near, first = first.where("b is not null").select(*_ASKED), first.where("b is null")
         (cp, tp), (cn, tn) = self.totals
         d0, d1, types, total = self.d0, self.d1, self.types, self.total
         roots = [_root_column("seated_p", "tables_p", (cp, tp), types, d0), _root_column("seated", "tables", (cn, tn), types, d0)]
@@ -424,10 +625,11 @@ class Model:
             "row", "k", "n", F.when((c > 0) & (F.col("of") > 0), 1 / ((F.col("of") + STRENGTH) * F.col("a"))).cast("float").alias("per"),
             F.when(unmet & (c > 0), F.col("n")).otherwise(0).alias("more"), (F.col("n") * base).alias("base2"), (F.col("n") * F.log10("a")).alias("score3"),
         ), f"rare-{name}")
-        asked = near.unionByName(rest.where("per is not null").select("row", "k", "n", "per"))
-        sums = asked.join(self.dishes, "k").groupBy("row").agg(F.sum(F.col("n") * F.log1p(F.col("m").cast("double") * F.col("per")) / math.log(10)).alias("score2"))
+        asked = near.unionByName(rest.where("per is not null").select("row", "k", "n", "per").mapInArrow(_asking(self.buckets), _ASKED_TYPES))
+        found = asked.groupBy("b").cogroup(self.masses.groupBy("b")).applyInArrow(_look_up, "part long, at binary, s binary")
+        sums = found.groupBy("part").applyInArrow(_sums, "row long, score2 double")
         bases = rest.groupBy("row").agg(F.sum("more").alias("more"), F.sum("base2").alias("base2"), F.sum("score3").alias("score3"))
-        out = first.drop("tail", "rare").join(sums, "row", "left").join(bases, "row", "left")
+        out = first.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(sums, "row", "left").join(bases, "row", "left")
         out = out.select(
             "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"),

@@ -13,6 +13,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -580,6 +582,50 @@ def test_partitions_change_no_score(spark):
         assert all(other[i] == pytest.approx(got[0][i], rel=1e-9) for i in got[0])
 
 
+def test_pairs_travel_as_lists(spark, monkeypatch):
+    """A task sends no row for each pair, and the sums of packed lists, flushed often and over any buckets, are those of plain counts."""
+    monkeypatch.setattr(pitman_yor, "_COMPACT", 500)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(rng.randrange(60))) for _ in range(300)]
+    rows = textkit.text_column(pa.record_batch({"text": texts}))
+    pairs = [p for t in texts for p in zip(["", *t.split()], [*t.split(), ""], strict=True)]
+    for buckets in (1, 7, 400):
+        sent = [b for at in range(pitman_yor.COUNT_SLICES) for b in pitman_yor._counter(at, buckets)(iter([pa.record_batch({"text": rows})]))]
+        assert max(b.num_rows for b in sent) <= buckets
+        table = pa.Table.from_batches(sent)
+        got = [pitman_yor._add_up(table.filter(pc.equal(table["b"], b))) for b in set(table["b"].to_pylist())]
+        ones, more = sum(t["ones"][0].as_py() for t in got), sorted(c for t in got for c in pitman_yor._flat(t, "c").tolist())
+        counts = Counter(pairs)
+        assert ones == sum(c == 1 for c in counts.values()) and more == sorted(c for c in counts.values() if c > 1)
+        sizes = [len(pitman_yor._flat(t, name)) for t in got for name in ("k1", "k")]
+        assert sum(sizes) == len(counts)
+
+
+def test_sums_of_packed_lists():
+    """Looked up by bucket and summed by part, dishes add n * log10(1 + m * per) to each text; unknown dishes and empty sides add nothing."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
+    mass = dict(zip(keys[::2].tolist(), rng.random(200).astype(np.float32).tolist(), strict=False))
+    row, k, n, per = rng.integers(0, 3 << pitman_yor.PART_BITS, 5000), rng.choice(keys, 5000), rng.integers(1, 4, 5000).astype(np.int32), rng.random(5000).astype(np.float32)
+    want = defaultdict(float)
+    for r, key, times, p in zip(row.tolist(), k.tolist(), n.tolist(), per.tolist(), strict=True):
+        if key in mass:
+            want[r] += times * math.log10(1 + mass[key] * p)
+    held = np.array(sorted(mass), np.uint64)
+    for buckets in (1, 9):
+        asked = pa.Table.from_batches([pa.RecordBatch.from_arrays(list(x), pitman_yor._ASKED) for x in pitman_yor._asked(row, k, n, per, buckets)])
+        b, (lists, masses) = pitman_yor._lists(held, buckets, np.array([mass[x] for x in held.tolist()], np.float32))
+        masses = pa.table({"b": b, "k": lists, "m": masses})
+        found = pa.concat_tables(pitman_yor._look_up(asked.filter(pc.equal(asked["b"], x)), masses.filter(pc.equal(masses["b"], x))) for x in range(buckets))
+        got = {}
+        for part in set(found["part"].to_pylist()):
+            sums = pitman_yor._sums(found.filter(pc.equal(found["part"], part)))
+            got |= dict(zip(sums["row"].to_pylist(), sums["score2"].to_pylist(), strict=True))
+        assert got.keys() == want.keys() and all(got[r] == pytest.approx(want[r], rel=1e-6) for r in want)
+    empty = pitman_yor._look_up(asked.slice(0, 0), masses)
+    assert empty.num_rows == 0 and pitman_yor._flat(pitman_yor._look_up(asked, masses.slice(0, 0)), "s", np.float64).size == 0
+
+
 # 10
 
 
