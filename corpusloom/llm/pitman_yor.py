@@ -36,7 +36,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +58,8 @@ COUNT_SLICES = 2
 SCORE_SLICES = 3
 #: Buckets of keys for each partition of a shuffle.
 BUCKETS = 2
+#: Rows seated at once: each step of the seating costs a call, however few are left in it.
+SEATED = 1 << 16
 #: Texts whose sums are put together in one group, as a power of two.
 PART_BITS = 14
 
@@ -232,18 +233,15 @@ def _with_masses(once: float):
     return run
 
 
-def _asked(row: np.ndarray, k: np.ndarray, n: np.ndarray, per: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Arrays b, part, at, k, n, per: lists of the dishes that texts ask of a bucket, each by its text's place in its part."""
-    order = np.argsort(row >> PART_BITS, kind="stable")
-    part = (row >> PART_BITS)[order]
-    for x in np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(order) else ():
-        x = x[np.argsort(k[x])]
-        b, (keys, at, n_, per_) = _lists(k[x], buckets, (row[x] & ((1 << PART_BITS) - 1)).astype(np.int32), n[x], per[x])
-        yield b, pa.array(np.full(len(b), row[x[0]] >> PART_BITS)), at, keys, n_, per_
+def _asked(row: np.ndarray, k: np.ndarray, n: np.ndarray, per: np.ndarray, buckets: int) -> Iterator[list]:
+    """Arrays b, rows, k, n, per: lists of the dishes that texts ask of a bucket, each with its text's row."""
+    order = np.argsort(k)
+    b, (keys, *others) = _lists(k[order], buckets, row[order], n[order], per[order])
+    yield [b, others[0], keys, *others[1:]]
 
 
-_ASKED = ["b", "part", "at", "k", "n", "per"]
-_ASKED_TYPES = "b int, part long, at binary, k binary, n binary, per binary"
+_ASKED = ["b", "rows", "k", "n", "per"]
+_ASKED_TYPES = "b int, rows binary, k binary, n binary, per binary"
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,30 +250,40 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_flat(b, "k")), pa.array(_flat(b, "m", np.float32))], ["k", "m"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at least, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held.clear()
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _asking(buckets: int):
     """Rows (row, k, n, per) as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches, _COMPACT // 2):
             row, k, n, per = (b.column(i).to_numpy() for i in range(4))
             for arrays in _asked(row, k.view(np.uint64), n, per, buckets):
-                yield pa.RecordBatch.from_arrays(list(arrays), _ASKED)
+                yield pa.RecordBatch.from_arrays(arrays, _ASKED)
 
     return run
 
 
 def _look_up(asked: pa.Table, masses: pa.Table) -> pa.Table:
     """What the dishes of a bucket add to the scores of the texts that ask for them."""
-    lengths = pc.binary_length(asked.column("at")).to_numpy() // 4
-    place = np.repeat(np.arange(asked.num_rows, dtype=np.int64) << 32, lengths) + _flat(asked, "at", np.int32)
     dish = find(_flat(masses, "k", np.uint64), _flat(asked, "k", np.uint64))
     here = dish >= 0
     mass = _flat(masses, "m", np.float32)[dish[here]].astype(np.float64)
     s = _flat(asked, "n", np.int32)[here] * np.log1p(mass * _flat(asked, "per", np.float32)[here]) / math.log(10)
-    place, inverse = np.unique(place[here], return_inverse=True)
-    found = np.bincount(place >> 32, minlength=asked.num_rows)
-    sums = np.bincount(inverse, s, len(place)).astype(np.float64)
-    return pa.table({"part": asked.column("part"), "at": _packed((place & 0xFFFFFFFF).astype(np.int32), found), "s": _packed(sums, found)})
+    row, inverse = np.unique(_flat(asked, "rows")[here], return_inverse=True)
+    sums = np.bincount(inverse, s, len(row)).astype(np.float64)
+    part, found = np.unique(row >> PART_BITS, return_counts=True)
+    return pa.table({"part": part, "at": _packed((row & ((1 << PART_BITS) - 1)).astype(np.int32), found), "s": _packed(sums, found)})
 
 
 def _sums(rows: pa.Table) -> pa.Table:
@@ -434,14 +442,14 @@ class Model:
 
             def seat_met(batches: Iterator[pa.RecordBatch], sweep: int = sweep, head=head) -> Iterator[pa.RecordBatch]:
                 words, p, of = head.value
-                for b in batches:
+                for b in _gathered(batches, SEATED):
                     u, h, n, t = (b.column(i).to_numpy() for i in range(4))
                     u, h = u.view(np.uint64), h.view(np.uint64)
                     new = seat(n, (STRENGTH + d1 * np.maximum(of[find(words, u)] - t, 0)) * p[find(words, h)], d1, _keys(dish_key(u, h), sweep, 1))
                     yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new.astype(np.int64)), b.column(3), b.column(5)], ["u", "h", "c", "t", "tp", "met"])
 
             def seat_dishes(batches: Iterator[pa.RecordBatch], sweep: int = sweep) -> Iterator[pa.RecordBatch]:
-                for b in batches:
+                for b in _gathered(batches, SEATED):
                     u, h, n, t, p, of = (b.column(i).to_numpy() for i in range(6))
                     keys = _keys(dish_key(u.view(np.uint64), h.view(np.uint64)), sweep, 1)
                     # The dish's own tables are taken off before it is seated anew.
@@ -463,7 +471,7 @@ class Model:
             all_t = totals[1][1]
 
             def seat_words(batches: Iterator[pa.RecordBatch], sweep: int = sweep, all_t: float = all_t) -> Iterator[pa.RecordBatch]:
-                for b in batches:
+                for b in _gathered(batches, SEATED):
                     keys = _keys(b.column(0).to_numpy().view(np.uint64), sweep, 0)
                     now, tables = b.column(7).to_numpy(), b.column(6).to_numpy()
                     weight = (STRENGTH + d0 * np.maximum(all_t - tables, 0)) / (types + 1)
@@ -555,9 +563,8 @@ class Model:
                     in_text = in_text[order]
                     first = np.flatnonzero(np.append(True, in_text[1:] != in_text[:-1])) if len(k) else np.zeros(0, np.int64)
                     n = np.diff(np.append(first, len(k))).astype(np.int32)
-                    # Of each the first place, in the texts' order.
-                    at = np.minimum.reduceat(order, first) if len(k) else first
-                    order = np.argsort(at)
+                    at = order[first]
+                    order = np.argsort(r[at], kind="stable")
                     at, n = at[order], n[order]
                     k, r, u, x, w, v = k[at], r[at], u[at], x[at], w[at], v[at]
                     near = (w >= 0) & (v >= 0)
@@ -577,7 +584,7 @@ class Model:
                         pa.array(known), pa.array(base), pa.array(score), rare, pa.array(base_row + np.arange(part.rows)),
                     ], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "row"])
                     fields, base_row = list(texts.schema), base_row + part.rows
-                    none = [pa.nulls(part.rows, t) for t in (pa.int32(), pa.int64(), *[pa.binary()] * 4)]
+                    none = [pa.nulls(part.rows, t) for t in (pa.int32(), *[pa.binary()] * 4)]
                     yield pa.RecordBatch.from_arrays([*texts.columns, *none], [*texts.schema.names, *_ASKED])
                     if size > _COMPACT // 2:
                         yield from out()

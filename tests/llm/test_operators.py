@@ -622,6 +622,8 @@ def test_sums_of_packed_lists():
             sums = pitman_yor._sums(found.filter(pc.equal(found["part"], part)))
             got |= dict(zip(sums["row"].to_pylist(), sums["score2"].to_pylist(), strict=True))
         assert got.keys() == want.keys() and all(got[r] == pytest.approx(want[r], rel=1e-6) for r in want)
+    batches = [pa.record_batch({"row": row[i : i + 50], "k": k[i : i + 50].view(np.int64), "n": n[i : i + 50], "per": per[i : i + 50]}) for i in range(0, 5000, 50)]
+    assert sum(b.num_rows for b in pitman_yor._asking(9)(iter(batches))) <= 9  # not a row for each text or batch
     empty = pitman_yor._look_up(asked.slice(0, 0), masses)
     assert empty.num_rows == 0 and pitman_yor._flat(pitman_yor._look_up(asked, masses.slice(0, 0)), "s", np.float64).size == 0
 
