@@ -7,11 +7,14 @@ import tracemalloc
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import queries as q
 from corpusloom.functions import text as X
+from corpusloom.jobs import grid
 from corpusloom.operators import chunking, cleaning, lexical, ranking
 from tests.conftest import DATA
 
@@ -102,3 +105,62 @@ def test_normal_forms_leave_ascii_where_it_is(spark):
     assert [a.to_pylist() for a in X._normal_forms(iter(parts))] == [[t and unicodedata.normalize("NFKC", t) for t in p.to_pylist()] for p in parts]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.nfkc("t").alias("n"))
     assert [r["n"] for r in rows.orderBy("i").collect()] == [t and unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_pairs_looked_up_are_the_rows_made(spark):
+    """Only pairs asked for leave the tasks: no join sorts them out of all questions by all documents."""
+    base = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "idx long, vector array<double>").repartition(2)
+    asked = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(50)], "query_id long, vector array<double>").toArrow()
+    scorer = ranking.cosine(asked, 6)
+    pairs = {(q, q * 3 + d) for q in range(50) for d in (0, 1)} | {(7, 1000), (999, 5)}
+    found = ranking.looked_up(base, scorer, pa.table({"query_id": [q for q, _ in pairs], "idx": [d for _, d in pairs]}))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    rows = {(r["query_id"], r["idx"]): r["score"] for r in found.collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    assert rows == {(q, d): pytest.approx(float(unit([1, q]) @ unit([d % 7, 1])), abs=1e-6) for q, d in pairs if d < 200 and q < 50}
+
+
+@pytest.mark.parametrize("negative", [False, True])
+def test_words_by_number_score_as_words(spark, monkeypatch, negative):
+    """Common words by products and rare ones by sums, over words or their numbers, in tiles of any size: all as one sum a pair."""
+    rng = random.Random(7)
+    names = [f"w{i}" for i in range(30)]
+    docs = [(i, None if i == 5 else [w for j, w in enumerate(names + ["x", "y"]) for _ in range(rng.randint(1, 3)) if rng.random() < 4 / (j + 4)]) for i in range(150)]
+    asked = pa.table({"query_id": pa.array([*range(40), 90]), "words": pa.array([[w for j, w in enumerate(names + ["z"]) if rng.random() < 3 / (j + 3)] * 2 for _ in range(40)] + [None], pa.list_(pa.string()))})
+    cut = spark.createDataFrame(docs, "idx long, tokens array<string>").coalesce(2)
+    known = ranking.vocabulary(asked)
+    rows, terms, mean = ranking.indexed(cut, known)
+    apart, mean_apart = ranking.statistics(cut)
+    assert {r["term"]: (r["df"], pytest.approx(r["idf"])) for r in terms.collect()} == {r["term"]: (r["df"], r["idf"]) for r in apart.collect()} and mean == mean_apart
+    if negative:
+        terms = terms.withColumn("idf", F.when(F.col("term") == "w3", -F.col("idf")).when(F.col("term") == "w4", 0.0).otherwise(F.col("idf")))
+    idf = {r["term"]: r["idf"] for r in terms.collect()}
+    want = np.full((41, 150), np.nan)
+    for q, words in enumerate(asked.column("words").to_pylist()):
+        for d, said in docs:
+            tf, many = Counter(said or ()), Counter(words or ())
+            if any(w in tf for w in many):
+                want[q, d] = sum(n * idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(said) / mean)) for w, n in many.items() if w in tf)
+    for pairs, share, sums in ((1 << 17, 0.06, 1 << 20), (300, 0.5, 10), (7, 2.0, 1)):
+        monkeypatch.setattr(ranking, "PAIRS", pairs)
+        monkeypatch.setattr(ranking, "SHARE", share)
+        monkeypatch.setattr(ranking, "SUMS", sums)
+        for frame, given in ((cut, None), (rows, known)):
+            scorer = ranking.bm25(asked, terms, mean, 6, given)
+            for batch in frame.toArrow().to_batches():
+                ids, scores = scorer(batch)
+                np.testing.assert_allclose(scores, want[:, ids], atol=1e-6)
+
+
+def test_equal_questions_are_asked_once(spark, monkeypatch):
+    """Pairs of questions and chunks don't grow with copies of a question, and each copy still gets its own row."""
+    texts = ["\n".join(f"line {i} {k} about topic{i * 100 + k} and more" for k in range(12)) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = [(1, "line 1 3 about topic103 and more"), (2, "line 2 5 about topic205 and more"), (3, "line 1 3 about topic103 and more")]
+    at = [(q, d, texts[d].index(t), len(t)) for (q, t), d in zip(asked, (1, 2, 1), strict=True)]
+    spans = spark.createDataFrame([(q, d, a, a + n) for q, d, a, n in at], "query_id long, doc_id long, gs int, ge int")
+    seen, rankings = [], grid.rankings
+    monkeypatch.setattr(grid, "rankings", lambda chunks, questions, *a: seen.append(questions.count()) or rankings(chunks, questions, *a))
+    got = grid.evaluate(docs, spark.createDataFrame(asked, "query_id long, text string"), spans, {"line": chunking.atom_spans("line")}, q.letter_counts)
+    cells = {(r["ranker"], r["k"]): r for r in got.where("strategy = 'line'").collect()}
+    assert seen == [2] and cells["bm25", 1]["queries"] == 3 and cells["bm25", 1]["hit"] == 1.0
