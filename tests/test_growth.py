@@ -141,6 +141,9 @@ def test_words_by_number_score_as_words(spark, monkeypatch, negative):
             tf, many = Counter(said or ()), Counter(words or ())
             if any(w in tf for w in many):
                 want[q, d] = sum(n * idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(said) / mean)) for w, n in many.items() if w in tf)
+    monkeypatch.setattr(ranking, "WORDS", 50)
+    few = [b.column("tokens") for b in ranking._parts_of(iter(cut.toArrow().to_batches()))]
+    assert all(len(c) == 1 or len(c.flatten()) <= 50 for c in few) and sum(map(len, few)) == 150
     for pairs, share, sums in ((1 << 17, 0.06, 1 << 20), (300, 0.5, 10), (7, 2.0, 1)):
         monkeypatch.setattr(ranking, "PAIRS", pairs)
         monkeypatch.setattr(ranking, "SHARE", share)
